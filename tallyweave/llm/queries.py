@@ -17,6 +17,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), parts=3, rest=1)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import toxicity
+
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), parts=5, rest=0)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import ngram_join
 
@@ -24,7 +36,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op7_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_byte_bpe, op5_quality, op7_ngram_jaccard_join, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

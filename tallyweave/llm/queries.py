@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyweave.session import table
 
@@ -17,6 +18,63 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
+def mixing_levels() -> dict:
+    """Domains stand for the twenty sources of the synthetic documents, by their number."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return {"domain": F.concat(F.lit("d"), (number % 4).cast("string")), "language": F.col("lang"), "origin": F.col("source")}
+
+
+def mixing_weights(spark: SparkSession) -> dict:
+    """Target weights: two domains above the others, and languages evened out."""
+    domain = spark.createDataFrame([("d0", 0.2), ("d1", 0.3), ("d2", 0.4), ("d3", 0.1)], "domain string, weight double")
+    language = spark.createDataFrame([(f"d{i}", lang, w) for i in range(4) for lang, w in (("en", 0.4), ("de", 0.2), ("fr", 0.2), ("es", 0.2))], "domain string, language string, weight double")
+    return {"domain": domain, "language": language, "origin": None}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing_levels(), mixing_weights(spark), most_epochs=3, seed=17)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, 'd' || (coalesce(try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INTEGER), 0) % 4) AS domain,
+         lang AS language, source AS origin,
+         CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS n_tokens
+  FROM documents),
+leaf AS (SELECT domain, language, origin, CAST(sum(n_tokens) AS DOUBLE) AS tok FROM d GROUP BY ALL),
+total AS (SELECT sum(tok) AS b FROM leaf),
+-- a level: fill children in order of capacity for weight
+l1 AS (SELECT domain, 3 * sum(tok) AS cap, coalesce(any_value(w.weight), 1.0) AS w FROM leaf
+       LEFT JOIN (VALUES ('d0', 0.2), ('d1', 0.3), ('d2', 0.4), ('d3', 0.1)) w(dom, weight) ON w.dom = domain GROUP BY domain),
+l1p AS (SELECT *, cap / w AS r, (SELECT b FROM total) AS b,
+          coalesce(sum(cap) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+          sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM l1),
+l1b AS (SELECT domain, least(cap, coalesce((SELECT arg_min((b - filled) / rest, r) FROM l1p x WHERE (b - filled) / rest <= r) * w, cap)) AS b FROM l1p),
+l2 AS (SELECT domain, language, 3 * sum(tok) AS cap, CASE language WHEN 'en' THEN 0.4 WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.2 WHEN 'es' THEN 0.2 ELSE 1.0 END AS w FROM leaf GROUP BY domain, language),
+l2p AS (SELECT l2.*, cap / w AS r, l1b.b,
+          coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, language ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+          sum(w) OVER (PARTITION BY domain) - coalesce(sum(w) OVER (PARTITION BY domain ORDER BY cap / w, language ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+        FROM l2 JOIN l1b USING (domain)),
+l2f AS (SELECT domain, arg_min((b - filled) / rest, r) AS line FROM l2p WHERE (b - filled) / rest <= r GROUP BY domain),
+l2b AS (SELECT domain, language, least(cap, coalesce(line * w, cap)) AS b FROM l2p LEFT JOIN l2f USING (domain)),
+l3p AS (SELECT domain, language, origin, tok, 3 * tok AS cap, 3 * tok AS r, l2b.b,
+          coalesce(sum(3 * tok) OVER (PARTITION BY domain, language ORDER BY 3 * tok, origin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+          count(*) OVER (PARTITION BY domain, language) - coalesce(count(*) OVER (PARTITION BY domain, language ORDER BY 3 * tok, origin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+        FROM leaf JOIN l2b USING (domain, language)),
+l3f AS (SELECT domain, language, arg_min((b - filled) / rest, r) AS line FROM l3p WHERE (b - filled) / rest <= r GROUP BY domain, language),
+l3b AS (SELECT domain, language, origin, tok, least(cap, coalesce(line, cap)) AS b FROM l3p LEFT JOIN l3f USING (domain, language)),
+plan AS (SELECT *, CAST(CASE WHEN tok > 0 THEN floor(b / tok) ELSE 0 END AS BIGINT) AS epochs FROM l3b),
+placed AS (SELECT d.*, epochs, b - epochs * tok AS left_over, md5('17:' || epochs || ':' || doc_id) AS place FROM d JOIN plan USING (domain, language, origin)),
+run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed),
+stop AS (SELECT domain, language, origin, min(place) AS cut FROM run WHERE upto > left_over GROUP BY ALL)
+SELECT doc_id, domain, language, origin, n_tokens,
+       CAST(epochs + CASE WHEN left_over > 0 AND (cut IS NULL OR place < cut) THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM run LEFT JOIN stop USING (domain, language, origin)
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import quality
 
@@ -36,8 +94,8 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op5_quality, op7_ngram_jaccard_join, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_mixing, op5_quality, op7_ngram_jaccard_join, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": OP2_SQL}

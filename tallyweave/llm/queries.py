@@ -41,7 +41,8 @@ OP2_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, 'd' || (coalesce(try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INTEGER), 0) % 4) AS domain,
          lang AS language, source AS origin,
-         CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS n_tokens
+         CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS n_tokens
   FROM documents),
 leaf AS (SELECT domain, language, origin, CAST(sum(n_tokens) AS DOUBLE) AS tok FROM d GROUP BY ALL),
 total AS (SELECT sum(tok) AS b FROM leaf),
@@ -75,6 +76,41 @@ FROM run LEFT JOIN stop USING (domain, language, origin)
 """
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import multi_index
+
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op4_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import edit_fingerprint
+
+    return edit_fingerprint.edit_digests(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import chat
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digests(chat.format_chats(turns.unionByName(own).withColumn("content", chat.text_parts(F.col("text")))))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import warc
+
+    return warc.write_and_read(table(spark, sf_dir, "pages"), least=0)
+
+
+def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents that are labelled as of good quality."""
+    from tallyweave.llm import lm_score
+
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    return lm_score.score(docs, F.col("good"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import quality
 
@@ -94,8 +130,24 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_mixing, op5_quality, op7_ngram_jaccard_join, op9_toxicity)}
+    every = (op1_byte_bpe, op2_mixing, op3_multi_index, op4_edit_fingerprint, op5_quality, op6_chat_format, op7_ngram_jaccard_join, op8_warc, op9_toxicity, op10_cross_entropy_difference)
+    return {f.__name__: f for f in every}
+
+
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+said AS (SELECT *, len(regexp_extract_all(text, '[<\[](\\\\)*/?(s>|INST\]|image>|audio>|document>)')) AS escapes FROM turns),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS all_text,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         sum(length(text) + escapes + CASE WHEN role = 'assistant' THEN 7 ELSE length(role) + 14 END) AS formatted_chars
+  FROM said GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars FROM joined
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL}
+    return {"op2_mixing": OP2_SQL, "op6_chat_format": OP6_SQL}

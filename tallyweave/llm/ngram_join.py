@@ -36,9 +36,11 @@ from tallyweave.session import written
 #: At most so many frequent shingles are told to all tasks (8 bytes each).
 FREQUENT = 1 << 17
 #: Seen in so many rows of one batch, and in all; counted in prefixes only.
-FREQUENT_BATCH, FREQUENT_ALL = 3, 24
+FREQUENT_BATCH, FREQUENT_ALL = 2, 8
 #: Shingles in one bucket of the matrix, about.
 BUCKET = 300_000
+#: Shingles that so many nodes or fewer publish give pairs; others cells of the matrix.
+FEW = 16
 #: Members of a block of a group.
 BLOCK = 4096
 
@@ -245,45 +247,75 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Prefix shingles and their nodes, packed for each bucket."""
         for batch in batches:
-            tokens, nodes = [], []
+            tokens, nodes, sizes = [], [], []
             for _, s in shingle_sets(batch.column(2), k):
                 if len(s):
                     p = _prefix(s, told.value, num, den)
                     tokens.append(p)
                     nodes.append(np.full(len(p), _node(s), np.int64))
+                    sizes.append(np.full(len(p), len(s), np.int32))
             if tokens:
-                tokens, nodes = np.concatenate(tokens), np.concatenate(nodes)
+                tokens, nodes, sizes = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
                 where = (tokens >> np.uint64(20)) % np.uint64(buckets)
                 order = np.lexsort((nodes, where))
-                tokens, nodes, where = tokens[order], nodes[order], where[order]
+                tokens, nodes, sizes, where = tokens[order], nodes[order], sizes[order], where[order]
                 at = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
                 full = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([tokens[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()), pa.array([nodes[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "tokens", "nodes"])
+                packed = [pa.array([x[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()) for x in (tokens, nodes, sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *packed], names=["bucket", "tokens", "nodes", "sizes"])
 
     def shared(frame: pa.Table) -> pa.Table:
-        """The shingles of a bucket that two nodes or more publish."""
+        """What nodes of fitting sizes share in a bucket: pairs (kind 0) for shingles of few nodes, else cells (kind 1)."""
         token = np.frombuffer(b"".join(frame.column("tokens").to_pylist()), np.uint64).view(np.int64)
         node = np.frombuffer(b"".join(frame.column("nodes").to_pylist()), np.int64)
-        order = np.lexsort((node, token))
-        token, node = token[order], node[order]
+        n = np.frombuffer(b"".join(frame.column("sizes").to_pylist()), np.int32).astype(np.int64)
+        order = np.lexsort((node, n, token))
+        token, node, n = token[order], node[order], n[order]
         keep = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-        token, node = token[keep], node[keep]
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        token, node, n = token[keep], node[keep], n[keep]
+        near = (token[1:] == token[:-1]) & (num * n[1:] <= den * n[:-1])
+        keep = np.concatenate([[False], near]) | np.concatenate([near, [False]])
+        token, node, n = token[keep], node[keep], n[keep]
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))[: len(token)]
         count = np.diff(np.concatenate([start, [len(token)]]))
-        keep = np.repeat(count > 1, count)
-        return pa.table({"token": token[keep], "node": node[keep], "df": np.repeat(count, count)[keep]})
-
-    matrix = written(rows.mapInArrow(publish, "bucket long, tokens binary, nodes binary").groupBy("bucket").applyInArrow(shared, "token long, node long, df long"), "ngram-matrix")
-    chosen = matrix.groupBy("node").agg(F.max(F.struct("df", "token")).alias("g")).select("node", F.col("g.token").alias("grp"))
+        wide = np.repeat(count > FEW, count)
+        out = [(np.ones(wide.sum(), np.int32), token[wide], node[wide], np.zeros(wide.sum(), np.int64), n[wide])]
+        token, node, n = token[~wide], node[~wide], n[~wide]
+        for step in range(1, FEW):
+            i = np.flatnonzero((token[step:] == token[:-step]) & (num * n[step:] <= den * n[:-step]))
+            if not len(i):
+                break
+            j = i + step
+            first = np.where(node[i] < node[j], i, j)
+            last = i + j - first
+            out.append((np.zeros(len(i), np.int32), node[first], node[last], n[first], n[last]))
+        return pa.table(dict(zip(["kind", "a", "b", "na", "nb"], (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
+
+    shape = "kind int, a long, b long, na long, nb long"
+    raw = written(rows.mapInArrow(publish, "bucket long, tokens binary, nodes binary, sizes binary").groupBy("bucket").applyInArrow(shared, shape), "ngram-shared")
+    cells = raw.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("nb").alias("n"))
+    # whichever of two prefixes ends first has all that it shares with the other set in both, so a pair that links has
+    # at least so many shingles of the prefixes in common: overlap needed - least overlap of the larger set + 1
+    loose = cells.groupBy("node").agg(F.count("*").alias("more"))
+    pairs = raw.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    pairs = pairs.join(loose.select(F.col("node").alias("a"), F.col("more").alias("ma")), "a", "left").join(loose.select(F.col("node").alias("b"), F.col("more").alias("mb")), "b", "left")
+    overlap, large = f"({num} * (na + nb) + {num + den - 1}) div {num + den}", f"({num} * greatest(na, nb) + {den - 1}) div {den}"
+    pairs = pairs.where(f"common + least(coalesce(ma, 0), coalesce(mb, 0)) >= {overlap} - {large} + 1")
+    ends = pairs.select(F.xxhash64("a", "b").alias("token"), F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("na").alias("n")), F.struct(F.col("b").alias("node"), F.col("nb").alias("n")))).alias("e"))
+    counted = cells.groupBy("token").agg(F.count("*").alias("df"))
+    ends = ends.select("token", "e.node", "e.n", F.lit(2).cast("long").alias("df"))
+    matrix = written(ends.unionByName(cells.join(counted, "token")), "ngram-matrix")
+    chosen = matrix.groupBy("node").agg(F.max(F.struct("df", "token")).alias("g"), F.max("n").alias("n")).select("node", "n", F.col("g.token").alias("grp"))
     sized = chosen.groupBy("grp").agg(F.count("*").alias("size"))
     grouped = written(chosen.join(sized, "grp").withColumn("blocks", F.expr(f"(size + {BLOCK} - 1) div {BLOCK}")).withColumn("block", F.expr("pmod(hash(node), blocks)")), "ngram-groups")
 
-    # which node visits which other group: a shared shingle, and the other group the larger one
-    cells = matrix.select("token", "node").join(grouped.select("node", "grp", "size"), "node")
-    by_group = cells.select("token", "grp", "size").distinct()
-    crossing = by_group.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    others = by_group.join(crossing, "token").select("token", F.col("grp").alias("to_grp"), F.col("size").alias("to_size"))
-    visits = cells.join(others, "token").where("struct(to_size, to_grp) > struct(size, grp)").select("node", F.col("to_grp").alias("grp")).distinct()
+    # which node visits which other group: a shared shingle, the other group the larger one, and sizes that can link
+    cells = matrix.select("token", "node").join(grouped.select("node", "grp", "size", "n"), "node")
+    by_group = cells.groupBy("token", "grp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    crossing = by_group.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
+    others = by_group.join(crossing, "token").select("token", F.col("grp").alias("to_grp"), F.col("size").alias("to_size"), "low", "high")
+    fits = f"struct(to_size, to_grp) > struct(size, grp) and {num} * n <= {den} * high and {num} * low <= {den} * n"
+    visits = cells.join(others, "token").where(fits).select("node", F.col("to_grp").alias("grp")).distinct()
 
     # whole sets of the nodes that take part
     rep = own.where("node is not null").groupBy("node").agg(F.min("pick").alias("pick"))

@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-MODULES = ["linking"]
+MODULES = ["linking", "scalars"]
 
 
 def load() -> None:

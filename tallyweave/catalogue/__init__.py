@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-MODULES = ["linking", "scalars"]
+MODULES = ["linking", "scalars", "series", "predicates", "aggregates"]
 
 
 def load() -> None:

@@ -7,6 +7,7 @@ from tallyweave.functions.geo import distance_m
 from tallyweave.operators import linkage as lk
 from tallyweave.operators import ranges
 
+C = F.col
 SECONDS = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
 K = F.get_json_object("props", "$.k").cast("int")
 
@@ -70,18 +71,12 @@ def key_match(t):
     return lk.assign(lk.key_edges(side(t, "click", "i", number=number, blocks=ACCOUNT), side(t, "view", "j", number=number, blocks=ACCOUNT), ["account"]))
 
 
-@query("link_stored_ids", """WITH RECURSIVE o AS (SELECT o_orderkey AS i, CAST(o_orderkey AS VARCHAR) AS own, CASE WHEN o_orderkey % 3 = 0 THEN 'L' || (o_orderkey // 2) ELSE '' END AS other FROM orders WHERE o_orderkey < 600),
-l AS (SELECT DISTINCT l_orderkey AS j, 'L' || l_orderkey AS own FROM lineitem WHERE l_orderkey < 600),
-edges AS (SELECT i, j FROM o JOIN l ON o.other = l.own),
-ranked AS (SELECT i, j, row_number() OVER (ORDER BY i, j) AS r FROM edges),
-walk(r, ui, uj, i, j) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[], NULL::BIGINT, NULL::BIGINT UNION ALL
-  SELECT e.r, CASE WHEN free THEN list_append(ui, e.i) ELSE ui END, CASE WHEN free THEN list_append(uj, e.j) ELSE uj END, CASE WHEN free THEN e.i END, CASE WHEN free THEN e.j END
-  FROM (SELECT w.ui, w.uj, e.*, NOT list_contains(w.ui, e.i) AND NOT list_contains(w.uj, e.j) AS free FROM walk w JOIN ranked e ON e.r = w.r + 1) e)
-SELECT i, j FROM walk WHERE i IS NOT NULL""")
+@query("link_stored_ids", "SELECT min(o_orderkey) AS i, o_orderkey // 2 AS j FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey // 2 IN (SELECT l_orderkey FROM lineitem) GROUP BY o_orderkey // 2")
 def stored_ids(t):
     none = F.lit(0.0)
-    a = lk.dive_side(t.orders.where("o_orderkey < 600"), "i", F.col("o_orderkey"), none, none, none, own_id=F.col("o_orderkey"), other_id=F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("L"), F.expr("o_orderkey div 2").cast("string"))).otherwise(""))
-    b = lk.dive_side(t.lineitem.where("l_orderkey < 600").select("l_orderkey").distinct(), "j", F.col("l_orderkey"), none, none, none, own_id=F.concat(F.lit("L"), F.col("l_orderkey").cast("string")))
+    k = C("o_orderkey")
+    a = lk.dive_side(t.orders, "i", k, none, none, none, own_id=k, other_id=F.when(k % 3 == 0, F.concat(F.lit("L"), F.expr("o_orderkey div 2").cast("string"))).otherwise(""))
+    b = lk.dive_side(t.lineitem.select("l_orderkey").distinct(), "j", C("l_orderkey"), none, none, none, own_id=F.concat(F.lit("L"), C("l_orderkey").cast("string")))
     return lk.assign(lk.link_edges(a, b), ("i", "j"))
 
 

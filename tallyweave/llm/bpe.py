@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Beyond so many kept pre-tokens a worker starts its store anew.
-CACHE = 300_000
+CACHE = 100_000
 #: Pre-tokens longer than this many bytes are encoded but not kept.
 CACHE_BYTES = 256
 

@@ -24,7 +24,7 @@ from tallyweave.llm.labelled import MAX_TRAIN, held_out, training_rows
 VOCABULARY, DIM = 1 << 13, 32
 WINDOW = 2
 #: Bytes of text whose word vectors are pooled at once.
-POOL = 1 << 19
+POOL = 1 << 18
 HIDDEN, EPOCHS, SEED = 32, 40, 11
 CAPS, SAME = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single document is handled alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _RND = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -8,17 +8,16 @@ from tallyweave.operators import linkage as lk
 from tallyweave.operators import ranges
 
 C = F.col
-SECONDS = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-K = F.get_json_object("props", "$.k").cast("int")
 
 
 def side(t, kind: str, name: str, shift=None, **more):
     rows = t.events.where(F.col("event_type") == kind)
-    at = SECONDS if shift is None else SECONDS + shift
-    return lk.dive_side(rows, name, F.col("event_id"), at, F.col("value"), K * 60, **more)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    k = F.get_json_object("props", "$.k").cast("int")
+    return lk.dive_side(rows, name, F.col("event_id"), at if shift is None else at + shift, F.col("value"), k * 60, **more)
 
 
-ACCOUNT = {"account": F.col("user_id")}
+ACCOUNT = {"account": "user_id"}
 
 #: The two sides in SQL.
 SIDES = """

@@ -63,11 +63,12 @@ def same_text(t):
     return t.orders.select("o_orderkey", cm.same("text", C("o_orderpriority"), F.when(k == 0, F.concat(F.lit(" "), "o_orderpriority")).when(k == 1, C("o_orderpriority")).otherwise("None")).alias("same"))
 
 
-TANKS = F.struct(F.lit(21.0).alias("oxygen"), F.lit(0.0).alias("helium"), C("l_extendedprice").alias("start"), C("l_quantity").alias("end"), F.lit(12.0).alias("volume"), F.when(C("l_linenumber") % 2 == 0, F.concat(F.lit("T"), C("l_linenumber").cast("string"))).alias("name"))
+def tank():
+    return F.struct(F.lit(21.0).alias("oxygen"), F.lit(0.0).alias("helium"), C("l_extendedprice").alias("start"), C("l_quantity").alias("end"), F.lit(12.0).alias("volume"), F.when(C("l_linenumber") % 2 == 0, F.concat(F.lit("T"), C("l_linenumber").cast("string"))).alias("name"))
 
 
 def tank_lists(t, *extra):
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", TANKS.alias("t")))).alias("x"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", tank().alias("t")))).alias("x"))
     return rows.withColumn("a", F.transform("x", lambda x: x["t"]))
 
 

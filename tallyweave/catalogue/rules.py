@@ -10,13 +10,13 @@ from tallyweave.plans import templates as tp
 
 C = F.col
 FIELDS = {f.key: f for f in (rl.Field("a.notes"), rl.Field("a.site"), rl.Field("a.place"), rl.Field("a.tags", "list"), rl.Field("a.number", "number"), rl.Field("b.notes"), rl.Field("b.title", max_length=30), rl.Field("b.words"), rl.Field("b.number", "number"))}
-K = C("o_orderkey")
 
 
 def pairs(t):
-    a = F.struct(F.when(K % 4 == 0, "").otherwise(C("o_orderpriority")).alias("notes"), F.concat(F.lit("Site "), (K % 10).cast("string")).alias("site"), F.when(K % 3 == 0, F.lit(None)).otherwise(C("o_orderstatus")).alias("place"), F.array(F.lit("x"), C("o_orderstatus")).alias("tags"), K.cast("double").alias("number"))
-    b = F.struct(F.when(K % 5 == 0, "").when(K % 5 == 1, C("o_orderpriority")).otherwise("other").alias("notes"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("words"), F.when(K % 2 == 0, K.cast("double")).alias("number"))
-    return t.orders.select(K.alias("i"), K.alias("j"), a.alias("a"), b.alias("b"))
+    k = C("o_orderkey")
+    a = F.struct(F.when(k % 4 == 0, "").otherwise(C("o_orderpriority")).alias("notes"), F.concat(F.lit("Site "), (k % 10).cast("string")).alias("site"), F.when(k % 3 == 0, F.lit(None)).otherwise(C("o_orderstatus")).alias("place"), F.array(F.lit("x"), C("o_orderstatus")).alias("tags"), k.cast("double").alias("number"))
+    b = F.struct(F.when(k % 5 == 0, "").when(k % 5 == 1, C("o_orderpriority")).otherwise("other").alias("notes"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("words"), F.when(k % 2 == 0, k.cast("double")).alias("number"))
+    return t.orders.select(k.alias("i"), k.alias("j"), a.alias("a"), b.alias("b"))
 
 
 SENT = "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END"
@@ -96,7 +96,7 @@ def outcome_counts(t):
 
 @query("template_dates", "SELECT o_orderkey, 'no ' || o_orderkey || ' on ' || strftime(o_orderdate, '%d.%m.%Y') AS text FROM orders")
 def dates(t):
-    value = {"n": (K, "number"), "at": (C("o_orderdate").cast("timestamp_ntz"), "datetime")}
+    value = {"n": (C("o_orderkey"), "number"), "at": (C("o_orderdate").cast("timestamp_ntz"), "datetime")}
     return t.orders.select("o_orderkey", tp.render("no {n} on {at:%d.%m.%Y}", value.__getitem__).alias("text"))
 
 

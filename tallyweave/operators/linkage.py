@@ -59,7 +59,7 @@ def shift_text(minutes: Column) -> Column:
     return F.concat(F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60).cast("string"), F.lit(":"), F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"))
 
 
-def dive_side(df: DataFrame, side: str, ordinal: Column, local_s: Column, depth: Column, duration: Column, utc_s: Column | None = None, number: Column | None = None, own_id: Column | None = None, other_id: Column | None = None, blocks: dict[str, Column] | None = None) -> DataFrame:
+def dive_side(df: DataFrame, side: str, ordinal: Column, local_s: Column, depth: Column, duration: Column, utc_s: Column | None = None, number: Column | None = None, own_id: Column | None = None, other_id: Column | None = None, blocks: dict[str, Column | str] | None = None) -> DataFrame:
     """One side: ordinal, start in seconds (local, and UTC where known), depth, duration, key number and ids."""
     none = lambda kind: F.lit(None).cast(kind)
     values = {
@@ -72,7 +72,7 @@ def dive_side(df: DataFrame, side: str, ordinal: Column, local_s: Column, depth:
         "_own": none("string") if own_id is None else own_id.cast("string"),
         "_other": none("string") if other_id is None else other_id.cast("string"),
     }
-    return df.select(*[c.alias(n) for n, c in (blocks or {}).items()], *[c.alias(side + n) for n, c in values.items()])
+    return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in (blocks or {}).items()], *[c.alias(side + n) for n, c in values.items()])
 
 
 def delta(sign_from: str = "i", to: str = "j") -> Column:

@@ -1,7 +1,7 @@
 """Every registered query against its SQL."""
 
 import pytest
-from conftest import DATA
+from comparing import DATA
 
 from tallyweave import catalogue
 

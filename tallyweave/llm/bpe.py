@@ -21,8 +21,10 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.llm.textscan import bounded_batches
+
 #: Beyond so many kept pre-tokens a worker starts its store anew.
-CACHE = 100_000
+CACHE = 1 << 16
 #: Pre-tokens longer than this many bytes are encoded but not kept.
 CACHE_BYTES = 256
 
@@ -129,6 +131,7 @@ _coders: dict = {}
 
 
 def _shared_ranks(spark: SparkSession, rank_file: str):
+    bounded_batches(spark)
     content = Path(rank_file).read_bytes()
     return spark.sparkContext.broadcast((hashlib.sha256(content).hexdigest(), content))
 

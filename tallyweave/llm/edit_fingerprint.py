@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.textscan import bounded_batches
 from tallyweave.session import written
 
 SLOTS = 128
@@ -124,6 +125,7 @@ def in_parts(texts: list[str]) -> list[str]:
 
 def fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint") -> DataFrame:
     """Add the column ``to``. Null text counts as empty."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def made(texts: pd.Series) -> pd.Series:
@@ -172,6 +174,7 @@ def edit_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Of the last floor(n / 3) code points as many are replaced as the next text has. Texts are shuffled
     once, by ranges of the key; each range hands its first text on to the range before it.
     """
+    bounded_batches(docs.sparkSession)
     names = ["kind", "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "text"]
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = F.desc_nulls_last("id")

@@ -35,8 +35,10 @@ from tallyweave.session import written
 
 #: At most so many frequent shingles are told to all tasks (8 bytes each).
 FREQUENT = 1 << 17
-#: Seen in so many rows of one batch, and in all; counted in prefixes only.
+#: Seen in so many rows of one stretch, and in all; counted in prefixes only.
 FREQUENT_BATCH, FREQUENT_ALL = 2, 8
+#: Prefix shingles of one stretch of rows, about.
+STRETCH = 1 << 20
 #: Shingles in one bucket of the matrix, about.
 BUCKET = 300_000
 #: Shingles that so many nodes or fewer publish give pairs; others cells of the matrix.
@@ -217,24 +219,34 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
     Rows that repeat a key are handled one by one. No rows give no rows. Other columns aren't read.
     """
     spark = docs.sparkSession
+    ts.bounded_batches(spark)
     # the key of a text to fetch later: null keys fall back on the text itself
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text))).alias("pick"), F.col(text).cast("string").alias("text"))
 
     def first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def often_here() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            token, n = token[n >= FREQUENT_BATCH].view(np.int64), n[n >= FREQUENT_BATCH]
+            none = pa.nulls(len(token), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([1] * len(token), pa.int32()), none, none, pa.array(n, pa.int64()), pa.array(token)], names=["kind", "doc", "pick", "n", "node"])
+
         for batch in batches:
-            sizes, nodes, prefixes = [], [], []
+            sizes, nodes = [], []
             for _, s in shingle_sets(batch.column(2), k):
                 sizes.append(len(s))
                 nodes.append(_node(s) if len(s) else None)
                 if len(s):
-                    prefixes.append(s[: len(s) - _least(len(s), num, den) + 1])
+                    held.append(s[: len(s) - _least(len(s), num, den) + 1].copy())
+                    count += len(held[-1])
             m = len(sizes)
             yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["kind", "doc", "pick", "n", "node"])
-            if prefixes:
-                token, count = np.unique(np.concatenate(prefixes), return_counts=True)
-                token, count = token[count >= FREQUENT_BATCH].view(np.int64), count[count >= FREQUENT_BATCH]
-                none = pa.nulls(len(token), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(token), pa.int32()), none, none, pa.array(count, pa.int64()), pa.array(token)], names=["kind", "doc", "pick", "n", "node"])
+            if count >= STRETCH:
+                yield often_here()
+                held, count = [], 0
+        if held:
+            yield often_here()
 
     seen = written(rows.mapInArrow(first_scan, "kind int, doc long, pick long, n long, node long"), "ngram-rows")
     own = seen.where("kind = 0").select("doc", "pick", "n", "node")
@@ -246,23 +258,30 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Prefix shingles and their nodes, packed for each bucket."""
+        tokens, nodes, sizes, count = [], [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+            where = (token >> np.uint64(20)) % np.uint64(buckets)
+            order = np.lexsort((node, where))
+            at = np.searchsorted(where[order], np.arange(buckets + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(at))
+            columns = [pa.array([x[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()) for x in (token[order], node[order], size[order])]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *columns], names=["bucket", "tokens", "nodes", "sizes"])
+
         for batch in batches:
-            tokens, nodes, sizes = [], [], []
             for _, s in shingle_sets(batch.column(2), k):
                 if len(s):
                     p = _prefix(s, told.value, num, den)
-                    tokens.append(p)
+                    tokens.append(p.copy())
                     nodes.append(np.full(len(p), _node(s), np.int64))
                     sizes.append(np.full(len(p), len(s), np.int32))
-            if tokens:
-                tokens, nodes, sizes = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-                where = (tokens >> np.uint64(20)) % np.uint64(buckets)
-                order = np.lexsort((nodes, where))
-                tokens, nodes, sizes, where = tokens[order], nodes[order], sizes[order], where[order]
-                at = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(at))
-                packed = [pa.array([x[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()) for x in (tokens, nodes, sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *packed], names=["bucket", "tokens", "nodes", "sizes"])
+                    count += len(p)
+            if count >= STRETCH:
+                yield packed()
+                tokens, nodes, sizes, count = [], [], [], 0
+        if tokens:
+            yield packed()
 
     def shared(frame: pa.Table) -> pa.Table:
         """What nodes of fitting sizes share in a bucket: pairs (kind 0) for shingles of few nodes, else cells (kind 1)."""

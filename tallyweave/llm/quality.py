@@ -170,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, rest: int = 1, most:
     Word vectors come from all of ``docs``. Without labelled rows every score will be 1; with one class
     only, that class.
     """
+    ts.bounded_batches(docs.sparkSession)
     net = Network(contexts(docs, text))
     vectors = docs.sparkSession.sparkContext.broadcast(net.vectors)
 
@@ -186,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, rest: int = 1, most:
 
 def score(docs: DataFrame, net: Network, text: str = "text", to: str = "score") -> DataFrame:
     """Add the column ``to``: how likely quality is 1, between 0 and 1. Null text counts as empty."""
+    ts.bounded_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("double")

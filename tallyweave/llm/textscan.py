@@ -9,9 +9,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once; a longer single document is handled alone.
 CHUNK = 1 << 19
+#: Bytes of an Arrow batch, about; a longer single row is a batch of its own.
+BATCH = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let texts go to Python in batches of BATCH bytes, unless the session asks for less.
+
+    Spark counts rows by default, and 10,000 long texts would be held by the executor and its workers at once.
+    """
+    if int(spark.conf.get(_BATCH_SETTING, None) or 1 << 62) > BATCH:
+        spark.conf.set(_BATCH_SETTING, str(BATCH))
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _RND = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -253,6 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, rest: int = 0, most:
     By the hash of the id four tenths of them give the lexicon, four grow trees, two calibrate. Without
     labelled rows every score is 0; with one class only, that class.
     """
+    ts.bounded_batches(docs.sparkSession)
     model = Boosted()
     rows = training_rows(docs, labels, "toxic", parts, rest, most, key, text)
     model.lexicon = _learn_terms(rows.where("part < 4").select("text", "y"))
@@ -279,6 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, rest: int = 0, most:
 
 def score(docs: DataFrame, model: Boosted, text: str = "text", to: str = "score") -> DataFrame:
     """Add the column ``to``: how likely toxic is 1, between 0 and 1. Null text counts as empty."""
+    ts.bounded_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -106,9 +106,8 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     """The target are the documents that are labelled as of good quality."""
     from tallyweave.llm import lm_score
 
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    return lm_score.score(docs, F.col("good"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,25 @@ def test_odd_rows(odd, nothing):
     assert all((r["score"] is None) == (r["n_tokens"] == 0) for r in rows)
     assert lm.score(odd, F.lit(None).cast("boolean")).count() == len(rows)
     assert lm.score(nothing, F.lit(True)).count() == 0
+
+
+def test_every_type_and_pair_is_counted(spark):
+    """More token types than 2^15 and more pairs than 2^20 have counts of their own, over several groups and slices."""
+    rng = np.random.default_rng(5)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(60_000)]
+    docs = [(i, " ".join(words[j] for j in rng.permutation(60_000)[:30_000])) for i in range(50)]
+    found = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), F.col("doc_id") < 10).collect()}
+    split = {i: t.split(" ") for i, t in docs}
+    for name, chosen in (("background_loss", range(50)), ("target_loss", range(10))):
+        uni, hist, pair = Counter(), Counter(), Counter()
+        for i in chosen:
+            uni.update(split[i])
+            hist.update(["", *split[i][:-1]])
+            pair.update(zip(["", *split[i][:-1]], split[i], strict=True))
+        total, types = sum(uni.values()), len({w for t in split.values() for w in t})
+        for i in (0, 7, 33):
+            losses = []
+            for a, b in zip(["", *split[i][:-1]], split[i], strict=True):
+                w = lm.BIGRAM if hist[a] else 0.0
+                losses.append(-np.log(w * pair[a, b] / max(hist[a], 1) + (1 - w) * (uni[b] + lm.ADD) / (total + lm.ADD * (types + 1))))
+            assert abs(found[i][name] - np.mean(losses)) < 1e-9

@@ -13,7 +13,9 @@ All texts of a batch walk at once: one numpy step moves every text that has not
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.ngram_join import _roots
 from tallyweave.llm.textscan import bounded_batches
 from tallyweave.session import written
 
@@ -32,6 +35,10 @@ PERIOD, CLASSES = 1 << 12, 256
 PART = 3_000_000
 #: With no more texts left than this, each walks on by itself.
 ALONE = 24
+#: Members of a block of a group of classes.
+BLOCK = 4096
+#: What opened blocks give.
+_LINKS = pa.schema([("kind", pa.int32()), ("grp", pa.int64()), ("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _rng = np.random.default_rng(97)
 #: Steps that a walk stands on a character of a class, when it comes there at a step (modulo PERIOD).
 _bits = _rng.integers(0, 2, (CLASSES, PERIOD), dtype=np.uint8)
@@ -134,21 +141,116 @@ def fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint") ->
     return docs.withColumn(to, made(F.col(text)))
 
 
-def similar(docs: DataFrame, least: float = 0.8, bands: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, likeness): pairs of fingerprint classes that share a band and are alike enough, a < b.
+def _band_keys(need: int) -> tuple[int, list[tuple[int, ...]]]:
+    """Slots in a band, and the choices of bands that serve as keys: fingerprints that agree in ``need`` slots share one for sure.
+
+    As many bands stay intact as there are bands more than slots that differ. Where these are enough, bands are
+    put in fewer sections than stay intact, so that two intact ones fall in one section: a key is two bands.
+    """
+    differ = SLOTS - need
+    bands = next((n for n in (32, 64, 128) if n > differ), None)
+    if bands is None:
+        raise ValueError("least must be above 0")
+    sections = min(bands - differ - 1, bands // 2)
+    if sections < 4:
+        return SLOTS // bands, [(i,) for i in range(bands)]
+    return SLOTS // bands, [pair for part in np.array_split(np.arange(bands), sections) for pair in combinations(part.tolist(), 2)]
+
+
+def _forest(prints: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that agree in ``need`` slots: walks each component, looking only at what isn't reached yet."""
+    left, out = np.arange(len(prints)), []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            u = queue.pop()
+            hit = (prints[left] == prints[u]).sum(1) >= need
+            out += [(u, int(v)) for v in left[hit]]
+            queue += left[hit].tolist()
+            left = left[~hit]
+    return out
+
+
+def _open_blocks(need: int):
+    """Rows sorted by block. Role 0: a member; 1: a visitor; 2: the pivot of a group of several blocks (also a visitor).
+
+    Links have kind 0; members of such a group that the pivot doesn't reach have kind 1.
+    """
+
+    def opened(grp: int, block: int, role: np.ndarray, node: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        own, names = prints[role == 0], node[role == 0]
+        inner = _forest(own, need) if not (role == 1).any() else []  # visitors come to blocks that have been opened before
+        out = [(0, grp, block, int(names[a]), int(names[b])) for a, b in inner]
+        root, reached = _roots(len(own), inner), np.zeros(len(own), bool)
+        for v in np.flatnonzero(role > 0):
+            hit = np.flatnonzero((own == prints[v]).sum(1) >= need)
+            _, first = np.unique(root[hit], return_index=True)
+            out += [(0, grp, block, int(node[v]), int(names[i])) for i in hit[first]]
+            reached |= np.isin(root, root[hit])
+        if (role == 2).any():
+            out += [(1, grp, block, int(n), None) for n in names[~reached]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, _LINKS.types, strict=True)], schema=_LINKS)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for grp, block, source, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and now != (grp, block, source):
+                    yield ended(now, held)
+                    held = []
+                now = grp, block, source
+                held.append(row)
+        if held:
+            yield ended(now, held)
+
+    def ended(now: tuple, held: list) -> pa.RecordBatch:
+        role, node, prints = zip(*held, strict=True)
+        return opened(*now[:2], np.array(role), np.array(node), np.frombuffer(b"".join(prints), np.uint8).reshape(-1, SLOTS))
+
+    return work
+
+
+def similar(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, likeness): links of fingerprint classes that are alike enough, a < b.
 
     A class holds the documents of one fingerprint and is named by its least key; members are in :func:`classes`.
-    A band is SLOTS / bands slots in a row. Bands that many classes share are joined like any other, in
-    partitions that Spark splits where they are skewed.
+    Rows with a null key take no part. Classes are connected by links just as by all pairs that are alike
+    enough, but pairs that only confirm a connection are not all looked for, so near copies cost about as many
+    links as there are classes and not their square.
+
+    Classes that share bands (see :func:`_band_keys`) form a group. Large groups are cut into blocks that are
+    compared with a common pivot first; what the pivot doesn't reach visits the other blocks.
     """
-    width = 2 * SLOTS // bands
-    known = written(classes(docs, key, text).groupBy("fingerprint").agg(F.min(key).alias("class")), "fingerprints")
-    banded = known.select("class", "fingerprint", F.posexplode(F.array(*[F.substring("fingerprint", 1 + i * width, width) for i in range(bands)])).alias("band", "bits"))
-    a = banded.select("band", "bits", F.col("class").alias("a"), F.col("fingerprint").alias("fa"))
-    b = banded.select("band", "bits", F.col("class").alias("b"), F.col("fingerprint").alias("fb"))
+    need = math.ceil(least * SLOTS)
+    width, keys = _band_keys(need)
+    found = classes(docs, key, text).where(F.col(key).isNotNull()).groupBy("fingerprint").agg(F.min(key).alias("class"))
+    known = written(found.withColumn("node", F.xxhash64("fingerprint")), "fingerprints")
+    bits = [F.xxhash64(F.lit(i), *(F.substring("fingerprint", 1 + 2 * width * b, 2 * width) for b in chosen)) for i, chosen in enumerate(keys)]
+    cells = known.select("node", F.explode(F.array(*bits)).alias("grp"))
+    sized = cells.groupBy("grp").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
+    cut = F.expr(f"(size + {BLOCK} - 1) div {BLOCK}")
+    members = written(cells.join(sized, "grp").withColumn("blocks", cut).withColumn("block", F.expr("pmod(hash(node), blocks)")), "fingerprint-groups")
+    prints = known.select("node", F.unhex("fingerprint").alias("print"))
+
+    def opened(parts: DataFrame) -> DataFrame:
+        order = ["grp", "block", "source"]
+        full = parts.join(prints, "node").select(*order, "role", "node", "print")
+        return written(full.repartition(*order).sortWithinPartitions(*order, "role", "node").mapInArrow(_open_blocks(need), "kind int, grp long, block long, a long, b long"), "fingerprint-links")
+
+    own = members.select("grp", "block", F.lit(0).cast("long").alias("source"), F.lit(0).alias("role"), "node")
+    many = members.where("blocks > 1").select("grp", "block", "pivot").distinct()
+    first = opened(own.unionByName(many.select("grp", "block", F.lit(0).cast("long").alias("source"), F.lit(2).alias("role"), F.col("pivot").alias("node"))))
+    links = first.where("kind = 0").select("a", "b")
+    left = first.where("kind = 1").select("grp", F.col("block").alias("source"), F.col("a").alias("node"))
+    if not left.isEmpty():
+        # a block's stragglers visit each other block; no task holds more than two blocks at once
+        visits = left.join(many.select("grp", "block"), "grp").where("block <> source").select("grp", "block", "source", F.lit(1).alias("role"), "node")
+        homes = own.drop("source").join(visits.select("grp", "block", "source").distinct(), ["grp", "block"])
+        links = links.unionByName(opened(visits.unionByName(homes)).where("kind = 0").select("a", "b"))
+    a, b = (known.select(F.col("node").alias(x), F.col("class").alias(f"class_{x}"), F.col("fingerprint").alias(f"f{x}")) for x in "ab")
+    pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(a, "a").join(b, "b")
     same = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, i: n + (F.substring("fa", 2 * i + 1, F.lit(2)) == F.substring("fb", 2 * i + 1, F.lit(2))).cast("int"))
-    pairs = a.join(b, ["band", "bits"]).where("a < b").select("a", "b", "fa", "fb").distinct()
-    return pairs.select("a", "b", (same / F.lit(float(SLOTS))).alias("likeness")).where(F.col("likeness") >= least)
+    return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), (same / F.lit(float(SLOTS))).alias("likeness"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,11 +1,13 @@
 import hashlib
 
 import numpy as np
+import pytest
 from comparing import DATA
 from pyspark.sql import functions as F
 
 from tallyweave.llm import edit_fingerprint as ef
 from tallyweave.llm import multi_index
+from tallyweave.llm.ngram_join import _roots
 from tallyweave.llm.queries import op3_multi_index, op4_edit_fingerprint
 
 
@@ -77,3 +79,62 @@ def test_odd_documents(odd, nothing):
     assert ef.edit_digests(nothing).count() == 0
     pairs = ef.similar(odd.where("doc_id is not null")).collect()
     assert all(r["a"] < r["b"] and r["likeness"] >= 0.8 for r in pairs)
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, block):
+    rng = np.random.default_rng(11)
+
+    def other(x, slots):
+        y = x.copy()
+        y[slots] ^= 1
+        return y
+
+    bases = rng.integers(0, 256, (150, ef.SLOTS), dtype=np.uint8)
+    prints = [*bases]
+    prints += [other(x, np.arange(25) * 5) for x in bases]  # at the threshold, no band of 8 slots intact
+    prints += [other(x, rng.choice(ef.SLOTS, 25 + i % 3, replace=False)) for i, x in enumerate(bases)]
+    prints += [other(bases[0], rng.choice(ef.SLOTS, 3, replace=False)) for _ in range(300)]
+    chain = rng.integers(0, 256, ef.SLOTS, dtype=np.uint8)
+    for i in range(60):  # neighbours are alike enough, the ends are not; the first slots are common
+        chain = other(chain, 8 + rng.choice(ef.SLOTS - 8, 25, replace=False))
+        prints.append(chain)
+    prints += [np.concatenate([bases[1][:8], x[8:]]) for x in rng.integers(0, 256, (100, ef.SLOTS), dtype=np.uint8)]
+    prints = np.unique(np.array(prints), axis=0)
+    rows = [(i, x.tobytes().hex()) for i, x in enumerate(prints)]
+    agree = np.array([(prints == x).sum(1) for x in prints])
+
+    def roots(pairs):
+        return [frozenset(np.flatnonzero(r == r[i]).tolist()) for r in [_roots(len(prints), pairs)] for i in range(len(prints))]
+
+    monkeypatch.setattr(ef, "classes", lambda docs, key, text: docs)
+    monkeypatch.setattr(ef, "BLOCK", block, raising=False)
+    got = ef.similar(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    assert all(r["a"] < r["b"] and r["likeness"] == agree[r["a"], r["b"]] / ef.SLOTS >= 0.8 for r in got)
+    assert len({(r["a"], r["b"]) for r in got}) == len(got)
+    every = [(int(a), int(b)) for a, b in np.argwhere(agree >= 103) if a < b]
+    print("links", len(got), "of", len(every), "pairs")
+    assert roots([(r["a"], r["b"]) for r in got]) == roots(every)
+    assert len(got) < len(every) / 4
+
+
+def test_keys_are_shared_at_every_threshold():
+    rng = np.random.default_rng(12)
+    for need in (1, 40, 64, 97, 100, 103, 110, 127, 128):
+        width, keys = ef._band_keys(need)
+        for _ in range(200):
+            intact = np.ones(ef.SLOTS, bool)
+            intact[rng.choice(ef.SLOTS, ef.SLOTS - need, replace=False)] = False
+            whole = intact.reshape(-1, width).all(1)
+            assert any(all(whole[b] for b in k) for k in keys)
+
+
+def test_pairs_at_the_threshold_are_found(spark, monkeypatch):
+    rows = []
+    for i, x in enumerate(np.random.default_rng(13).integers(0, 256, (20, ef.SLOTS), dtype=np.uint8)):
+        y = x.copy()
+        y[np.arange(25) * 5] ^= 1  # no eight slots in a row are intact
+        rows += [(2 * i, x.tobytes().hex()), (2 * i + 1, y.tobytes().hex())]
+    monkeypatch.setattr(ef, "classes", lambda docs, key, text: docs)
+    got = ef.similar(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    assert sorted(tuple(r) for r in got) == [(2 * i, 2 * i + 1, 103 / ef.SLOTS) for i in range(20)]

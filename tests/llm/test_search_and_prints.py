@@ -33,6 +33,49 @@ def test_recall_and_scores(spark):
     assert hit / (10 * len(found)) >= 0.9
 
 
+@pytest.mark.parametrize("block", [8192, 50])
+def test_all_cells_opened_give_exact_results(spark, monkeypatch, block):
+    """With every cell opened, whatever blocks the lists are dealt in, all pairs decide; a third of the rows is one vector."""
+    monkeypatch.setattr(multi_index, "ENTRY_BLOCK", block)
+    monkeypatch.setattr(multi_index, "QUERY_BLOCK", block // 10)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(400, 6)), np.repeat(rng.normal(size=(1, 6)), 200, axis=0), rng.integers(0, 2, (100, 6)) + 1.0])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in multi_index.nearest(df, F.col("vec_id") % 7 == 0, share=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    ids = np.arange(len(x))
+    for q in ids[ids % 7 == 0]:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [int(i) for i in np.lexsort((ids, d)) if i != q][:10]
+        assert got[q] == order
+    assert set(got) == set(ids[ids % 7 == 0].tolist())
+
+
+def test_clusters_open_few_cells():
+    """The share that is fitted follows the structure of the data."""
+    rng = np.random.default_rng(6)
+    loose = rng.normal(size=(4000, 16))
+    tight = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.01 * rng.normal(size=(4000, 16))
+    shares = [multi_index.fitted_share(x, multi_index._halves(x, 16), 10) for x in (loose, tight)]
+    assert shares[1] < 0.15 < shares[0] <= 1
+
+
+def test_pairs_are_popped_in_order_of_distance():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 8))
+    halves = multi_index._halves(x, 8)
+    c1, c2 = multi_index._cells(x, halves)
+    held = np.zeros((8, 8), int)
+    np.add.at(held, (c1, c2), 1)
+    for q in x[:20]:
+        a, b = multi_index._summed(q, halves)
+        opened = {(i, j) for i, js in multi_index.popped(q, halves, held, 100).items() for j in js}
+        order = sorted(((a[i] + b[j], i, j) for i in range(8) for j in range(8) if held[i, j]))
+        least = next(n for n in range(1, 65) if sum(held[i, j] for _, i, j in order[:n]) >= 100)
+        assert opened == {(i, j) for _, i, j in order[:least]}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 2.0]), (1, [1.0, 0.0, 2.0]), (2, [0.0, 0.0, 0.0]), (3, None), (4, [nan, 1.0, 1.0]), (5, [1.0, None, 2.0]), (6, [inf, 0.0, 0.0]), (7, [1.0, 1.0, 1.0]), (8, [5.0]), (None, [1.0, 1.0, 1.0]), (9, []), (100, [1.0, 0.0, 2.0])]

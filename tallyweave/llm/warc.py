@@ -1,31 +1,44 @@
-"""WARC: archives of one gzip member per record, and a sequential reader that verifies them.
+"""WARC: files of one gzip member per record, and a sequential reader that verifies them.
 
-Archives are rows (path, content), each a whole ``.warc.gz`` file of bounded size. Spark writes them as a table to the
-shared folder, so tasks may be tried again; files read by Spark's ``binaryFile`` source have the same columns.
-The reader inflates member by member, frames blocks by Content-Length and checks their digests.
+Both are a Spark data source (``format("warc")``). Each writing task makes whole ``.warc.gz`` files of about
+ARCHIVE bytes below a temporary folder, and the job's commit moves them to the path, so tasks may be tried again.
+The reader goes through a file piece by piece: it inflates member by member, frames blocks by Content-Length and
+checks their digests, holding one record. Files are opened by Arrow's file systems (local or shared folders, HDFS,
+object stores); archives that only Spark can reach go through :func:`read_records`, with their contents in a column.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
-from tallyweave.session import written
+from tallyweave.session import shared_path, written
 
-#: Compressed bytes after which an archive ends, and bytes inflated at a time.
-ARCHIVE, STEP = 1 << 20, 1 << 16
+#: Compressed bytes after which a file ends, and bytes read or inflated at a time.
+ARCHIVE, STEP = 16 << 20, 1 << 16
+#: Records of a batch, at most, and bytes of payload after which a batch ends.
+ROWS, BATCH = 1_000, 4 << 20
 LEVEL = 4
 #: Fixed values of the format.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, valid boolean, payload binary"
+MAGIC = b"\x1f\x8b\x08"
+RECORDS = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, valid boolean, reason string, archive string, payload binary"
+#: What the writer takes.
+PAGES = "page long, url string, html string, again boolean, refers_to long, sha1 string, bytes long"
 
 
 def base32_sha1(content: bytes) -> str:
@@ -54,18 +67,44 @@ def record(page, url: str | None, payload: bytes, refers_to, revisit: bool, dige
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
-def members(content: bytes) -> Iterator[bytes]:
-    """The inflated bytes of each gzip member, one after the other. A cut or damaged member is an error."""
-    view, at = memoryview(content), 0
-    while at < len(view):
-        inflate, out = zlib.decompressobj(31), []
+def members(stream) -> Iterator[tuple[bytes, str | None]]:
+    """(inflated bytes, fault) of each gzip member of a file-like object, read STEP bytes at a time.
+
+    A member that is damaged or cut gives what was inflated, and what is wrong; reading goes on at the next
+    bytes that begin a member. Bytes between members that begin none are a fault of their own.
+    """
+    held = stream.read(STEP)
+    while held:
+        at = held.find(MAGIC)
+        if at:
+            # not at the start of a member: go on where one begins
+            more = b""
+            while at < 0:
+                more = stream.read(STEP)
+                if not more:
+                    break
+                held = held[-2:] + more
+                at = held.find(MAGIC)
+            yield b"", "no gzip member"
+            if at < 0:
+                return
+            held = held[at:]
+        inflate, out, fault = zlib.decompressobj(31), [], None
+        piece, rest = held, b""
         while not inflate.eof:
-            if at >= len(view):
-                raise ValueError("an archive ends within a member")
-            piece = view[at : at + STEP]
-            out.append(inflate.decompress(piece))
-            at += len(piece) - len(inflate.unused_data)
-        yield b"".join(out)
+            if not piece:
+                fault = "cut"
+                break
+            try:
+                out.append(inflate.decompress(piece))
+            except zlib.error as e:
+                fault, rest = f"damaged: {e}", piece[1 if piece is held else 0 :]
+                break
+            rest = inflate.unused_data
+            if not inflate.eof:
+                piece = stream.read(STEP)
+        yield b"".join(out), fault
+        held = rest or stream.read(STEP)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -73,85 +112,205 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def parse(member: bytes, payloads: bool) -> tuple:
-    """A row of RECORDS. ``valid`` says whether length, block digest and payload digest hold."""
+def _whole(text: str | None) -> int | None:
+    return int(text) if text is not None and re.fullmatch("[0-9]{1,18}", text) else None
+
+
+def parse(member: bytes, payloads: bool, fault: str | None = None, archive: str | None = None) -> tuple:
+    """A row of RECORDS. ``valid`` says whether framing, length, block digest and payload digest hold, ``reason`` what doesn't."""
     head, _, rest = member.partition(b"\r\n\r\n")
     fields = _fields(head)
-    length = int(fields["content-length"])
-    block, end = rest[:length], rest[length:]
-    valid = head.startswith(b"WARC/") and len(block) == length and end == b"\r\n\r\n"
-    block_digest = fields.get("warc-block-digest", "").rpartition(":")[2]
-    valid = valid and block_digest in ("", base32_sha1(block))
+    length, kind = _whole(fields.get("content-length")), fields.get("warc-type")
+    wrong = [fault] if fault else []
+    if not head.startswith(b"WARC/"):
+        wrong.append("no WARC version")
+    if kind is None or length is None:
+        wrong += [n for n, v in (("no type", kind), ("no content length", length)) if v is None]
+    block, end = (rest, b"") if length is None else (rest[:length], rest[length:])
+    if length is not None and (len(block) != length or end != b"\r\n\r\n"):
+        wrong.append("content length")
+    stated = fields.get("warc-block-digest", "").rpartition(":")[2]
+    if stated not in ("", base32_sha1(block)):
+        wrong.append("block digest")
     message, _, payload = block.partition(b"\r\n\r\n")
-    size = int(_fields(message).get("content-length", len(payload)))
-    stated = fields.get("warc-payload-digest", "").rpartition(":")[2]
-    kind = fields["warc-type"]
+    size = _whole(_fields(message).get("content-length"))
+    digest = fields.get("warc-payload-digest", "").rpartition(":")[2] or None
     if kind != "revisit":
         found, size = base32_sha1(payload), len(payload)
-        valid = valid and stated in ("", found)
-        stated = found
-    refers = fields.get("warc-refers-to")
-    return fields["warc-record-id"].strip("<>"), kind, fields.get("warc-target-uri"), refers.strip("<>") if refers else None, size, stated, valid, payload if payloads and kind != "revisit" else None
+        if digest not in (None, found):
+            wrong.append("payload digest")
+        digest = found
+    name, refers = fields.get("warc-record-id"), fields.get("warc-refers-to")
+    keep = payload if payloads and kind != "revisit" else None
+    return name.strip("<>") if name else None, kind, fields.get("warc-target-uri"), refers.strip("<>") if refers else None, size, digest, not wrong, ", ".join(wrong) or None, archive, keep
+
+
+_KINDS = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.binary()]
+_NAMES = [x.split()[0] for x in RECORDS.split(", ")]
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _KINDS, strict=True)], names=_NAMES)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"")
+        if len(held) >= ROWS or size >= BATCH:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def read_records(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records (RECORDS) of archives with a column ``content``. Null contents have none; ``payload`` is null unless asked for."""
+    """The records (RECORDS) of archives with a column ``content``, and maybe ``path``. Null contents have none; ``payload`` is null unless asked for.
+
+    A damaged record is a row with ``valid`` false and the ``reason``; what can't be read of it is null.
+    """
+    path = F.col("path").cast("string") if "path" in archives.columns else F.lit(None).cast("string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORDS.split(", ")]
-        kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.bool_(), pa.binary()]
         for batch in batches:
-            for content in batch.column(0):
+            for content, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 if content.is_valid:
-                    rows = [parse(m, payloads) for m in members(content.as_buffer())]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield from _batches(parse(m, payloads, fault, name) for m, fault in members(io.BytesIO(content.as_buffer())))
+
+    return archives.select(F.col("content"), path.alias("path")).mapInArrow(work, RECORDS)
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+@dataclass
+class _Files(InputPartition):
+    paths: tuple[str, ...]
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    names: tuple[str, ...]
+
+
+class WarcSource(DataSource):
+    """``spark.read.format("warc").option("payloads", ...).load(path)`` and ``df.write.format("warc").save(path)`` of rows like PAGES."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def schema(self) -> str:
+        return RECORDS
 
-    return archives.select("content").mapInArrow(work, RECORDS)
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _WarcReader(self.options["path"], str(self.options.get("payloads", "false")).lower() == "true")
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        if overwrite:
+            raise ValueError("archives are only added to: write with mode append")
+        return _WarcWriter(self.options["path"])
+
+
+class _WarcReader(DataSourceReader):
+    #: Bytes of small files that a task reads one after the other, about.
+    PART = 32 << 20
+
+    def __init__(self, path: str, payloads: bool):
+        self.path, self.payloads = path, payloads
+
+    def partitions(self) -> list[_Files]:
+        """Whole files, by name; those that begin with a dot or an underscore are not read."""
+        store, root = _opened(self.path)
+        found = store.get_file_info(fs.FileSelector(root, recursive=False))
+        files = sorted((f.path, f.size or 0) for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._")
+        out, held, size = [], [], 0
+        for path, n in files:
+            if held and size + n > self.PART:
+                out.append(_Files(tuple(held)))
+                held, size = [], 0
+            held.append(path)
+            size += n
+        return [*out, _Files(tuple(held))]
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        store, _ = _opened(self.path)
+        for path in partition.paths:
+            with store.open_input_stream(path, compression=None) as stream:
+                yield from _batches(parse(m, self.payloads, fault, path.rsplit("/", 1)[-1]) for m, fault in members(stream))
+
+
+class _WarcWriter(DataSourceArrowWriter):
+    def __init__(self, path: str):
+        self.path, self.inner = path.rstrip("/"), f"_temporary-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        store, root = _opened(self.path)
+        folder, task = f"{root}/{self.inner}", TaskContext.get()
+        store.create_dir(folder, recursive=True)
+        names, out, size = [], None, 0
+        for batch in iterator:
+            for page, link, text, again, refers, sha, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None:
+                    names.append(f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):06d}.warc.gz")
+                    out, size = store.open_output_stream(f"{folder}/{names[-1]}", compression=None), 0
+                packed = record(page, link, (text or "").encode("utf-8", "surrogatepass"), refers, again, base64.b32encode(bytes.fromhex(sha)).decode(), count)
+                out.write(packed)
+                size += len(packed)
+                if size >= ARCHIVE:
+                    out.close()
+                    out = None
+        if out is not None:
+            out.close()
+        return _Written(tuple(names))
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        store, root = _opened(self.path)
+        store.create_dir(root, recursive=True)
+        for name in (n for m in messages if m for n in m.names):
+            store.move(f"{root}/{self.inner}/{name}", f"{root}/{name}")
+        self.abort(messages)
+        store.open_output_stream(f"{root}/_SUCCESS").close()
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        store, root = _opened(self.path)
+        if store.get_file_info(f"{root}/{self.inner}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/{self.inner}")
 
 
 def read_files(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """The records of the WARC files below a path, one task per file or several files."""
-    return read_records(spark.read.format("binaryFile").load(path), payloads)
+    """The records of the WARC files in a folder, read piece by piece; a task reads whole files."""
+    spark.dataSource.register(WarcSource)
+    return spark.read.format("warc").option("payloads", payloads).load(path)
 
 
-def write_archives(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write a record for each row of ``pages`` and return the archives (path, content), already written.
+def write_archives(pages: DataFrame, path: str | None = None, least: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> str:
+    """Write a record for each row of ``pages`` to ``.warc.gz`` files below ``path``, and return that; None stands for a fresh shared folder.
 
     Of rows with equal payloads of at least ``least`` bytes that with the largest key is the response and the
     others revisit it. Null html is an empty payload; null keys are smaller than any other and null urls left
-    out. Rows that repeat the largest key of a payload are all responses.
+    out. Rows that repeat the largest key of a payload are all responses. Other columns are not read. Without
+    rows there are no files.
     """
+    spark = pages.sparkSession
+    spark.dataSource.register(WarcSource)
     rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
     # only ids and digests meet to find the responses; the payloads are joined by id, which no group of copies skews
     narrow = rows.select("page", "sha", F.octet_length("html").alias("bytes")).where(F.col("bytes") >= least).select("page", "sha").distinct()
     top = narrow.groupBy("sha").agg(F.max("page").alias("top"))
     revisits = written(narrow.join(top, "sha").where(~F.col("page").eqNullSafe(F.col("top"))).select(F.col("page").alias("p"), F.col("sha").alias("s"), "top"), "warc-revisits")
-    full = rows.join(revisits, F.col("page").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left").select("page", "url", F.when(F.col("s").isNull(), F.col("html")).alias("html"), F.col("s").isNotNull().alias("again"), "top", "sha", F.octet_length("html").alias("bytes"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def ended() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{n:06d}.warc.gz"]), pa.array([b"".join(held)], pa.binary())], names=["path", "content"])
-
-        for batch in batches:
-            for page, link, text, again, refers, sha, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                packed = record(page, link, (text or "").encode("utf-8", "surrogatepass"), refers, again, base64.b32encode(bytes.fromhex(sha)).decode(), count)
-                held.append(packed)
-                size += len(packed)
-                if size >= ARCHIVE:
-                    yield ended()
-                    n, held, size = n + 1, [], 0
-        if held:
-            yield ended()
-
-    return written(full.mapInArrow(work, "path string, content binary"), "warc-archives", compression="none")
+    full = rows.join(revisits, F.col("page").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
+    full = full.select("page", "url", F.when(F.col("s").isNull(), F.col("html")).alias("html"), F.col("s").isNotNull().alias("again"), F.col("top").alias("refers_to"), F.col("sha").alias("sha1"), F.octet_length("html").cast("long").alias("bytes"))
+    path = path or shared_path(spark, "warc")
+    full.write.format("warc").mode("append").save(path)
+    return path
 
 
 def write_and_read(pages: DataFrame, least: int = 0, key: str = "page_id") -> DataFrame:
-    """Archive ``pages``, read the archives and return what each record says: the key, payload_bytes,
+    """Archive ``pages``, read the files back and return what each record says: the key, payload_bytes,
     payload_digest, record_type, refers_to, valid. See :func:`write_archives` for the cases."""
-    read = read_records(write_archives(pages, least, key))
+    read = read_files(pages.sparkSession, write_archives(pages, None, least, key))
     number = lambda c: F.regexp_extract(c, "^urn:x-page:(-?[0-9]+)$", 1).try_cast("long")
     return read.select(number("record_id").alias(key), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "valid")

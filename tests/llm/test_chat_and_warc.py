@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -56,8 +57,8 @@ def test_records_against_plain_python(spark):
 def test_odd_pages(spark):
     rows = [(1, "http://a/ b", "x\r\n\r\ny"), (2, None, None), (3, "u", ""), (None, "u", "x\r\n\r\ny"), (4, "u", "é" * 200_000), (5, "u", "same"), (5, "u", "same"), (6, "u", "b"), (7, "u", "b")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("x"))
-    archives = warc.write_archives(df)
-    read = warc.read_records(archives, payloads=True)
+    path = warc.write_archives(df)
+    read = warc.read_files(spark, path, payloads=True)
     assert read.count() == len(rows) and read.where("not valid").count() == 0
     texts = {r["record_id"]: r["payload"] for r in read.where("record_type = 'response'").collect()}
     assert bytes(texts["urn:x-page:1"]).decode() == "x\r\n\r\ny" and bytes(texts["urn:x-page:4"]).decode() == "é" * 200_000
@@ -66,8 +67,36 @@ def test_odd_pages(spark):
     assert warc.write_and_read(df.limit(0)).count() == 0
 
 
-def test_damage_is_seen(spark):
-    good = warc.record(1, "u", b"payload", None, False)
-    bad = warc.record(2, "u", b"payload", None, False, digest=warc.base32_sha1(b"other"))
-    df = spark.createDataFrame(pa.table({"content": pa.array([good + bad, None], pa.binary())}).to_pandas())
-    assert {r["record_id"]: r["valid"] for r in warc.read_records(df).collect()} == {"urn:x-page:1": True, "urn:x-page:2": False}
+def test_files_are_plain_warc(spark, tmp_path):
+    """What was written are files of gzip members; Spark's own binary source reads the same, and other folders are left alone."""
+    df = spark.createDataFrame([(i, f"http://h/{i}", f"page {i % 7} " * 50) for i in range(40)], "page_id long, url string, html string").repartition(3)
+    (tmp_path / "_other").write_text("x")
+    path = warc.write_archives(df, f"file://{tmp_path}")
+    names = sorted(p.name for p in tmp_path.iterdir())
+    assert "_SUCCESS" in names and not any(n.startswith("_temporary") for n in names)
+    files = sorted(tmp_path.glob("*.warc.gz"))
+    plain = b"".join(gzip.decompress(p.read_bytes()) for p in files)
+    assert plain.count(b"WARC/1.1\r\n") == 40 and plain.count(b"WARC-Type: response") == 7
+    key = lambda r: (r["record_id"], r["record_type"], r["target_uri"], r["refers_to"], r["payload_bytes"], r["payload_digest"], r["valid"])
+    ours = sorted(key(r) for r in warc.read_files(spark, path).collect())
+    by_content = warc.read_records(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(str(tmp_path)))
+    assert ours == sorted(key(r) for r in by_content.collect()) and all(r[-1] for r in ours)
+
+
+def test_damage_is_seen(spark, tmp_path):
+    good = [warc.record(i, "u", b"payload" * 40_000, None, False) for i in range(4)]
+    bad = warc.record(9, "u", b"payload", None, False, digest=warc.base32_sha1(b"other"))
+    no_length = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:8>\r\n\r\nabc\r\n\r\n")
+    broken = bytearray(good[2])
+    broken[len(broken) // 2] ^= 0xFF
+    content = good[0] + bad + no_length + bytes(broken) + good[1] + b"noise between" + good[3] + good[2][:-20]
+    (tmp_path / "a.warc.gz").write_bytes(content)
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    df = spark.createDataFrame(pa.table({"content": pa.array([content, None, b""], pa.binary())}).to_pandas())
+    for read in (warc.read_records(df), warc.read_files(spark, str(tmp_path))):
+        rows = read.collect()
+        assert sorted(r["record_id"] for r in rows if r["valid"]) == ["urn:x-page:0", "urn:x-page:1", "urn:x-page:3"]
+        why = {r["record_id"]: r["reason"] for r in rows if not r["valid"]}
+        assert why["urn:x-page:9"] == "payload digest" and why["urn:x-page:8"] == "no content length"
+        assert all(r["reason"] for r in rows if not r["valid"])
+        assert any("cut" in r["reason"] for r in rows if not r["valid"]) and any("no gzip member" in r["reason"] for r in rows if not r["valid"])

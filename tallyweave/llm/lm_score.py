@@ -31,7 +31,7 @@ VOCABULARY = None
 #: Bytes of text in a group, about; a longer document is a group of its own.
 GROUP = 16 << 20
 #: Tokens of the corpus for each slice of the hash, about, and the fewest slices.
-SLICE, SLICES = 1 << 20, 64
+SLICE, SLICES = 1 << 18, 16
 #: Weight of the bigram model, and what each token is counted more than it was seen.
 BIGRAM, ADD = 0.7, 0.5
 _ASKED = "slice long, group long, keys binary, n binary, m binary"

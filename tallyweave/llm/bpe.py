@@ -182,8 +182,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
         coder = _coder(ranks, pattern)
         for part in texts:
             rows = []
-            for t in part:
-                ids = coder.encode(["" if t is None else t])[0]
+            for ids in coder.encode(["" if t is None else t for t in part]):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 

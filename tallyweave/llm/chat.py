@@ -54,23 +54,26 @@ def _tokens(part: Column) -> Column:
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "content") -> DataFrame:
     """One row for each conversation: its id, n_turns, formatted, loss_spans, attachments, attachment_tokens.
 
-    ``content`` is an array of parts (``CONTENT``). Turns are ordered by ``turn``, then role and content, nulls
+    ``content`` is an array of parts (``CONTENT``). Turns are ordered by ``turn``, then role and texts, nulls
     first; repeated rows are turns of their own. Null roles count as empty, null contents and null parts as
-    nothing. Rows with a null id form one conversation. ``loss_spans`` are (start from 0, length) in
+    nothing. Each row with a null id is a conversation of its own, so such rows never meet in one task. ``loss_spans`` are (start from 0, length) in
     code points of ``formatted``, one for each assistant turn. No rows give no rows. A conversation's turns
     are brought together, as they end in one string.
     """
     parts = F.filter(F.coalesce(F.col(content), F.array().cast(CONTENT)), lambda p: p.isNotNull())
-    rows = turns.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.coalesce(F.col(role), F.lit("")).alias("_role"), parts.cast(CONTENT).alias("_parts"))
+    # a row without an id is a conversation of its own
+    alone = F.when(F.col(conv).isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col(conv).alias("_conv"), alone.alias("_alone"), F.col(turn).alias("_turn"), F.coalesce(F.col(role), F.lit("")).alias("_role"), parts.cast(CONTENT).alias("_parts"))
     body = F.array_join(F.transform("_parts", _visit), "")
     rows = rows.withColumn("_body", body).withColumn("_mine", F.col("_role") == "assistant")
     text = F.when(F.col("_mine"), F.concat(F.lit("<s>"), "_body", F.lit("</s>"))).otherwise(F.concat(F.lit("[INST]"), _role_in(F.col("_role")), F.lit("\n"), "_body", F.lit("[/INST]")))
-    order = Window.partitionBy("_conv").orderBy(F.asc_nulls_first("_turn"), "_role", "_body", F.to_json("_parts"))
+    said = F.array_join(F.transform("_parts", lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    order = Window.partitionBy("_conv", "_alone").orderBy(F.asc_nulls_first("_turn"), "_role", said, F.to_json("_parts"))
     rows = rows.withColumn("_text", text).withColumn("_n", F.row_number().over(order))
     rows = rows.withColumn("_at", F.sum(F.length("_text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("_text"))
     placed = F.filter(F.transform("_parts", lambda p, i: F.struct((F.col("_n") - 1).alias("turn"), i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["type"].isin(*TOKENS))
     one = F.struct(F.col("_n"), F.col("_text").alias("text"), F.when(F.col("_mine"), F.struct((F.col("_at") + 3).alias("start"), F.length("_body").cast("long").alias("length"))).alias("span"), placed.alias("placed"))
-    all_turns = rows.groupBy("_conv").agg(F.sort_array(F.collect_list(one)).alias("t"))
+    all_turns = rows.groupBy("_conv", "_alone").agg(F.sort_array(F.collect_list(one)).alias("t"))
     attachments = F.flatten(F.transform("t", lambda x: x["placed"]))
     return all_turns.select(
         F.col("_conv").alias(conv),

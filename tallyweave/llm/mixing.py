@@ -21,6 +21,8 @@ from tallyweave.session import written
 BROADCAST_LEAVES = 20_000
 #: Documents in one bucket of an epoch's order, about.
 BUCKET = 5_000
+#: A budget that is this close to a whole number of epochs, or of tokens, is that number: shares of weights are seldom exact as doubles.
+SLACK = 1e-6
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -92,8 +94,8 @@ def cuts(docs: DataFrame, levels: dict[str, Column], weights: dict[str, DataFram
     leaves = narrow.groupBy(*names, "_leaf").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     leaves = written(leaves, "mix-leaves")
     planned = budgets(leaves, names, weights, total, most_epochs).withColumn("_leaf", _leaf({n: F.col(n) for n in names}))
-    planned = planned.withColumn("epochs", F.when(F.col("n_tokens") > 0, F.floor(F.col("budget") / F.col("n_tokens"))).otherwise(F.lit(0)))
-    planned = planned.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("n_tokens")).withColumn("buckets", F.expr(f"greatest(1, n_docs div {BUCKET})"))
+    planned = planned.withColumn("epochs", F.when(F.col("n_tokens") > 0, F.floor(F.col("budget") / F.col("n_tokens") + F.lit(SLACK))).otherwise(F.lit(0)))
+    planned = planned.withColumn("rest", F.greatest(F.col("budget") - F.col("epochs") * F.col("n_tokens"), F.lit(0.0))).withColumn("buckets", F.expr(f"greatest(1, n_docs div {BUCKET})"))
     planned = written(planned, "mix-plan")
     few = planned.count() <= BROADCAST_LEAVES
     side = F.broadcast if few else (lambda x: x)
@@ -102,13 +104,13 @@ def cuts(docs: DataFrame, levels: dict[str, Column], weights: dict[str, DataFram
     placed = placed.withColumn("_bucket", bucket)
     sums = placed.groupBy("_leaf", "_bucket", "rest").agg(F.sum("n_tokens").alias("_sum"))
     run = Window.partitionBy("_leaf").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    edge = sums.withColumn("_upto", F.sum("_sum").over(run)).where("_upto > rest").groupBy("_leaf").agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_sum")).alias("before"))).alias("e"))
+    edge = sums.withColumn("_upto", F.sum("_sum").over(run)).where(F.col("_upto") > F.col("rest") + SLACK).groupBy("_leaf").agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_sum")).alias("before"))).alias("e"))
     edge = written(edge.select("_leaf", F.col("e._bucket").alias("_edge"), F.col("e.before").alias("_before")), "mix-edge")
     inside = placed.join(side(edge), "_leaf").where("_bucket = _edge")
     # rows with the same id stand or fall together
     inside = inside.groupBy("_leaf", "_before", "rest", "_at").agg(F.sum("n_tokens").alias("_n"))
     order = Window.partitionBy("_leaf").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    stop = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(order)).where("_upto > rest").groupBy("_leaf").agg(F.min("_at").alias("cut"))
+    stop = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(order)).where(F.col("_upto") > F.col("rest") + SLACK).groupBy("_leaf").agg(F.min("_at").alias("cut"))
     plan = planned.join(stop, "_leaf", "left")
     return narrow, written(plan, "mix-cuts")
 
@@ -117,7 +119,7 @@ def _copies(rows: DataFrame, plan: DataFrame, seed: int, key: str) -> DataFrame:
     """Join each row with its leaf and add copies: whole epochs, and one more before the cut."""
     side = F.broadcast(plan) if plan.count() <= BROADCAST_LEAVES else plan
     both = rows.join(side, "_leaf")
-    more = (F.col("rest") > 0) & (F.col("cut").isNull() | (_order(seed, F.col("epochs"), F.col(key)) < F.col("cut")))
+    more = (F.col("rest") > SLACK) & (F.col("cut").isNull() | (_order(seed, F.col("epochs"), F.col(key)) < F.col("cut")))
     return both.withColumn("copies", F.col("epochs").cast("int") + F.when(more, 1).otherwise(0))
 
 

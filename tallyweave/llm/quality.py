@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import textscan as ts
-from tallyweave.llm.labelled import MAX_TRAIN, held_out, training_rows
+from tallyweave.llm.labelled import MAX_TRAIN, free_name, held_out, training_rows
 
 #: Rows of the hashed vocabulary, and the length of word vectors.
 VOCABULARY, DIM = 1 << 13, 32
@@ -208,5 +208,5 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 3, rest: int = 1,
 
 def keep_good(docs: DataFrame, labels: DataFrame, **fitted) -> DataFrame:
     """The rows of ``docs`` that score at least 0.5, with their columns."""
-    name = "_quality_score"
+    name = free_name("_quality_score", docs.columns)
     return score(docs, fit(docs, labels, **fitted), to=name).where(F.col(name) >= 0.5).drop(name)

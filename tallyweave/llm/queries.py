@@ -66,12 +66,12 @@ l3p AS (SELECT domain, language, origin, tok, 3 * tok AS cap, 3 * tok AS r, l2b.
         FROM leaf JOIN l2b USING (domain, language)),
 l3f AS (SELECT domain, language, arg_min((b - filled) / rest, r) AS line FROM l3p WHERE (b - filled) / rest <= r GROUP BY domain, language),
 l3b AS (SELECT domain, language, origin, tok, least(cap, coalesce(line, cap)) AS b FROM l3p LEFT JOIN l3f USING (domain, language)),
-plan AS (SELECT *, CAST(CASE WHEN tok > 0 THEN floor(b / tok) ELSE 0 END AS BIGINT) AS epochs FROM l3b),
-placed AS (SELECT d.*, epochs, b - epochs * tok AS left_over, md5('17:' || epochs || ':' || doc_id) AS place FROM d JOIN plan USING (domain, language, origin)),
+plan AS (SELECT *, CAST(CASE WHEN tok > 0 THEN floor(b / tok + 1e-6) ELSE 0 END AS BIGINT) AS epochs FROM l3b),
+placed AS (SELECT d.*, epochs, greatest(b - epochs * tok, 0) AS left_over, md5('17:' || epochs || ':' || doc_id) AS place FROM d JOIN plan USING (domain, language, origin)),
 run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed),
-stop AS (SELECT domain, language, origin, min(place) AS cut FROM run WHERE upto > left_over GROUP BY ALL)
+stop AS (SELECT domain, language, origin, min(place) AS cut FROM run WHERE upto > left_over + 1e-6 GROUP BY ALL)
 SELECT doc_id, domain, language, origin, n_tokens,
-       CAST(epochs + CASE WHEN left_over > 0 AND (cut IS NULL OR place < cut) THEN 1 ELSE 0 END AS INTEGER) AS copies
+       CAST(epochs + CASE WHEN left_over > 1e-6 AND (cut IS NULL OR place < cut) THEN 1 ELSE 0 END AS INTEGER) AS copies
 FROM run LEFT JOIN stop USING (domain, language, origin)
 """
 
@@ -139,8 +139,8 @@ WITH turns AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 said AS (SELECT *, len(regexp_extract_all(text, '[<\[](\\\\)*/?(s>|INST\]|image>|audio>|document>)')) AS escapes FROM turns),
 joined AS (
-  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS all_text,
-         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_text,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
          sum(length(text) + escapes + CASE WHEN role = 'assistant' THEN 7 ELSE length(role) + 14 END) AS formatted_chars
   FROM said GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import textscan as ts
-from tallyweave.llm.labelled import MAX_TRAIN, held_out, training_rows
+from tallyweave.llm.labelled import MAX_TRAIN, free_name, held_out, training_rows
 
 # Abusive words, and words of the second person, in English, German, French and Spanish.
 ABUSE = (
@@ -301,5 +301,5 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, rest: int = 0,
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **fitted) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, with their columns."""
-    name = "_toxic_score"
+    name = free_name("_toxic_score", docs.columns)
     return score(docs, fit(docs, labels, **fitted), to=name).where(F.col(name) < 0.5).drop(name)

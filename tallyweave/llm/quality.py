@@ -1,8 +1,9 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
 Tokens are runs of letters, digits or punctuation, besides marks for words in capitals and words that
-repeat the one before. Each token owns a sparse random index vector; a token's word vector is the sum of
-the index vectors around it over *all* documents, for a vocabulary hashed to a fixed number of rows. A
+repeat the one before. Each token owns a sparse random index vector, drawn from its hash; a token's word vector
+is the sum of the index vectors around it over *all* documents. The tokens of the training sample that more than
+one of its documents has are words of their own; others, of which the fit knows nothing, share SHARED vectors. A
 document is the mean and the spread of its word vectors. A network with one hidden layer is fitted in numpy
 to a bounded sample of labelled rows, and a temperature fitted to rows set aside calibrates it.
 """
@@ -20,25 +21,30 @@ from pyspark.sql import functions as F
 from tallyweave.llm import textscan as ts
 from tallyweave.llm.labelled import MAX_TRAIN, free_name, held_out, training_rows
 
-#: Rows of the hashed vocabulary, and the length of word vectors.
-VOCABULARY, DIM = 1 << 13, 32
+#: Words with vectors of their own, at most, those of most sampled documents; vectors that all others share; length of a vector.
+WORDS, SHARED, DIM = 1 << 16, 1 << 13, 32
 WINDOW = 2
-#: Bytes of text whose word vectors are pooled at once.
-POOL = 1 << 18
-HIDDEN, EPOCHS, SEED = 32, 40, 11
+#: Bytes of text whose word vectors are pooled at once, and whose neighbours are counted at once.
+POOL, COUNT = 1 << 18, 1 << 20
+#: Steps of the fit, whatever the number of rows, and rows of a step.
+HIDDEN, STEPS, ROWS, SEED = 32, 6_000, 128, 11
 CAPS, SAME = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
-_rng = np.random.default_rng(SEED)
-INDEX_AT = np.array([_rng.choice(DIM, 2, replace=False) for _ in range(VOCABULARY)])
-INDEX_SIGN = _rng.choice([-1.0, 1.0], (VOCABULARY, 2))
+
+def index(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the two entries of each token's index vector are, and their signs."""
+    bits = ts.mix(h ^ np.uint64(0x2545F4914F6CDD1D)).astype(np.int64)
+    first = bits & (DIM - 1)
+    second = (first + 1 + ((bits >> 8) & 0xFFFF) % (DIM - 1)) % DIM
+    return np.stack([first, second]), np.stack([1.0 - 2 * ((bits >> 30) & 1), 1.0 - 2 * ((bits >> 31) & 1)])
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(vocabulary row, document) of each token in order."""
+    """(hash, document) of each token in order."""
     kinds = ts.KIND[data]
     starts, ends, rows = ts.runs(kinds, offsets)
     if not len(starts):
-        return np.zeros(0, np.int64), rows
+        return np.zeros(0, np.uint64), rows
     h = ts.hashes(ts.LOWER[data], starts, ends)
     word = kinds[starts] == 1
     upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
@@ -53,51 +59,80 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     marked = np.flatnonzero(mark)
     order = np.argsort(np.concatenate([np.arange(len(h)) * 2, marked * 2 + 1]), kind="stable")
     h = np.concatenate([h, ts.mix(mark[marked])])[order]
-    return (h % np.uint64(VOCABULARY)).astype(np.int64), np.concatenate([rows, rows[marked]])[order]
+    return h, np.concatenate([rows, rows[marked]])[order]
 
 
-def contexts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Word vectors over all documents. What tasks have counted is summed by Spark; the driver gets VOCABULARY rows."""
-    names = [f"v{i}" for i in range(DIM)]
+def place(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The row of each token: that of its word in a sorted array, else one that it shares."""
+    other = (len(words) + (h % np.uint64(SHARED)).astype(np.int64)).astype(np.int64)
+    if not len(words):
+        return other
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return np.where(words[at] == h, at, other)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(VOCABULARY * DIM), np.zeros(VOCABULARY, np.int64)
+
+def vocabulary(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of the tokens that more than one row of the sample has; of more than WORDS those of most rows."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in ts.chunks(batch.column(0)):
-                t, rows = tokens(data, offsets)
-                seen += np.bincount(t, minlength=VOCABULARY)
+                h, of = tokens(data, offsets)
+                for i in range(len(offsets) - 1):
+                    own = np.unique(h[np.searchsorted(of, i) : np.searchsorted(of, i, "right")])
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["h"])
+
+    counted = rows.select("text").mapInArrow(distinct, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "h").limit(WORDS).select("h").toPandas()["h"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def contexts(docs: DataFrame, words: np.ndarray, text: str = "text") -> np.ndarray:
+    """Word vectors over all documents. What tasks have counted is summed by Spark; the driver gets WORDS + SHARED rows at most."""
+    names, size = [f"v{i}" for i in range(DIM)], len(words) + SHARED
+    told = docs.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(size * DIM), np.zeros(size, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in ts.chunks(batch.column(0), COUNT):
+                h, rows = tokens(data, offsets)
+                at = place(h, told.value)
+                seen += np.bincount(at, minlength=size)
+                where, sign = index(h)
+                keys, weights = [], []
                 for step in range(1, WINDOW + 1):
-                    near = rows[step:] == rows[:-step]
-                    a, b = t[:-step][near], t[step:][near]
-                    for k in range(2):
-                        total += np.bincount(a * DIM + INDEX_AT[b, k], INDEX_SIGN[b, k], VOCABULARY * DIM)
-                        total += np.bincount(b * DIM + INDEX_AT[a, k], INDEX_SIGN[a, k], VOCABULARY * DIM)
+                    a = np.flatnonzero(rows[step:] == rows[:-step])
+                    for one, other in ((a, a + step), (a + step, a)):
+                        keys += [at[one] * DIM + where[k, other] for k in range(2)]
+                        weights += [sign[k, other] for k in range(2)]
+                total += np.bincount(np.concatenate(keys), np.concatenate(weights), size * DIM)
         used = np.flatnonzero(seen)
-        if len(used):
-            vectors = total.reshape(VOCABULARY, DIM)[used].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used]), *(pa.array(vectors[:, i].copy()) for i in range(DIM))], names=["row", "n", *names])
+        for i in range(0, len(used), 10_000):
+            part = used[i : i + 10_000]
+            vectors = total.reshape(size, DIM)[part].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part]), *(pa.array(vectors[:, i].copy()) for i in range(DIM))], names=["row", "n", *names])
 
-    counted = docs.select(F.col(text).cast("string")).mapInArrow(count, "row long, n long, " + ", ".join(f"{n} long" for n in names))
+    counted = docs.select(F.col(text).cast("string")).mapInArrow(count, "row int, n long, " + ", ".join(f"{n} int" for n in names))
     summed = counted.groupBy("row").agg(*(F.sum(n).alias(n) for n in ["n", *names])).toPandas()
-    out, weight = np.zeros((VOCABULARY, DIM)), np.zeros(VOCABULARY)
+    out = np.zeros((size, DIM), np.float32)
     if len(summed):
         v = summed[names].to_numpy(np.float64)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1)
-        weight[summed["row"]] = summed["n"]
         out[summed["row"]] = v - np.average(v, axis=0, weights=summed["n"])
-    return out.astype(np.float32)
+    return out
 
 
-def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
+def pooled(column: pa.Array, words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean and spread of the word vectors of each row, and the log of its number of tokens; zeros for empty rows."""
     out = np.zeros((len(column), 2 * DIM + 1), np.float32)
     for first, end, data, offsets in ts.chunks(column, POOL):
-        t, rows = tokens(data, offsets)
-        if not len(t):
+        h, rows = tokens(data, offsets)
+        if not len(h):
             continue
-        v = vectors[t]
+        v = vectors[place(h, words)]
         at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        n = np.diff(np.concatenate([at, [len(t)]]))[:, None]
+        n = np.diff(np.concatenate([at, [len(h)]]))[:, None]
         mean = np.add.reduceat(v, at, axis=0) / n
         spread = np.sqrt(np.maximum(np.add.reduceat(v * v, at, axis=0) / n - mean * mean, 0))
         out[first + rows[at]] = np.hstack([mean, spread, np.log1p(n)])
@@ -108,6 +143,7 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
 class Network:
     """Two layers over standardised inputs, and a temperature; ``flat`` answers where no fit was possible."""
 
+    words: np.ndarray
     vectors: np.ndarray
     centre: np.ndarray | None = None
     scale: np.ndarray | None = None
@@ -139,12 +175,10 @@ def _fit_network(net: Network, x: np.ndarray, y: np.ndarray, calibration: np.nda
     p = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), np.zeros(1)]
     z = (xt - net.centre) / net.scale
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    epochs = max(EPOCHS, min(400, 40_000 // max(1, len(z) // 64)))
-    epochs = epochs if len(z) < 4000 else EPOCHS
-    for _ in range(epochs):
+    while step < STEPS:
         order = rng.permutation(len(z))
-        for s in range(0, len(z), 128):
-            i = order[s : s + 128]
+        for s in range(0, len(z), ROWS):
+            i = order[s : s + ROWS]
             h = z[i] @ p[0] + p[1]
             a = np.maximum(h, 0)
             g = (1 / (1 + np.exp(-np.clip(a @ p[2] + p[3][0], -30, 30))) - yt[i]) / len(i)
@@ -171,15 +205,17 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, rest: int = 1, most:
     only, that class.
     """
     ts.bounded_batches(docs.sparkSession)
-    net = Network(contexts(docs, text))
-    vectors = docs.sparkSession.sparkContext.broadcast(net.vectors)
+    sample = training_rows(docs, labels, "quality", parts, rest, most, key, text)
+    words = vocabulary(sample)
+    net = Network(words, contexts(docs, words, text))
+    told = docs.sparkSession.sparkContext.broadcast((words, net.vectors))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pooled(batch.column(0), vectors.value)
+            x = pooled(batch.column(0), *told.value)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "part", "x"])
 
-    rows = training_rows(docs, labels, "quality", parts, rest, most, key, text).mapInArrow(features, "y int, part int, x binary").toPandas()
+    rows = sample.mapInArrow(features, "y int, part int, x binary").toPandas()
     rows = rows.sort_values(["part", "x"])  # the same fit whatever order tasks end in
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), 2 * DIM + 1)
     return _fit_network(net, x, rows["y"].to_numpy(), rows["part"].to_numpy() >= 8)
@@ -192,7 +228,7 @@ def score(docs: DataFrame, net: Network, text: str = "text", to: str = "score")
 
     @F.arrow_udf("double")
     def scored(part: pa.Array) -> pa.Array:
-        return pa.array(told.value.score(pooled(part, told.value.vectors)))
+        return pa.array(told.value.score(pooled(part, told.value.words, told.value.vectors)))
 
     return docs.withColumn(to, scored(F.col(text).cast("string")))
 

@@ -464,7 +464,8 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
 
     roots = connected_components(links)
     placed = own.join(roots, "node", "left").select("doc", "n", "said", F.coalesce("root", "node").alias("root"))
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
+    # written, so that Spark can split the rows of a large component among tasks
+    least = written(placed.where("root is not null").groupBy("root").agg(F.min("doc").alias("least")), "ngram-least")
     return placed.join(least, "root", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"), *([F.col("said").alias("_text")] if also_text else []))
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import textscan as ts
+from tallyweave.llm.bloom import bloom_filter, maybe_in
 from tallyweave.llm.components import connected_components
 from tallyweave.session import written
 
@@ -422,30 +423,37 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
     fits = f"struct(to_size, to_grp) > struct(size, grp) and {num} * n <= {den} * high and {num} * low <= {den} * n"
     visits = written(cells.join(others, "token").where(fits).select("node", F.col("to_grp").alias("grp")).distinct(), "ngram-visits")
 
-    # whole sets of the nodes that take part
+    # members of the groups that have several or are visited
+    visited = visits.select("grp").distinct().withColumn("_visited", F.lit(True))
+    members = grouped.join(visited, "grp", "left").withColumn("kept", F.col("_visited").isNotNull() | (F.col("blocks") > 1))
+    members = written(members.where("size > 1 or kept").select("grp", "block", "blocks", "pivot", "node", "kept"), "ngram-members")
+    # their whole sets, made anew from one text each: a filter tells tasks which rows to read, so no text is shuffled
+    taking = members.select("node").unionByName(visits.select("node")).distinct()
     rep = own.where("node is not null").groupBy("node").agg(F.min("pick").alias("pick"))
-    wanted = rep.join(grouped.select("node"), "node", "left_semi").select("pick").distinct()
+    wanted = written(rep.join(taking, "node", "left_semi"), "ngram-wanted")
+    passing = spark.sparkContext.broadcast(bloom_filter(wanted.select("pick"), wanted.count()))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(maybe_in(passing.value, batch.column(1).to_numpy())))
             sets = [s for _, s in shingle_sets(batch.column(2), k) if len(s)]
             if sets:
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
 
-    sets = rows.join(wanted, "pick", "left_semi").select("doc", "pick", "text").mapInArrow(whole, "node long, shingles array<long>")
-    sets = written(sets.join(grouped.select("node"), "node", "left_semi").dropDuplicates(["node"]), "ngram-sets")
+    sets = rows.select("doc", "pick", "text").mapInArrow(whole, "node long, shingles array<long>")
+    home = taking.join(members, "node", "left")
+    sets = written(sets.join(home, "node").dropDuplicates(["node"]), "ngram-sets")
 
     def dealt(parts: DataFrame) -> DataFrame:
         return parts.repartition("grp", "block").sortWithinPartitions("grp", "block", "role", "node")
 
     # each block for itself: links inside, and the unions that visitors will meet
-    visited = visits.select("grp").distinct().withColumn("_visited", F.lit(True))
-    members = grouped.join(visited, "grp", "left").withColumn("kept", F.col("_visited").isNotNull() | (F.col("blocks") > 1)).where("size > 1 or kept").select("grp", "block", "blocks", "pivot", "node", "kept")
-    members = written(members, "ngram-members")
     many = members.where("blocks > 1").select("grp", "block", "pivot").distinct()
-    parts = members.select("grp", "block", F.lit(0).alias("role"), "node", "kept").unionByName(many.select("grp", "block", F.lit(2).alias("role"), F.col("pivot").alias("node"), F.lit(True).alias("kept")))
-    inside = written(dealt(parts.join(sets, "node")).select("grp", "block", "role", "node", "kept", "shingles").mapInArrow(_look_through(num, den), _FOUND_SHAPE), "ngram-inside")
+    shape = ["grp", "block", "role", "node", "kept", "shingles"]
+    parts = sets.where("grp is not null").withColumn("role", F.lit(0)).select(shape)
+    pivots = many.join(sets.select(F.col("node").alias("pivot"), "shingles"), "pivot").select("grp", "block", F.lit(2).alias("role"), F.col("pivot").alias("node"), F.lit(True).alias("kept"), "shingles")
+    inside = written(dealt(parts.unionByName(pivots)).mapInArrow(_look_through(num, den), _FOUND_SHAPE), "ngram-inside")
     links = inside.where("kind = 0").select("a", "b")
     unions = inside.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("block"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("node"), "shingles")
     known = inside.where("kind = 3").select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -453,13 +461,14 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
     homes = members.where("kept").select("grp", "block").distinct()
     away = inside.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("grp"), F.col("c").alias("_own"))
     coming = visits.join(homes, "grp").select("grp", "block", "node").unionByName(away.join(homes, "grp").where("block <> _own").select("grp", "block", "node"))
-    visitors = coming.join(sets, "node").select("grp", "block", F.lit(1).alias("role"), "node", "shingles")
+    visitors = coming.join(sets.select("node", "shingles"), "node").select("grp", "block", F.lit(1).alias("role"), "node", "shingles")
     allowed = written(dealt(unions.unionByName(visitors)).mapInArrow(_bounded(num, den), "grp long, block long, node long"), "ngram-allowed")
     # blocks that have a visitor left are opened
-    opened = members.select("grp", "block", "node").join(allowed.select("grp", "block").distinct(), ["grp", "block"], "left_semi")
-    opened = opened.join(known, "node").select("grp", "block", F.lit(0).alias("role"), "node", "root")
-    opened = opened.unionByName(allowed.select("grp", "block", F.lit(1).alias("role"), "node", F.lit(None).cast("long").alias("root")))
-    between = dealt(opened.join(sets, "node")).select("grp", "block", "role", "node", "root", "shingles").mapInArrow(_opened(num, den), _FOUND_SHAPE)
+    shape = ["grp", "block", "role", "node", "root", "shingles"]
+    opened = sets.where("grp is not null").join(allowed.select("grp", "block").distinct(), ["grp", "block"], "left_semi")
+    opened = opened.join(known, "node").withColumn("role", F.lit(0)).select(shape)
+    asking = allowed.join(sets.select("node", "shingles"), "node").withColumns({"role": F.lit(1), "root": F.lit(None).cast("long")}).select(shape)
+    between = dealt(opened.unionByName(asking)).mapInArrow(_opened(num, den), _FOUND_SHAPE)
     links = links.unionByName(written(between, "ngram-links").where("kind = 0").select("a", "b"))
 
     roots = connected_components(links)

@@ -7,6 +7,7 @@ import pytest
 from comparing import DATA
 
 from tallyweave.llm import ngram_join
+from tallyweave.llm.bloom import bloom_filter, maybe_in
 from tallyweave.llm.queries import op7_ngram_jaccard_join
 
 
@@ -99,3 +100,11 @@ def test_repeated_and_null_keys(spark):
     rows = [(1, copy), (2, copy), (2, other), (None, copy), (None, "alone without a key and without copies"), (3, None), (3, "")]
     kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
     assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([rows[0], *rows[2:3], *rows[4:]], "doc_id long, text string").collect()))
+
+
+def test_bloom_filter_lets_all_its_values_pass(spark):
+    inside, outside = np.arange(0, 40_000, 2), np.arange(1, 40_000, 2)
+    bits = bloom_filter(spark.createDataFrame([(int(x),) for x in inside] + [(None,)], "x long").repartition(5), len(inside))
+    assert maybe_in(bits, inside).all()
+    assert maybe_in(bits, outside).mean() < 0.05
+    assert not maybe_in(bloom_filter(spark.createDataFrame([], "x long"), 0), outside).any()

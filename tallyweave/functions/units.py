@@ -13,6 +13,8 @@ DECIMALS = {"depth": (1, 0), "pressure": (0, 0), "temperature": (1, 0), "volume"
 LABELS = {"depth": ("m", "ft"), "pressure": ("bar", "psi"), "temperature": ("°C", "°F"), "volume": ("L", "cuft"), "weight": ("kg", "lb"), "sac": ("L/min", "cuft/min")}
 # Fixed values of one XML format's texts.
 XML_FT, XML_PSI, XML_LB, XML_CUFT, XML_ATM = 0.3048, 0.0689476, 0.45359237, 28.3168, 1.01325
+# Factors that the online services' numbers are meant with.
+SERVICE_FT_M, SERVICE_PSI_BAR, SERVICE_CUFT_L, LB_KG = 1 / 3.28084, 1 / 14.5038, 28.3168, 0.45359237
 WATER = {"fresh": 1000, "salt": 1030, "en13319": 1020}
 WATER_OF = {1000: "fresh", 1020: "en13319", 1030: "salt", 1025: "salt"}
 
@@ -90,8 +92,9 @@ def density(kind: Column, measured: Column) -> Column:
 
 
 def transmitter_bar(word: Column, psi_per_bar: float = 14.5037738) -> Column:
-    """A 16-bit word of 2-psi steps under four battery bits; from 0xFFF0 on a status, not a reading."""
-    return F.when(word < 0xFFF0, word.bitwiseAND(F.lit(0x0FFF)) * 2 / psi_per_bar)
+    """A 16-bit word of 2-psi steps under four battery bits, in bar with two decimals; 0 steps, and words from 0xFFF0 on, are no reading."""
+    steps = word.bitwiseAND(F.lit(0x0FFF))
+    return F.when((word < 0xFFF0) & (steps > 0), F.round(steps * 2 / psi_per_bar, 2))
 
 
 def sac(tanks: Column, avg_depth: Column, duration_s: Column, logged: Column | None = None) -> Column:

@@ -7,25 +7,25 @@ from tallyweave.operators import history as hs
 from tallyweave.operators.series import Window
 
 C = F.col
-KIND = "CASE l_linenumber % 6 WHEN 0 THEN 'uploaded_to_a' WHEN 1 THEN 'updated_on_b' WHEN 2 THEN 'deleted_on_a' WHEN 3 THEN 'skipped' WHEN 4 THEN 'failed' ELSE 'conflicts' END"
+KIND = "CASE l_linenumber % 6 WHEN 0 THEN 'uploaded_to_a' WHEN 1 THEN 'updated_on_b' WHEN 2 THEN 'deleted_on_a' WHEN 3 THEN 'skipped_on_b' WHEN 4 THEN 'failed' ELSE 'conflicts' END"
 
 
 def actions(t):
-    kinds = F.array(*[F.lit(x) for x in ("uploaded_to_a", "updated_on_b", "deleted_on_a", "skipped", "failed", "conflicts")])
+    kinds = F.array(*[F.lit(x) for x in ("uploaded_to_a", "updated_on_b", "deleted_on_a", "skipped_on_b", "failed", "conflicts")])
     return t.lineitem.select(C("l_orderkey").alias("run"), F.element_at(kinds, C("l_linenumber") % 6 + 1).alias("action"))
 
 
-@query("agg_action_counts", f"SELECT l_orderkey AS run, {KIND} AS action, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query("agg_action_counts", f"SELECT l_orderkey AS run, {KIND} AS action, count(*) AS n FROM lineitem GROUP BY 1, 2 UNION ALL SELECT DISTINCT l_orderkey, 'matched', 0 FROM lineitem")
 def action_counts(t):
-    return hs.count_actions(actions(t))
+    return hs.count_actions(actions(t), always=("matched",))
 
 
-@query("agg_action_totals", f"WITH a AS (SELECT l_orderkey AS run, {KIND} AS k FROM lineitem) SELECT run, count(*) FILTER (k = 'uploaded_to_a') AS added, count(*) FILTER (k = 'updated_on_b') AS updated, count(*) FILTER (k = 'deleted_on_a') AS deleted, count(*) FILTER (k = 'skipped') AS skipped, count(*) FILTER (k = 'failed') AS failed, count(*) FILTER (k = 'conflicts') AS conflicts FROM a GROUP BY run")
+@query("agg_action_totals", f"WITH a AS (SELECT l_orderkey AS run, {KIND} AS k FROM lineitem) SELECT run, count(*) FILTER (k = 'uploaded_to_a') AS added, count(*) FILTER (k = 'updated_on_b') AS updated, count(*) FILTER (k = 'deleted_on_a') AS deleted, count(*) FILTER (k = 'skipped_on_b') AS skipped, count(*) FILTER (k = 'failed') AS failed, count(*) FILTER (k = 'conflicts') AS conflicts FROM a GROUP BY run")
 def action_totals(t):
     return hs.totals(actions(t))
 
 
-@query("agg_notify", f"WITH a AS (SELECT l_orderkey AS run, {KIND} AS k FROM lineitem) SELECT run, run % 3 = 0 OR (run % 3 = 1 AND run % 4 > 0 AND count(*) FILTER (k <> 'skipped') > 0) AS tell FROM a GROUP BY run")
+@query("agg_notify", f"WITH a AS (SELECT l_orderkey AS run, {KIND} AS k FROM lineitem) SELECT run, run % 3 = 0 OR (run % 3 = 1 AND run % 4 > 0 AND count(*) FILTER (k <> 'skipped_on_b') > 0) AS tell FROM a GROUP BY run")
 def notify(t):
     on = F.when(C("run") % 3 == 0, "always").when(C("run") % 3 == 1, "changes").otherwise("failure")
     return hs.totals(actions(t)).select("run", hs.worth_telling(on, C("run") % 4 == 0).alias("tell"))
@@ -127,7 +127,7 @@ def channel_names(t):
 
 @query("agg_primary_transmitter", "SELECT l_orderkey, min(l_linenumber) AS transmitter FROM lineitem WHERE l_discount > 0 GROUP BY 1")
 def primary_transmitter(t):
-    return t.lineitem.where("l_discount > 0").groupBy("l_orderkey").agg(F.array_min(F.collect_set("l_linenumber")).alias("transmitter"))
+    return t.lineitem.where("l_discount > 0").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("transmitter"))
 
 
 @query("agg_date_span", "SELECT o_custkey, min(o_orderdate) AS oldest, max(o_orderdate) AS newest FROM orders GROUP BY 1")

@@ -1,5 +1,7 @@
 """Linking queries. Clicks and views of events stand for the two sides' dives."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tallyweave.catalogue import query
@@ -103,7 +105,23 @@ def shift_support(t):
     return e.groupBy("shift").agg(F.count("*").alias("n"))
 
 
-@query("link_tiers")
+def _renamed(sql: str, to: str) -> str:
+    return re.sub(r"\b(ranked|walk|edges|pairs)\b", rf"\g<1>{to}", sql)
+
+
+def _rest(to: int, *pairs: str) -> str:
+    gone = " UNION ALL ".join(f"SELECT i, j FROM {p}" for p in pairs)
+    return f"a{to} AS (SELECT * FROM a WHERE i NOT IN (SELECT i FROM ({gone}))), b{to} AS (SELECT * FROM b WHERE j NOT IN (SELECT j FROM ({gone})))"
+
+
+TIERS = ", ".join([
+    SIDES, EDGES.replace("21600", "3600"), GREEDY, _rest(2, "pairs"),
+    f"edges2 AS (SELECT i, j, floor(abs(j_at - i_at) / 60) AS near, {MISMATCH} AS mismatch, abs(j_at - i_at) AS apart FROM a2 JOIN b2 USING (account) WHERE i % 7 = j % 7 AND i % 7 > 0 AND abs(j_at - i_at) <= 86400)",
+    _renamed(GREEDY, "2"), _rest(3, "pairs", "pairs2"), SHIFTS.replace("FROM a JOIN b", "FROM a3 JOIN b3").replace("abs(d) > 900 ", "abs(d) > 3600 "), *[_round(k) for k in range(6)],
+])
+
+
+@query("link_tiers", f"WITH RECURSIVE {TIERS} SELECT i, j, 'time' AS tier FROM pairs UNION ALL SELECT i, j, 'key' FROM pairs2 " + " ".join(f"UNION ALL SELECT i, j, 'shift' FROM w{k}" for k in range(6)))
 def tiers(t):
     number = (F.col("event_id") % 7).cast("string")
     return lk.match(side(t, "click", "i", number=number, blocks=ACCOUNT), side(t, "view", "j", number=number, blocks=ACCOUNT), 3600.0, blocks=["account"])
@@ -177,3 +195,12 @@ def zone_shift(t):
 @query("fn_shift_text", "WITH d AS (SELECT event_id, CAST(event_id % 1700 AS INTEGER) - 850 AS m FROM events) SELECT event_id, (CASE WHEN m < 0 THEN '-' ELSE '+' END) || (abs(m) // 60) || ':' || lpad(CAST(abs(m) % 60 AS VARCHAR), 2, '0') AS shift FROM d")
 def shift_text(t):
     return t.events.select("event_id", lk.shift_text((F.col("event_id") % 1700 - 850).cast("int")).alias("shift"))
+
+
+@query("join_nearest_place_pole", f"""WITH c AS (SELECT c_custkey AS cust, 90 - (c_custkey % 40) / 200.0 AS lat, ((c_custkey * 7919) % 36000) / 100.0 - 180.0 AS lng FROM customer),
+s AS (SELECT s_suppkey AS supp, 90 - (s_suppkey % 50) / 250.0 AS lat2, ((s_suppkey * 104723) % 36000) / 100.0 - 180.0 AS lng2 FROM supplier),
+p AS (SELECT cust, supp, {HAVERSINE} AS m FROM c, s) SELECT cust, round(min(m), 3) AS metres FROM p WHERE m <= 2000 GROUP BY cust""")
+def nearest_place_pole(t):
+    c = t.customer.selectExpr("c_custkey as cust", "90 - (c_custkey % 40) / 200.0D as lat", "((c_custkey * 7919) % 36000) / 100.0D - 180.0D as lng")
+    s = t.supplier.selectExpr("s_suppkey as supp", "90 - (s_suppkey % 50) / 250.0D as lat2", "((s_suppkey * 104723) % 36000) / 100.0D - 180.0D as lng2")
+    return ranges.nearest_place(c, s, 2000.0, ("cust", "lat", "lng"), ("supp", "lat2", "lng2")).select("cust", F.round("metres", 3).alias("metres"))

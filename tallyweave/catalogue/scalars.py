@@ -103,6 +103,14 @@ def scrubbed(t):
     return t.pages.select("page_id", tx.scrubbed(C("url"), ["example"]).alias("safe"))
 
 
+@query("text_credentials", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'login password=[redacted]' WHEN 1 THEN 'Authorization: [redacted]' || chr(10) || 'read ~/dives/' || c_custkey
+WHEN 2 THEN 'API-Key : [redacted]' WHEN 3 THEN 'sent basic [redacted] to all' ELSE 'token_count=3, pwd: [redacted]' END AS safe FROM customer""")
+def credentials(t):
+    k = C("c_custkey").cast("string")
+    line = [F.concat(F.lit("login password=my long "), k, F.lit(" phrase")), F.concat(F.lit("Authorization: Bearer abc"), k, F.lit("\nread /home/me/dives/"), k), F.concat(F.lit("API-Key : "), k), F.concat(F.lit("sent basic abcdefgh"), k, F.lit(" to all")), F.concat(F.lit("token_count=3, pwd: "), k)]
+    return t.customer.select("c_custkey", tx.scrubbed(F.element_at(F.array(*line), (C("c_custkey") % 5 + 1).cast("int")), homes=["/home/me"]).alias("safe"))
+
+
 @query("text_reference", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'garmin:' || o_orderkey WHEN 1 THEN 'divelogs:' || o_custkey END AS ref, CASE o_orderkey % 3 WHEN 0 THEN 'garmin' WHEN 1 THEN 'divelogs' END AS service FROM orders""")
 def reference(t):
     k = C("o_orderkey") % 3
@@ -174,7 +182,7 @@ def water(t):
     return t.part.select("p_partkey", kind.alias("kind"), un.density(kind, F.when(k == 3, d)).alias("density"))
 
 
-@query("unit_transmitter", "SELECT event_id, CASE WHEN w < 65520 THEN round((w & 4095) * 2 / 14.5037738, 6) END AS bar FROM (SELECT event_id, CAST(event_id * 7 % 65536 AS INTEGER) AS w FROM events)")
+@query("unit_transmitter", "SELECT event_id, CASE WHEN w < 65520 AND (w & 4095) > 0 THEN round((w & 4095) * 2 / 14.5037738, 2) END AS bar FROM (SELECT event_id, CAST(event_id * 7 % 65536 AS INTEGER) AS w FROM events)")
 def transmitter(t):
     return t.events.select("event_id", F.round(un.transmitter_bar((C("event_id") * 7 % 65536).cast("int")), 6).alias("bar"))
 

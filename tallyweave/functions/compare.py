@@ -79,6 +79,8 @@ def same(kind: str, a: Column, b: Column) -> Column:
         return same_tanks(a, b)
     if kind == "list":
         return F.coalesce(a, F.array().cast("array<string>")) == F.coalesce(b, F.array().cast("array<string>"))
+    if kind == "samples":
+        return same_profile(a, b)
     return a.eqNullSafe(b)
 
 
@@ -89,12 +91,15 @@ def same_key(a: Column, b: Column) -> Column:
 
 
 def same_profile(a: Column, b: Column) -> Column:
-    """Lists of samples (t, depth, temp) on one footing: as many, equal times, depth and temperature within tolerance."""
+    """Lists of samples (t, depth, temp) on one footing: as many, equal times, depth and temperature within tolerance.
+
+    Never null: a null list is an empty one. Both have to be on the same grid (``series.resample``) already."""
 
     def pair(x: Column, y: Column) -> Column:
         return x["t"].eqNullSafe(y["t"]) & close(x["depth"], y["depth"], DEPTH) & close(x["temp"], y["temp"], TEMPERATURE)
 
-    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, pair), lambda ok: ok)
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return (size(a) == size(b)) & F.coalesce(F.forall(F.zip_with(a, b, pair), lambda ok: ok), F.lit(True))
 
 
 def changed(pairs: dict[str, tuple[Column, Column]]) -> Column:

@@ -173,14 +173,22 @@ def masked_mail(c: Column) -> Column:
     return F.when(mail == "", "").when(~F.contains(mail, F.lit("@")), SECRET).otherwise(F.concat(F.regexp_extract(mail, "^([^@]?)", 1), F.lit("***@"), F.regexp_extract(mail, "^[^@]*@(.*)$", 1)))
 
 
-def scrubbed(c: Column, secrets: list[str] = ()) -> Column:
-    """Query strings cut, secrets and stated credentials replaced."""
-    out = F.regexp_replace(c, r"\?[^\s'\"<>)]*", "?...")
+# What credentials are called, and the schemes that a bare one follows.
+CREDENTIALS = ("password", "passwd", "pwd", "token", "secret", "api_key", "api-key", "apikey", "authorization")
+SCHEMES = ("bearer", "basic")
+
+
+def scrubbed(c: Column, secrets: list[str] = (), homes: list[str] = ()) -> Column:
+    """Home folders as ``~``, query strings cut, secrets replaced, credentials cut to the end of their line; null stays null."""
+    out = c
+    for h in sorted(filter(None, homes), key=len, reverse=True):
+        out = F.replace(out, F.lit(h), F.lit("~"))
+    out = F.regexp_replace(out, r"\?[^\s'\"<>)]*", "?...")
     for s in secrets:
         if s:
             out = F.replace(out, F.lit(s), F.lit(SECRET))
-    out = F.regexp_replace(out, r"(?i)(password|token|authorization)(\s*[=:]\s*)[^\s,;&]+", "$1$2[redacted]")
-    return F.regexp_replace(out, r"(?i)(bearer)\s+[A-Za-z0-9._~+/=-]+", "$1 [redacted]")
+    out = F.regexp_replace(out, rf"(?i)((?:{'|'.join(CREDENTIALS)})(?![A-Za-z0-9_])\s*[=:]\s*)[^\r\n]*", "$1[redacted]")
+    return F.regexp_replace(out, rf"(?i)\b({'|'.join(SCHEMES)})\s+[A-Za-z0-9._~+/=-]{{8,}}", "$1 [redacted]")
 
 
 def reference(ids: Column, first: str, own: str) -> Column:

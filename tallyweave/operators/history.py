@@ -8,16 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def count_actions(actions: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
-    """Rows for each kind of action; kinds that didn't occur are left out."""
-    return actions.groupBy(*by, "action").agg(F.count("*").alias("n"))
+def count_actions(actions: DataFrame, by: Sequence[str] = ("run",), always: Sequence[str] = ()) -> DataFrame:
+    """Rows for each kind of action; kinds that didn't occur are left out, but for those of ``always``, which count 0.
+
+    A null action is a kind of its own; an empty table has no runs and so no rows.
+    """
+    each = F.array(F.struct(F.col("action"), F.lit(1).alias("n")), *[F.struct(F.lit(a).alias("action"), F.lit(0).alias("n")) for a in always])
+    return actions.select(*by, F.inline(each)).groupBy(*by, "action").agg(F.sum("n").alias("n"))
 
 
 def totals(actions: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
-    """added, updated, deleted, skipped, failed and conflicts of each run, by how action names begin."""
-    starts = {"added": "uploaded_to_", "updated": "updated_on_", "deleted": "deleted_on_"}
-    sums = [F.count_if(F.startswith("action", F.lit(p))).alias(n) for n, p in starts.items()]
-    return actions.groupBy(*by).agg(*sums, *[F.count_if(F.col("action") == n).alias(n) for n in ("skipped", "failed", "conflicts")])
+    """added, updated, deleted, skipped, failed and conflicts of each run, by how action names begin.
+
+    ``skipped`` counts ``skipped`` and ``skipped_on_<service>``. Null actions count nowhere, but their run has a row.
+    """
+    starts = {"added": "uploaded_to_", "updated": "updated_on_", "deleted": "deleted_on_", "skipped": "skipped", "failed": "failed", "conflicts": "conflicts"}
+    return actions.groupBy(*by).agg(*[F.count_if(F.startswith("action", F.lit(p))).alias(n) for n, p in starts.items()])
 
 
 def worth_telling(notify_on: Column, dry_run: Column) -> Column:

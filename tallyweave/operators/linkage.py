@@ -135,11 +135,11 @@ def link_edges(left: DataFrame, right: DataFrame, links: DataFrame | None = None
 
 
 def key_edges(left: DataFrame, right: DataFrame, blocks: Sequence[str] = ()) -> DataFrame:
-    """Pairs with the same positive whole number as key, at most KEY_HOURS apart."""
+    """Pairs with the same positive whole number as key, at most KEY_HOURS apart; the time is part of the join, so a common number doesn't meet all others of its kind."""
     whole = lambda c: F.expr(f"try_cast(trim({c}) as double)").cast("long")
     a = left.withColumn("_n", whole("i_number")).where("_n > 0")
     b = right.withColumn("_n", whole("j_number")).where("_n > 0")
-    return scored(a.join(b, [*blocks, "_n"]).where(F.abs(delta()) <= KEY_HOURS * 3600))
+    return scored(time_edges(a, b, KEY_HOURS * 3600.0, [*blocks, "_n"]))
 
 
 def shift_edges(left: DataFrame, right: DataFrame, grace_s: float, blocks: Sequence[str] = ()) -> DataFrame:

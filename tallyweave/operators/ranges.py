@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.geo import distance_m
+from tallyweave.functions.geo import EARTH_M, distance_m
 
 
 def within(left: DataFrame, right: DataFrame, left_at: str, right_at: str, width: float, by: Sequence[str] = ()) -> DataFrame:
@@ -48,21 +49,22 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_id: str, right_id: s
 def nearest_place(points: DataFrame, places: DataFrame, radius: float, point: tuple[str, str, str], place: tuple[str, str, str]) -> DataFrame:
     """(point id, place id, metres): the nearest place within ``radius`` metres; ties go to the smaller place id.
 
-    ``point`` and ``place`` name id, latitude and longitude. Places are sent to the grid cells around their own;
-    cells are as wide in degrees as the radius is at the equator, and wider in longitude near the poles, where the
-    number of neighbours grows instead.
+    ``point`` and ``place`` name id, latitude and longitude; a null coordinate is near nothing. Cells are rows of equal
+    height, each cut into as many columns as keep them about as wide, so that a pole's row has a few columns only.
+    A place is sent to its own row and both neighbours, there to the columns that its circle can reach.
     """
-    step = radius / 111_000.0
-    columns = max(1, int(360.0 / step))  # as many cells around, so that the last meets the first
+    step = radius / 111_000.0  # degrees, a little over the radius
+    angle = radius / EARTH_M
     row = lambda c: F.floor(F.col(c) / F.lit(step)).cast("long")
-    column = lambda c: F.floor((F.col(c) + 180.0) * F.lit(columns / 360.0)).cast("long")
-    around = lambda c: F.pmod(c, F.lit(columns).cast("long"))
+    edge = F.radians(F.least(F.greatest(F.abs(F.col("_y")), F.abs(F.col("_y") + 1)) * F.lit(step), F.lit(90.0)))  # of the row, towards its pole
+    columns = F.greatest(F.floor(F.cos(edge) * F.lit(360.0 / step)), F.lit(1)).cast("long")
+    column = lambda c: F.floor((F.col(c) + 180.0) * columns / 360.0).cast("long")
+    around = lambda c: F.pmod(c, columns)
     p = points.withColumn("_y", row(point[1])).withColumn("_x", around(column(point[2])))
-    narrow = F.greatest(F.cos(F.radians(F.least(F.abs(F.col(place[1])) + step, F.lit(89.0)))), F.lit(0.0175))
-    reach = F.least(F.ceil(F.lit(1.0) / narrow), F.lit(columns // 2 + 1)).cast("long")
-    above = F.transform(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")), lambda d: row(place[1]) + d)
-    beside = F.array_distinct(F.transform(F.sequence(-reach, reach), lambda d: around(column(place[2]) + d)))
-    q = places.withColumn("_y", F.explode(above)).withColumn("_x", F.explode(beside))
+    turn = F.lit(1.0 if angle >= math.pi / 2 else math.sin(angle)) / F.greatest(F.cos(edge), F.lit(1e-12))
+    reach = F.when(turn < 1, F.ceil(F.degrees(F.asin(F.least(turn, F.lit(1.0)))) * columns / 360.0)).otherwise(columns).cast("long")
+    q = places.withColumn("_y", F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in (-1, 0, 1)]), lambda d: row(place[1]) + d)))
+    q = q.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(-reach, reach), lambda d: around(column(place[2]) + d)))))
     d = distance_m(F.col(point[1]), F.col(point[2]), F.col(place[1]), F.col(place[2]))
     near = p.join(q, ["_y", "_x"]).withColumn("metres", d).where(F.col("metres") <= radius)
     return near.groupBy(point[0]).agg(F.min_by(place[0], F.struct("metres", place[0])).alias(place[0]), F.min("metres").alias("metres"))

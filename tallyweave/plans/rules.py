@@ -118,18 +118,23 @@ def loops(rules: list[Rule]) -> list[str]:
     return [r.id for r in rules if any(reaches(r.target, s) for s in r.source)]
 
 
-def select(rules: list[Rule], receiver: str, mirror: bool = False, tanks: bool = True) -> list[Active]:
-    """Rules that a receiver takes part in: those that write it, and splits of texts composed from its fields. A mirror takes all as they come."""
+def select(rules: list[Rule], receiver: str, mirror: bool = False, tanks: bool = True, catalogue: dict[str, Field] | None = None) -> list[Active]:
+    """Rules that a receiver takes part in: first those that write it, then splits of texts composed from its fields.
+
+    A split without a policy of its own has that of the rule for the service it writes. A mirror takes all as they
+    come. Without ``tanks`` rules with a field of that type are left out, known by ``catalogue``, or by name without one.
+    """
+    gas = lambda k: catalogue[k].kind == "tanks" if catalogue and k in catalogue else k.endswith(".tanks")
     out = []
     for r in rules:
         service = r.target.split(".", 1)[0]
         own = service == receiver
         split = not own and bool(r.reverse) and all(s.split(".", 1)[0] == receiver for s in r.source)
-        policy = r.policies.get(receiver, "prefer_non_empty" if own else "target_wins")
-        if policy == "target_wins" or not (own or split) or (not tanks and r.target.endswith(".tanks")):
+        policy = r.policies.get(receiver) or r.policies.get(service, "prefer_non_empty")
+        if policy == "target_wins" or not (own or split) or (not tanks and any(gas(k) for k in (r.target, *r.source))):
             continue
         out.append(Active(r, receiver, "source_wins" if mirror else policy, split))
-    return out
+    return sorted(out, key=lambda a: a.split)
 
 
 def _resolve(key: str, rule: Rule, catalogue: dict[str, Field]) -> Field | None:

@@ -23,7 +23,7 @@ class Receiver:
 
 @dataclass(frozen=True)
 class Run:
-    """The tables that a run ends in; nothing is written before a caller does."""
+    """The tables that a run ends in; nothing is written to a service. Matching runs at once and keeps its pairs in the shared folder."""
 
     pairs: DataFrame
     only_source: DataFrame
@@ -41,7 +41,7 @@ def plan(source: DataFrame, target: DataFrame, source_records: DataFrame, target
     pairs = lk.match(source, target, grace_s, links, blocks=blocks)
     only_a, only_b = lk.unpaired(source.select("i"), target.select("j"), pairs)
     both = pairs.join(source_records, "i").join(target_records, "j")
-    applied = rl.apply(both, rl.select(board, receiver.name, mirror), catalogue)
+    applied = rl.apply(both, rl.select(board, receiver.name, mirror, catalogue=catalogue), catalogue)
     wrote = F.exists("outcomes", lambda o: F.startswith(o["outcome"], F.lit("write:")))
     update = F.lit("updated" if receiver.updates else "skipped")
     actions = applied.where(wrote).select(F.concat(update, F.lit("_on_" + receiver.name)).alias("action"), F.col("j").alias("id"), F.to_json(receiver.name).alias("payload"), F.lit(None if receiver.updates else "no updates").cast("string").alias("reason"))
@@ -54,5 +54,5 @@ def plan(source: DataFrame, target: DataFrame, source_records: DataFrame, target
 
 def rehearse(pairs_with_records: DataFrame, board: list[rl.Rule], catalogue: dict[str, rl.Field], receiver: str) -> DataFrame:
     """(i, j, rule, outcome, sent, had) of every pair and rule, writing nothing."""
-    applied = rl.apply(pairs_with_records, rl.select(board, receiver), catalogue)
+    applied = rl.apply(pairs_with_records, rl.select(board, receiver, catalogue=catalogue), catalogue)
     return applied.select("i", "j", F.explode("outcomes").alias("o")).select("i", "j", "o.rule", "o.outcome", "o.sent", "o.had")

@@ -5,6 +5,8 @@ Fields that a source doesn't know are null, lists empty. Clocks have no zone (TI
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,7 +27,8 @@ RECORD = (
     "deco_model string, water_type string, water_density double, dive_mode string, exit_lat double, exit_lng double, surface_interval int, bottom_time int, "
     "cns_start double, cns_end double, sac double, air_temp double, suit string"
 )
-KINDS = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(RECORD)}
+#: The type of each column; no session is needed to know them.
+KINDS = dict(re.split(r"\s+", c.strip(), maxsplit=1) for c in re.split(r",(?![^<]*>)\s*(?=[a-z_]+ [a-z])", RECORD))
 
 
 def record(rows: DataFrame, values: dict[str, Column], *keep: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Dives of online services as records, from their JSON: each a function of a column with the parsed object.
 
 ``garmin``, ``divelogs`` and ``ssi`` take rows with an object (see the schemas) and give records; :func:`read` takes
-folders of JSON files. Null objects, and starts that can't be read, give a record with a null start, which
-:func:`tallyweave.sources.files.usable` tells apart. Ties and repeated rows stay as they are.
+folders of JSON files. Null objects, and starts that can't be read, give a record with a null start. Ties and
+repeated rows stay as they are.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,22 +99,75 @@ def scored(edges: DataFrame) -> DataFrame:
 ORDER = ("near", "mismatch", "apart", "i", "j")
 
 
-def assign(edges: DataFrame, order: Sequence[str] = ORDER, most: int = 1000) -> DataFrame:
-    """(i, j): what taking edges in order, each if both ends are free, gives.
+def _firsts(left: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The edges that come first at both their ends."""
+    first = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(*order))
+    return written(left.withColumn("_i", first("i")).withColumn("_j", first("j")).where("_i = 1 and _j = 1").select("i", "j"), "pairs")
+
+
+def _without(left: DataFrame, pairs: DataFrame) -> DataFrame:
+    return written(left.join(pairs.select("i"), "i", "left_anti").join(pairs.select("j"), "j", "left_anti"), "edges")
+
+
+def _parts(edges: DataFrame) -> DataFrame:
+    """Edges with ``part``, the same for all edges of a connected component.
+
+    Each side takes the least number of its neighbours and then that of the number itself, until nothing changes; the
+    jump makes the rounds grow with the logarithm of a chain's length, and a hub costs a row per task and round.
+    """
+    now = written(edges.withColumn("part", F.col("i")), "parts")
+    before = None
+    while True:
+        for end in ("j", "i"):
+            least = now.groupBy(end).agg(F.min("part").alias("_least"))
+            now = now.join(least, end).withColumn("part", F.col("_least")).drop("_least")
+        now = written(now, "parts")
+        up = now.groupBy("i").agg(F.min("part").alias("_up")).withColumnRenamed("i", "part")
+        now = written(now.join(up, "part", "left").withColumn("part", F.least("part", "_up")).drop("_up"), "parts")
+        state = now.agg(F.sum(F.col("part").cast("decimal(38,0)"))).first()[0]
+        if state == before:
+            return now
+        before = state
+
+
+def assign(edges: DataFrame, order: Sequence[str] = ORDER, rounds: int = 3, few: int = 100_000) -> DataFrame:
+    """(i, j): what taking edges in order, each if both ends are free, gives. Both ends are long, an edge comes once.
 
     A round takes every edge that is the first of both its ends; such edges can't be in each other's way, and the
-    first edge of all is among them. Rounds are few as long as ties don't chain. Each is written, so lineage stays short.
+    first edge of all is among them. After ``rounds`` of them chains of ties are left: they are walked in order within
+    each connected component that has at most ``few`` edges. What larger components hold goes on in rounds, which end
+    as each takes an edge at least. Edges with a null end are left out. No edges give no pairs.
     """
-    left, taken = written(edges.select("i", "j", *[c for c in order if c not in ("i", "j")]), "edges"), None
-    for _ in range(most):
-        first = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(*order))
-        best = left.withColumn("_i", first("i")).withColumn("_j", first("j")).where("_i = 1 and _j = 1").select("i", "j")
-        best = written(best, "pairs")
-        if best.isEmpty():
-            return best if taken is None else taken
-        taken = best if taken is None else taken.unionByName(best)
-        left = written(left.join(best.select("i"), "i", "left_anti").join(best.select("j"), "j", "left_anti"), "edges")
-    raise RuntimeError("assignment did not settle")
+    left = written(edges.select("i", "j", *[c for c in order if c not in ("i", "j")]).where("i is not null and j is not null"), "edges")
+    taken = _firsts(left, order)
+    for _ in range(rounds - 1):
+        left = _without(left, taken)
+        if left.isEmpty():
+            return taken
+        taken = written(taken.unionByName(_firsts(left, order)), "pairs")
+    left = _without(left, taken)
+    if left.isEmpty():
+        return taken
+    parted = _parts(left)
+    sized = parted.join(parted.groupBy("part").agg(F.count("*").alias("_n")), "part")
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        i_used, j_used, out = set(), set(), []
+        for i, j in rows.sort_values(list(order))[["i", "j"]].itertuples(index=False):
+            if i not in i_used and j not in j_used:
+                i_used.add(i)
+                j_used.add(j)
+                out.append((i, j))
+        return pd.DataFrame(out, columns=["i", "j"])
+
+    small = sized.where(F.col("_n") <= few).drop("_n").groupBy("part").applyInPandas(walk, "i long, j long")
+    taken = written(taken.unionByName(small), "pairs")
+    left = written(sized.where(F.col("_n") > few).drop("_n", "part"), "edges")
+    while not left.isEmpty():
+        best = _firsts(left, order)
+        taken = written(taken.unionByName(best), "pairs")
+        left = _without(left, best)
+    return taken
 
 
 def unpaired(left: DataFrame, right: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,13 +203,14 @@ def shift_edges(left: DataFrame, right: DataFrame, grace_s: float, blocks: Seque
     return wide.where(agree).withColumn("shift", zone_shift(delta(), grace_s)).where("shift is not null").select("i", "j", "shift")
 
 
-def vote(edges: DataFrame, most: int = 1000) -> DataFrame:
+def vote(edges: DataFrame) -> DataFrame:
     """(i, j, shift): pairs whose shift has strictly more candidates than that of any rival of either end.
 
-    Rounds repeat on what is left until one makes no pair; what still has candidates then stays unpaired.
+    Rounds repeat on what is left until one makes no pair; what still has candidates then stays unpaired. Each round but
+    the last makes a pair, so they end.
     """
     left, taken = written(edges, "shifts"), None
-    for _ in range(most):
+    while True:
         support = left.join(left.groupBy("shift").agg(F.count("*").alias("n")), "shift")
         for end in ("i", "j"):
             here = Window.partitionBy(end)
@@ -165,7 +220,6 @@ def vote(edges: DataFrame, most: int = 1000) -> DataFrame:
             return made if taken is None else taken
         taken = made if taken is None else taken.unionByName(made)
         left = written(left.join(made.select("i"), "i", "left_anti").join(made.select("j"), "j", "left_anti"), "shifts")
-    raise RuntimeError("vote did not settle")
 
 
 def match(left: DataFrame, right: DataFrame, grace_s: float = 900.0, links: DataFrame | None = None, keys: bool = True, blocks: Sequence[str] = ()) -> DataFrame:

@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-MODULES = ["linking", "scalars", "series", "predicates", "aggregates", "rules", "sources"]
+MODULES = ["linking", "scalars", "series", "predicates", "aggregates", "rules", "sources", "lookups", "incremental"]
 
 
 def load() -> None:

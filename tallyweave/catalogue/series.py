@@ -1,5 +1,6 @@
 """Series queries. A user's events are a dive's samples, with whole hours as time so that ties and gaps occur."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyweave.catalogue import query
@@ -153,3 +154,49 @@ def record_times(t):
     order = se.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     running = F.sum(C("l_quantity").cast("long")).over(order.rowsBetween(se.Window.unboundedPreceding, 0))
     return t.lineitem.select("l_orderkey", "l_linenumber", running.alias("t"), ((F.row_number().over(order) - 1) * 10).cast("long").alias("even"))
+
+
+def _between(a, b):
+    return f"CASE WHEN t2 IS NULL OR x <= t OR {b} IS NULL THEN {a} ELSE {a} + ({b} - {a}) * ((x - t) / (t2 - t)) END"
+
+
+@query("series_fixed_grid", f"""WITH {S}, v AS (SELECT *, CASE WHEN kind = 'view' THEN depth * 2 END AS pressure, CASE WHEN kind <> 'click' THEN temp END AS ndl FROM s),
+o AS (SELECT *, lead(t) OVER w AS t2, lead(depth) OVER w AS d2, lead(temp) OVER w AS p2, lead(pressure) OVER w AS r2, lead(ndl) OVER w AS n2, min(t) OVER (PARTITION BY dive) AS t0, count(*) OVER (PARTITION BY dive) AS m FROM v WINDOW w AS (PARTITION BY dive ORDER BY t, seq)),
+e AS (SELECT *, unnest(range(t0 + CAST(ceil((t - t0) / 5) AS BIGINT) * 5, coalesce(t2, t + 1), 5)) AS x FROM o WHERE m > 1 AND (t2 IS NULL OR t2 > t)),
+g AS (SELECT dive, x AS t, round({_between('depth', 'd2')}, 9) AS depth, coalesce(round({_between('temp', 'p2')}, 9), 0.0) AS temp, round({_between('pressure', 'r2')}, 9) AS pressure, round_even({_between('ndl', 'n2')}, 0) AS ndl FROM e),
+h AS (SELECT *, last_value(CASE WHEN depth >= 8.5 THEN 1 WHEN depth < 6 THEN 0 END IGNORE NULLS) OVER w AS deep, lag(depth) OVER w AS before, row_number() OVER w AS n FROM g WINDOW w AS (PARTITION BY dive ORDER BY t))
+SELECT dive, CAST(n AS INTEGER) AS n, t, depth, temp, pressure, CAST(CASE WHEN ndl IS NULL OR ndl > 99 THEN 99 WHEN ndl < 0 THEN 0 ELSE ndl END AS INTEGER) AS ndl, round(coalesce((before - depth) / 5 * 60.0, 0.0), 6) AS speed,
+134217728 + CASE WHEN deep = 1 THEN 65536 ELSE 0 END + CASE WHEN depth <= 1 THEN 67108864 ELSE 0 END AS phase FROM h""")
+def fixed_grid(t):
+    rows = samples(t).withColumn("pressure", F.when(C("kind") == "view", C("depth") * 2)).withColumn("ndl", F.when(C("kind") != "click", C("temp")))
+    return se.fixed_grid(rows, 5, (9, 6))
+
+
+@query("series_merged_gases", """WITH g AS (SELECT user_id AS dive, CASE event_type WHEN 'click' THEN 1 ELSE 2 END AS log, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS pos, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type IN ('click', 'view')),
+f AS (SELECT dive, log, pos, k % 9 AS o, CASE WHEN k % 3 > 0 THEN 0 END AS he FROM g),
+p AS (SELECT dive, o, he, min(CASE log WHEN 1 THEN pos END) AS had, min(CASE log WHEN 2 THEN pos END) AS began FROM f GROUP BY dive, o, he),
+e AS (SELECT dive, coalesce(max(CASE log WHEN 1 THEN pos END), -1) AS ended FROM f GROUP BY dive),
+n AS (SELECT *, row_number() OVER (PARTITION BY dive ORDER BY began) AS n FROM p WHERE had IS NULL)
+SELECT f.dive, f.log, f.pos AS "at", CASE f.log WHEN 1 THEN f.pos ELSE coalesce(p.had, ended + n) END AS place, (f.log = 2 AND p.had IS NULL AND f.pos = p.began) AS new
+FROM f JOIN p ON f.dive = p.dive AND f.o = p.o AND f.he IS NOT DISTINCT FROM p.he JOIN e ON e.dive = f.dive LEFT JOIN n ON n.dive = f.dive AND n.o = f.o AND n.he IS NOT DISTINCT FROM f.he""")
+def merged_gases(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    at = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")).cast("long") - 1
+    rows = t.events.where(C("event_type").isin("click", "view")).select(C("user_id").alias("dive"), F.when(C("event_type") == "click", 1).otherwise(2).alias("log"), at.alias("at"), (k % 9).alias("oxygen"), F.when(k % 3 > 0, 0).alias("helium"), F.lit(None).cast("string").alias("mode"))
+    return se.merged_gases(rows)
+
+
+@query("series_switch_markers", f"""WITH {S}, l AS (SELECT dive, t, max(seq % 3) AS gas FROM s GROUP BY dive, t), n AS (SELECT *, row_number() OVER (PARTITION BY dive ORDER BY t) AS n FROM l)
+SELECT dive, t, CASE WHEN gas < 2 THEN CASE WHEN dive % 2 = 0 OR dive % 3 = 0 THEN 'Tank ' || (gas + 1) ELSE 'mix ' || gas END END AS label FROM n WHERE n > 1""")
+def switch_markers(t):
+    line = samples(t).groupBy("dive", "t").agg(F.max(C("seq") % 3).alias("gas"))
+    tanks = samples(t).select("dive").distinct().select("dive", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("gas"))
+    mix = F.concat(F.lit("mix "), F.when((C("dive") % 2 == 0) | (C("dive") % 3 == 0), F.lit("0")).otherwise(C("gas").cast("string")))
+    return se.switch_markers(line, tanks.select("dive", "gas", mix.alias("name"), F.concat(F.lit("Tank "), (C("gas") + 1).cast("string")).alias("label")))
+
+
+@query("series_detail", f"""WITH {S}, a AS (SELECT dive, t + 1 AS t FROM s WHERE kind = 'error')
+SELECT a.dive, a.t, (SELECT arg_max(s.temp, (s.t, s.seq)) FROM s WHERE s.dive = a.dive AND s.t <= a.t AND s.temp IS NOT NULL) AS temp, (SELECT arg_max(s.depth, (s.t, s.seq)) FROM s WHERE s.dive = a.dive AND s.t <= a.t AND s.depth IS NOT NULL AND s.kind = 'view') AS depth FROM a""")
+def detail(t):
+    rows = samples(t).withColumn("depth", F.when(C("kind") == "view", C("depth")))
+    return se.detail(rows, samples(t).where("kind = 'error'").select("dive", (C("t") + 1).alias("t")), ["temp", "depth"])

@@ -171,3 +171,77 @@ def merged_closing_gaps(samples: DataFrame) -> DataFrame:
 def shifted(dives: DataFrame, new_local: Column, offset_minutes: Column) -> DataFrame:
     """Dives (local, utc) with a new local start and the UTC that it means under an offset; sample offsets don't change."""
     return dives.withColumn("local", new_local).withColumn("utc", F.when(offset_minutes.isNotNull(), F.col("local") - F.make_dt_interval(mins=offset_minutes)))
+
+
+#: Fixed values of the grid: bits of the phase, depths at which "at depth" begins and ends, the surface, and the largest no-stop time.
+DIVING, AT_DEPTH, SURFACED = 0x08000000, 0x00010000, 0x04000000
+AT_DEPTH_ON_M, AT_DEPTH_OFF_M, SURFACED_M, NDL_MOST_MIN = 8.5, 6.0, 1.0, 99
+
+
+def fixed_grid(samples: DataFrame, every: int = 5, decimals: tuple[int, int] = (2, 1)) -> DataFrame:
+    """(dive, n, t, depth, temp, pressure, ndl, speed, phase) each ``every`` units of time from a dive's first sample to its last.
+
+    ``samples`` has dive, t, seq, depth, temp, pressure and ndl (minutes). Values between two samples are interpolated;
+    where only one of them knows it, the earlier one's holds, and a later one's doesn't count yet. Of samples at one time
+    the last (by seq) counts. Unknown temperature is 0, unknown no-stop time the largest. Speed is the ascent in units a
+    minute since the point before. Samples without a time are left out, as are dives with fewer than two timed ones.
+    """
+    values = ("depth", "temp", "pressure", "ndl")
+    rows = samples.where("t is not null").select("dive", "t", "seq", *values)
+    whole = Window.partitionBy("dive")
+    rows = rows.withColumn("_next", F.lead(F.struct("t", *values)).over(in_order())).withColumn("_t0", F.min("t").over(whole)).withColumn("_m", F.count("*").over(whole))
+    rows = rows.where("_m > 1 and (_next is null or _next.t > t)")
+    low = F.col("_t0") + F.ceil((F.col("t") - F.col("_t0")) / F.lit(every)) * every
+    rows = rows.withColumn("_low", low.cast("long")).withColumn("_high", F.coalesce(F.col("_next.t") - 1, F.col("t")).cast("long"))
+    grid = rows.where("_low <= _high").withColumn("g", F.explode(F.sequence("_low", "_high", F.lit(every).cast("long"))))
+    share = (F.col("g") - F.col("t")) / (F.col("_next.t") - F.col("t"))
+    between = lambda c: F.when(F.col("_next").isNull() | (F.col("g") <= F.col("t")) | F.col(f"_next.{c}").isNull(), F.col(c)).otherwise(F.col(c) + (F.col(f"_next.{c}") - F.col(c)) * share)
+    points = grid.select("dive", F.col("g").alias("t"), F.lit(0).alias("seq"), F.round(between("depth"), decimals[0]).alias("depth"), F.coalesce(F.round(between("temp"), decimals[0]), F.lit(0.0)).alias("temp"), F.round(between("pressure"), decimals[0]).alias("pressure"), F.rint(between("ndl")).alias("ndl"))
+    known = F.when(F.col("ndl").isNotNull(), F.least(F.greatest("ndl", F.lit(0)), F.lit(NDL_MOST_MIN)))
+    points = points.withColumn("ndl", F.coalesce(known, F.lit(NDL_MOST_MIN)).cast("int"))
+    points = hysteresis(points, "depth", AT_DEPTH_ON_M, AT_DEPTH_OFF_M, "_deep")
+    phase = F.lit(DIVING) + F.when(F.col("_deep"), AT_DEPTH).otherwise(0) + F.when(F.col("depth") <= SURFACED_M, SURFACED).otherwise(0)
+    speed = F.coalesce((F.lag("depth").over(in_order()) - F.col("depth")) / every * 60.0, F.lit(0.0))
+    return points.select("dive", F.row_number().over(in_order()).alias("n"), "t", "depth", "temp", "pressure", "ndl", F.round(speed, decimals[1]).alias("speed"), phase.alias("phase"))
+
+
+def merged_gases(gases: DataFrame) -> DataFrame:
+    """(dive, log, at, place, new): the place in the joined list of each gas of a dive's two logs.
+
+    ``gases`` has dive, log (1 or 2), at, oxygen, helium and mode. Log 1 keeps its list. A gas of log 2 takes the place
+    of the first equal one (nulls are equal), else a new place after the last of log 1, in the order of log 2; ``new``
+    marks the rows that add one. Gases without a place are left out.
+    """
+    key = [F.struct("oxygen", "helium", "mode").alias("_gas")]
+    rows = gases.where("at is not null").select("dive", "log", "at", *key)
+    per = rows.groupBy("dive", "_gas").agg(F.min(F.when(F.col("log") == 1, F.col("at"))).alias("_had"), F.min(F.when(F.col("log") == 2, F.col("at"))).alias("_first"))
+    ends = rows.groupBy("dive").agg(F.coalesce(F.max(F.when(F.col("log") == 1, F.col("at"))), F.lit(-1)).alias("_end"))
+    added = per.where("_had is null").withColumn("_n", F.row_number().over(Window.partitionBy("dive").orderBy("_first")))
+    # nested nulls don't match in a join, so gases meet by their text
+    text = lambda df: df.withColumn("_gas", F.to_json("_gas"))
+    places = text(per).join(text(added).select("dive", "_gas", "_n"), ["dive", "_gas"], "left").join(ends, "dive")
+    out = text(rows).join(places, ["dive", "_gas"])
+    to = F.when(F.col("log") == 1, F.col("at")).otherwise(F.coalesce(F.col("_had"), F.col("_end") + F.col("_n")))
+    return out.select("dive", "log", "at", to.cast("long").alias("place"), ((F.col("log") == 2) & F.col("_had").isNull() & (F.col("at") == F.col("_first"))).alias("new"))
+
+
+def switch_markers(line: DataFrame, tanks: DataFrame) -> DataFrame:
+    """(dive, t, label) of every switch after the first gas of a :func:`timeline`.
+
+    ``tanks`` has dive, gas, name and label. The mix's name is the label, or the tank's own where another tank of the
+    dive holds the same mix. A gas that isn't listed has no label.
+    """
+    shared = tanks.select("dive", "gas", F.when(F.count("*").over(Window.partitionBy("dive", "name")) > 1, F.col("label")).otherwise(F.col("name")).alias("label"))
+    later = line.withColumn("_n", F.row_number().over(Window.partitionBy("dive").orderBy("t"))).where("_n > 1")
+    return later.join(shared, ["dive", "gas"], "left").select("dive", "t", "label")
+
+
+def detail(samples: DataFrame, asked: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """What is known of a dive at a time: each row of ``asked`` (dive, t) with ``columns`` as last read at or before it.
+
+    Several samples at one time count in the order of seq; before the first reading a column is null. One sort by
+    (dive, t); no pairs are made. Rows of ``asked`` that repeat are answered each.
+    """
+    both = samples.select("dive", "t", F.col("seq").cast("double").alias("seq"), *columns, F.lit(False).alias("_asked"))
+    both = both.unionByName(asked.select("dive", "t", F.lit(float("inf")).alias("seq"), F.lit(True).alias("_asked")), allowMissingColumns=True)
+    return held(both, columns).where("_asked").select("dive", "t", *columns)

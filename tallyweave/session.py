@@ -34,17 +34,23 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
+def written(df: DataFrame, tag: str, compression: str = "zstd", path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (a fresh ``path`` there unless given) and read it again.
 
     Cuts lineage and survives lost executors, unlike a local checkpoint.
     """
     spark = df.sparkSession
-    path = shared_path(spark, tag)
+    path = path or shared_path(spark, tag)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that no result reads any more, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

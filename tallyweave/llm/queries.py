@@ -128,8 +128,28 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    from tallyweave.llm import token_files
+
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), end=0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import vector_codes
+
+    return vector_codes.code_errors(table(spark, sf_dir, "embeddings"), parts=4, rounds=4)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filter_audit.text_filters(), copies="E")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_byte_bpe, op2_mixing, op3_multi_index, op4_edit_fingerprint, op5_quality, op6_chat_format, op7_ngram_jaccard_join, op8_warc, op9_toxicity, op10_cross_entropy_difference)
+    every = (op1_byte_bpe, op2_mixing, op3_multi_index, op4_edit_fingerprint, op5_quality, op6_chat_format, op7_ngram_jaccard_join, op8_warc, op9_toxicity, op10_cross_entropy_difference, op11_token_files, op12_vector_codes, op13_filter_audit)
     return {f.__name__: f for f in every}
 
 
@@ -148,5 +168,57 @@ SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, CAST(length(loss) AS
 """
 
 
+def _op12_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds written out, on whole numbers; a row of ``p0`` is a part, of ``c0`` to ``c4`` an entry."""
+    steps = [r"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p0 AS MATERIALIZED (SELECT r, vec_id, pos, list_slice(v, pos * len(v) // 4 + 1, (pos + 1) * len(v) // 4) AS x FROM kept, range(4) t(pos)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 256),
+c0 AS MATERIALIZED (SELECT pos, entry, x AS c FROM p0 JOIN first USING (r))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, pos, min(x) AS x, min((d, entry)) AS best FROM (
+    SELECT r, p0.pos, x, entry, list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM p0 JOIN c{i} ON p0.pos = c{i}.pos) GROUP BY r, pos)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT pos, entry, j, sum(v)::BIGINT AS s, count(*) AS n FROM (
+    SELECT pos, best[2] AS entry, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM a{i}) GROUP BY pos, entry, j),
+m{i} AS (SELECT pos, entry, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM s{i} GROUP BY pos, entry),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.pos, c{i}.entry, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON c{i}.pos = m{i}.pos AND c{i}.entry = m{i}.entry)""")
+    steps.append(f"""coded AS (
+  SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY pos) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY r),
+told AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), told""")
+    return ",\n".join(steps[:-1]) + ",\n" + steps[-1]
+
+
+OP13_SQL = r"""
+WITH RECURSIVE orders(o) AS (
+  SELECT CAST('' AS VARCHAR) UNION ALL SELECT o || f FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) t(f) WHERE NOT contains(o, f)),
+steps AS (SELECT o AS filter_order, CAST(i AS INTEGER) AS step, o[i] AS filter, substr(o, 1, i - 1) AS before FROM orders, range(1, 6) s(i) WHERE length(o) = 5),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS failed
+  FROM w LEFT JOIN marks USING (doc_id)),
+g AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed),
+x AS (SELECT *, contains(failed, filter) AS fails, translate(failed, before, '') <> failed AS gone FROM g, steps),
+y AS (
+  SELECT part, filter_order, step, filter,
+         coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (failed = filter), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM y
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op6_chat_format": OP6_SQL}
+    return {"op2_mixing": OP2_SQL, "op6_chat_format": OP6_SQL, "op12_vector_codes": _op12_sql(), "op13_filter_audit": OP13_SQL}

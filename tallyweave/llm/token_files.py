@@ -1,16 +1,18 @@
 """Token ids as binary files: Arrow streams of fixed-size lists, for random access without copies.
 
-A shard is two files in Arrow's streaming format. ``ids-*.arrow`` holds sequences of equal length and a mask of the
+A shard is two files in Arrow's streaming format. ``ids-*.arrow`` holds sequences of equal length and masks of the
 places that hold an id, in batches of equally many sequences, so sequence i stands in batch i // BATCH and a
-memory-mapped file gives it without copying (:class:`Sequences`). ``documents-*.arrow`` tells where each document
+memory-mapped file gives both without copying (:class:`Sequences`). A batch has each different mask once: nearly all
+sequences are full and share one. ``documents-*.arrow`` tells where each document
 begins and how many ids it has; documents follow one another across sequences and batches, and only the last
 sequence of a shard is filled up. The writer is a Spark data source: tasks write whole shards in the order of the
 rows, and the job's commit publishes them by one manifest, which readers follow. Files of attempts that failed
 aren't in it.
 
-Texts are encoded piece by piece: a piece begins where ASCII white space follows a character that is certainly
-none, which no pre-token spans, so the ids of a text are those of its pieces. Pieces are told apart by hash,
-compared byte by byte, and each different one is encoded once by the tokenizers library.
+Texts are encoded piece by piece: a piece begins where no pre-token can go on, as at white space that follows a
+sign of another kind (:func:`cuts`), so the ids of a text are those of its pieces. Pieces are told apart by hash,
+compared byte by byte, and each different one is encoded once by the tokenizers library; those that begin with white
+space are handed to it many at a time, as one text.
 """
 
 from __future__ import annotations
@@ -31,13 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from tallyweave.llm.textscan import CHUNK, bounded_batches, chunks, hashes
+from tallyweave.llm.textscan import bounded_batches, chunks, hashes
 from tallyweave.session import shared_path
 
 #: Ids of a sequence, sequences of a batch, and batches after which the next document begins a new shard.
 LENGTH, BATCH, SHARD = 2_048, 128, 512
-#: Bytes of text in a worker's store of encoded pieces, after which it starts anew.
-KEPT = 8 << 20
+#: Bytes of text that are looked at together, about; bytes in a worker's store of encoded pieces, after which it starts
+#: anew; and pieces that are handed to the library as one text.
+CHUNK, KEPT, TOGETHER = 1 << 20, 8 << 20, 2_000
 MANIFEST = "_manifest.json"
 DOCUMENTS = "key long, start long, n_tokens long, ids binary"
 _PLACES = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64())])
@@ -52,6 +55,10 @@ class PieceEncoder:
 
         self.model = Tokenizer.from_str(content)
         self.model.encode_special_tokens = True
+        words = self.model.get_vocab(with_added_tokens=False)
+        # a token has a character for each of its bytes
+        self.width = np.zeros(max(words.values()) + 1, np.int64)
+        self.width[list(words.values())] = [len(w) for w in words]
         self.forget()
 
     def forget(self) -> None:
@@ -63,18 +70,44 @@ class PieceEncoder:
         found = self.model.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
         return [np.array(x.ids, np.uint32) for x in found]
 
+    def _together(self, content: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each piece has) of pieces that stand one after the other, cut where pre-tokens end."""
+        ids, at = [], 0
+        for stop in [*range(TOGETHER - 1, len(ends) - 1, TOGETHER), len(ends) - 1]:
+            upto = int(ends[stop])
+            ids.append(np.array(self.model.encode_batch_fast([content[at:upto].decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32))
+            at = upto
+        ids = np.concatenate(ids)
+        upto = np.cumsum(self.width[ids])
+        last = np.searchsorted(upto, ends)
+        if not np.array_equal(upto[last], ends):
+            raise ValueError("a token goes beyond its piece")
+        return ids, np.diff(last, prepend=-1)
+
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
-        content = data.tobytes()
-        pieces = [content[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        ids = self._encoded(pieces)
-        n = len(self.byte_at) - 1
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
-        self.ids = np.concatenate([self.ids, *ids])
-        self.byte_at = np.append(self.byte_at, self.byte_at[-1] + np.cumsum([len(p) for p in pieces]))
-        self.id_at = np.append(self.id_at, self.id_at[-1] + np.cumsum([len(i) for i in ids]))
-        every = np.concatenate([self.hashes, h])
-        order = np.argsort(every, kind="stable")
-        self.hashes, self.index = every[order], np.concatenate([self.index, np.arange(n, n + len(pieces))])[order]
+        try:
+            data.tobytes().decode("utf-8")
+            # between these any boundary is one of white space after a sign
+            plain = _CLASS[data[starts]] == _SPACE
+            plain &= _SOLID[data[ends - 1]]
+        except UnicodeDecodeError:
+            plain = np.zeros(len(starts), bool)
+        order = np.argsort(~plain, kind="stable")
+        starts, ends, h, n = starts[order], ends[order], h[order], int(plain.sum())
+        width = ends - starts
+        upto = np.cumsum(width)
+        flat = data[np.repeat(starts, width) + np.arange(width.sum()) - np.repeat(upto - width, width)]
+        ids, counts = self._together(flat[: upto[n - 1]].tobytes(), upto[:n]) if n else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        own = self._encoded([data[a:b].tobytes() for a, b in zip(starts[n:].tolist(), ends[n:].tolist(), strict=True)])
+        counts = np.append(counts, np.array([len(i) for i in own], np.int64))
+        known = len(self.byte_at) - 1
+        self.bytes, self.ids = np.concatenate([self.bytes, flat]), np.concatenate([self.ids, ids, *own])
+        self.byte_at = np.append(self.byte_at, self.byte_at[-1] + upto)
+        self.id_at = np.append(self.id_at, self.id_at[-1] + np.cumsum(counts))
+        # both are in order, and a stable sort merges them in one pass
+        every, at = np.concatenate([self.hashes, np.sort(h)]), np.concatenate([self.index, known + np.argsort(h)])
+        merged = np.argsort(every, kind="stable")
+        self.hashes, self.index = every[merged], at[merged]
 
     def pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after the other, how many each has); the pieces cover ``data``."""
@@ -113,8 +146,8 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; null is empty."""
-        for _, _, data, offsets in chunks(texts):
-            cut = _cuts(data)
+        for _, _, data, offsets in chunks(texts, CHUNK):
+            cut = cuts(data)
             cut[offsets[offsets < len(data)]] = True
             starts = np.flatnonzero(cut)
             ends = np.append(starts[1:], len(data))
@@ -135,13 +168,27 @@ class PieceEncoder:
                 yield ids[a:b]
 
 
-def _cuts(data: np.ndarray) -> np.ndarray:
-    """Where ASCII white space follows a character that is certainly no white space: a sign of ASCII, or one of U+00C0 to U+00FF."""
-    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    solid = (data > 0x20) & (data < 0x7F)
+_LETTER, _DIGIT, _SIGN, _SPACE = 1, 2, 3, 4
+#: Kinds of ASCII characters; 0 for control characters and all bytes beyond.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_SOLID = (_CLASS > 0) & (_CLASS != _SPACE)
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at ASCII white space after an ASCII character that is none, or one of U+00C0 to U+00FF; at a
+    sign after an ASCII letter or digit; and between ASCII letters and digits."""
+    kind = _CLASS[data]
+    solid = _SOLID[data]
     solid[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80)
+    now, before = kind[1:], kind[:-1]
+    word = (before == _LETTER) | (before == _DIGIT)
     out = np.zeros(len(data), bool)
-    out[1:] = space[1:] & solid[:-1]
+    out[1:] = (now == _SPACE) & solid[:-1]
+    out[1:] |= word & (now != before) & (now > 0) & (now < _SPACE)
     return out
 
 
@@ -181,7 +228,7 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 def sequence_schema(length: int, vocabulary: int) -> pa.Schema:
     kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
-    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
 
 
 class ShardWriter:
@@ -212,9 +259,12 @@ class ShardWriter:
     def _batch(self) -> None:
         count = -(-self.n // self.length)
         self.held[self.n :] = 0
-        mask = (np.arange(count * self.length) < self.n).astype(np.uint8)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), type=f.type) for v, f in zip((self.held[: count * self.length].copy(), mask), self.schema, strict=True)]
-        self.ids.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
+        full, rest = divmod(self.n, self.length)
+        masks = np.concatenate([np.ones(self.length, np.uint8), (np.arange(self.length) < rest).astype(np.uint8)][: 2 if rest else 1])
+        ids = pa.FixedSizeListArray.from_arrays(pa.array(self.held[: count * self.length].copy()), type=self.schema.field("ids").type)
+        kinds = pa.FixedSizeListArray.from_arrays(pa.array(masks), type=self.schema.field("mask").type.value_type)
+        mask = pa.DictionaryArray.from_arrays(pa.array([0] * full + [1] * (count - full), pa.int8()), kinds)
+        self.ids.write_batch(pa.RecordBatch.from_arrays([ids, mask], schema=self.schema))
         self.sequences, self.n = self.sequences + count, 0
 
     def _index(self) -> None:
@@ -247,7 +297,9 @@ class Sequences:
         if not 0 <= i < len(self):
             raise IndexError(i)
         batch, row = self.batches[i // self.per], i % self.per
-        return tuple(c.slice(row, 1).flatten().to_numpy(zero_copy_only=True) for c in batch.columns)
+        ids, mask = batch.columns
+        views = ids.slice(row, 1), mask.dictionary.slice(mask.indices[row].as_py(), 1)
+        return tuple(v.flatten().to_numpy(zero_copy_only=True) for v in views)
 
 
 def documents(store: fs.FileSystem, folder: str, name: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -263,7 +315,10 @@ def documents(store: fs.FileSystem, folder: str, name: str) -> Iterator[tuple[in
                 while n:
                     if not len(held):
                         batch = next(batches)
-                        held = batch.column(0).flatten().to_numpy()[batch.column(1).flatten().to_numpy() == 1]
+                        ids, mask = batch.columns
+                        # only the last sequence of a shard isn't full
+                        full = ids.type.list_size * (len(ids) - 1) + int(mask.dictionary[mask.indices[-1].as_py()].values.to_numpy().sum())
+                        held = ids.flatten().to_numpy()[:full]
                     got.append(held[:n])
                     held, n, at = held[n:], n - len(got[-1]), at + len(got[-1])
                 yield key, start, np.concatenate(got) if got else held[:0]

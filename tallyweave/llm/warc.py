@@ -1,9 +1,9 @@
 """WARC: files of one gzip member per record, and a sequential reader that verifies them.
 
 Both are a Spark data source (``format("warc")``). Each writing task makes whole ``.warc.gz`` files of about
-ARCHIVE bytes below a temporary folder, and the job's commit moves them to the path, so tasks may be tried again.
-The reader goes through a file piece by piece: it inflates member by member, frames blocks by Content-Length and
-checks their digests, holding one record. Files are opened by Arrow's file systems (local or shared folders, HDFS,
+ARCHIVE bytes, and the job's commit writes one manifest of those that count, so tasks may be tried again. Where a
+folder has manifests, the reader takes their files, else all. It goes through a file piece by piece: it inflates,
+frames blocks by Content-Length and digests them as the bytes come, and holds a record's payload only if asked to. Files are opened by Arrow's file systems (local or shared folders, HDFS,
 object stores); archives that only Spark can reach go through :func:`read_records`, with their contents in a column.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
+import json
 import re
 import uuid
 import zlib
@@ -30,12 +30,15 @@ from tallyweave.session import shared_path, written
 
 #: Compressed bytes after which a file ends, and bytes read or inflated at a time.
 ARCHIVE, STEP = 16 << 20, 1 << 16
+#: Bytes of the head of a record or message; a longer one is a fault.
+HEAD = 1 << 20
 #: Records of a batch, at most, and bytes of payload after which a batch ends.
 ROWS, BATCH = 1_000, 4 << 20
 LEVEL = 4
 #: Fixed values of the format.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
+MANIFEST = "_manifest-"
 RECORDS = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, valid boolean, reason string, archive string, payload binary"
 #: What the writer takes.
 PAGES = "page long, url string, html string, again boolean, refers_to long, sha1 string, bytes long"
@@ -67,46 +70,6 @@ def record(page, url: str | None, payload: bytes, refers_to, revisit: bool, dige
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
-def members(stream) -> Iterator[tuple[bytes, str | None]]:
-    """(inflated bytes, fault) of each gzip member of a file-like object, read STEP bytes at a time.
-
-    A member that is damaged or cut gives what was inflated, and what is wrong; reading goes on at the next
-    bytes that begin a member. Bytes between members that begin none are a fault of their own.
-    """
-    held = stream.read(STEP)
-    while held:
-        at = held.find(MAGIC)
-        if at:
-            # not at the start of a member: go on where one begins
-            more = b""
-            while at < 0:
-                more = stream.read(STEP)
-                if not more:
-                    break
-                held = held[-2:] + more
-                at = held.find(MAGIC)
-            yield b"", "no gzip member"
-            if at < 0:
-                return
-            held = held[at:]
-        inflate, out, fault = zlib.decompressobj(31), [], None
-        piece, rest = held, b""
-        while not inflate.eof:
-            if not piece:
-                fault = "cut"
-                break
-            try:
-                out.append(inflate.decompress(piece))
-            except zlib.error as e:
-                fault, rest = f"damaged: {e}", piece[1 if piece is held else 0 :]
-                break
-            rest = inflate.unused_data
-            if not inflate.eof:
-                piece = stream.read(STEP)
-        yield b"".join(out), fault
-        held = rest or stream.read(STEP)
-
-
 def _fields(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -116,33 +79,135 @@ def _whole(text: str | None) -> int | None:
     return int(text) if text is not None and re.fullmatch("[0-9]{1,18}", text) else None
 
 
-def parse(member: bytes, payloads: bool, fault: str | None = None, archive: str | None = None) -> tuple:
-    """A row of RECORDS. ``valid`` says whether framing, length, block digest and payload digest hold, ``reason`` what doesn't."""
-    head, _, rest = member.partition(b"\r\n\r\n")
-    fields = _fields(head)
-    length, kind = _whole(fields.get("content-length")), fields.get("warc-type")
-    wrong = [fault] if fault else []
-    if not head.startswith(b"WARC/"):
-        wrong.append("no WARC version")
-    if kind is None or length is None:
-        wrong += [n for n, v in (("no type", kind), ("no content length", length)) if v is None]
-    block, end = (rest, b"") if length is None else (rest[:length], rest[length:])
-    if length is not None and (len(block) != length or end != b"\r\n\r\n"):
-        wrong.append("content length")
-    stated = fields.get("warc-block-digest", "").rpartition(":")[2]
-    if stated not in ("", base32_sha1(block)):
-        wrong.append("block digest")
-    message, _, payload = block.partition(b"\r\n\r\n")
-    size = _whole(_fields(message).get("content-length"))
-    digest = fields.get("warc-payload-digest", "").rpartition(":")[2] or None
-    if kind != "revisit":
-        found, size = base32_sha1(payload), len(payload)
-        if digest not in (None, found):
-            wrong.append("payload digest")
-        digest = found
-    name, refers = fields.get("warc-record-id"), fields.get("warc-refers-to")
-    keep = payload if payloads and kind != "revisit" else None
-    return name.strip("<>") if name else None, kind, fields.get("warc-target-uri"), refers.strip("<>") if refers else None, size, digest, not wrong, ", ".join(wrong) or None, archive, keep
+class _Head:
+    """Bytes up to an empty line, at most HEAD of them."""
+
+    def __init__(self):
+        self.held, self.whole, self.long = bytearray(), False, False
+
+    def feed(self, more: bytes) -> bytes:
+        """What follows the head."""
+        begin = max(0, len(self.held) - 3)
+        self.held += more
+        end = self.held.find(b"\r\n\r\n", begin)
+        if end < 0:
+            if len(self.held) > HEAD:
+                self.long = True
+                del self.held[HEAD:]
+            return b""
+        rest = bytes(self.held[end + 4 :])
+        del self.held[end:]
+        self.whole = True
+        return rest
+
+
+class Record:
+    """A record that is read as its bytes are inflated: framed by Content-Length, digested, and kept only where asked for."""
+
+    def __init__(self, payloads: bool, archive: str | None = None):
+        self.payloads, self.archive = payloads, archive
+        self.head, self.message, self.length, self.kind = _Head(), _Head(), None, None
+        self.block, self.sha, self.size, self.got, self.end = hashlib.sha1(), hashlib.sha1(), 0, 0, b""
+        self.payload: list[bytes] = []
+
+    def feed(self, more: bytes) -> None:
+        if not self.head.whole:
+            more = self.head.feed(more)
+            if not self.head.whole:
+                return
+            fields = _fields(bytes(self.head.held))
+            self.length, self.kind = _whole(fields.get("content-length")), fields.get("warc-type")
+        room = len(more) if self.length is None else max(0, self.length - self.got)
+        self.end = (self.end + more[room : room + 5])[:5]
+        more = more[:room]
+        self.got += len(more)
+        self.block.update(more)
+        if not self.message.whole:
+            more = self.message.feed(more)
+        if self.message.whole and self.kind != "revisit":
+            self.sha.update(more)
+            self.size += len(more)
+            if self.payloads:
+                self.payload.append(more)
+
+    @property
+    def begun(self) -> bool:
+        return self.head.held.startswith(b"WARC/")
+
+    def row(self, fault: str | None = None) -> tuple:
+        """A row of RECORDS. ``valid`` says whether framing, length, block digest and payload digest hold, ``reason`` what doesn't."""
+        fields = _fields(bytes(self.head.held))
+        wrong = [fault] if fault else []
+        if not self.begun:
+            wrong.append("no WARC version")
+        if self.head.long or self.message.long:
+            wrong.append("long head")
+        if self.kind is None or self.length is None:
+            wrong += [n for n, v in (("no type", self.kind), ("no content length", self.length)) if v is None]
+        if self.length is not None and (self.got != self.length or self.end != b"\r\n\r\n"):
+            wrong.append("content length")
+        block = lambda h: base64.b32encode(h.digest()).decode()
+        if fields.get("warc-block-digest", "").rpartition(":")[2] not in ("", block(self.block)):
+            wrong.append("block digest")
+        digest, size = fields.get("warc-payload-digest", "").rpartition(":")[2] or None, _whole(_fields(bytes(self.message.held)).get("content-length"))
+        if self.kind != "revisit":
+            found, size = block(self.sha), self.size
+            if digest not in (None, found):
+                wrong.append("payload digest")
+            digest = found
+        name, refers = fields.get("warc-record-id"), fields.get("warc-refers-to")
+        keep = b"".join(self.payload) if self.payloads and self.kind != "revisit" else None
+        return name.strip("<>") if name else None, self.kind, fields.get("warc-target-uri"), refers.strip("<>") if refers else None, size, digest, not wrong, ", ".join(wrong) or None, self.archive, keep
+
+
+def _next_member(stream, held: bytes) -> tuple[bytes, bool]:
+    """(bytes from the next start of a member on, or none; whether bytes were passed over)."""
+    passed = False
+    while True:
+        at = held.find(MAGIC)
+        if at >= 0:
+            return held[at:], passed or at > 0
+        more = stream.read(STEP)
+        if not more:
+            return b"", passed or bool(held)
+        # the start may be cut by the end of a piece
+        keep = next((n for n in (2, 1) if held.endswith(MAGIC[:n])), 0)
+        passed = passed or len(held) > keep
+        held = held[len(held) - keep :] + more
+
+
+def records(stream, payloads: bool = False, archive: str | None = None) -> Iterator[tuple]:
+    """A row of RECORDS for each gzip member of a file-like object, read and inflated STEP bytes at a time.
+
+    A member that is damaged or cut is one row with what is known of it, and what is wrong; reading goes on at the next
+    member that can be inflated or begins a record. Bytes after a whole member that begin none are a row of their own.
+    """
+    held, lost = stream.read(STEP), False
+    while held:
+        held, passed = _next_member(stream, held)
+        if passed and not lost:
+            yield Record(False, archive).row("no gzip member")
+        if not held:
+            return
+        inflate, record, fault, piece = zlib.decompressobj(31), Record(payloads, archive), None, held
+        while True:
+            try:
+                record.feed(inflate.decompress(piece, STEP))
+            except zlib.error as e:
+                fault, held = f"damaged: {e}", piece[1 if piece is held else 0 :]
+                break
+            if inflate.eof:
+                held = inflate.unused_data
+                break
+            piece = inflate.unconsumed_tail or stream.read(STEP)
+            if not piece:
+                record.feed(inflate.flush())
+                fault, held = None if inflate.eof else "cut", b""
+                break
+        if not (lost and fault and not record.begun):
+            yield record.row(fault)
+        lost = fault is not None
+        held = held or stream.read(STEP)
 
 
 _KINDS = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.binary()]
@@ -176,7 +241,7 @@ def read_records(archives: DataFrame, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for content, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 if content.is_valid:
-                    yield from _batches(parse(m, payloads, fault, name) for m, fault in members(io.BytesIO(content.as_buffer())))
+                    yield from _batches(records(pa.BufferReader(content.as_buffer()), payloads, name))
 
     return archives.select(F.col("content"), path.alias("path")).mapInArrow(work, RECORDS)
 
@@ -222,10 +287,15 @@ class _WarcReader(DataSourceReader):
         self.path, self.payloads = path, payloads
 
     def partitions(self) -> list[_Files]:
-        """Whole files, by name; those that begin with a dot or an underscore are not read."""
+        """Whole files, by name; those that begin with a dot or an underscore, or are in no manifest where there are any, are not read."""
         store, root = _opened(self.path)
-        found = store.get_file_info(fs.FileSelector(root, recursive=False))
-        files = sorted((f.path, f.size or 0) for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._")
+        found = [f for f in store.get_file_info(fs.FileSelector(root, recursive=False)) if f.type == fs.FileType.File]
+        told = set()
+        for f in found:
+            if f.base_name.startswith(MANIFEST):
+                with store.open_input_stream(f.path, compression=None) as stream:
+                    told.update(json.loads(stream.read()))
+        files = sorted((f.path, f.size or 0) for f in found if (f.base_name in told if told else f.base_name[0] not in "._"))
         out, held, size = [], [], 0
         for path, n in files:
             if held and size + n > self.PART:
@@ -239,23 +309,23 @@ class _WarcReader(DataSourceReader):
         store, _ = _opened(self.path)
         for path in partition.paths:
             with store.open_input_stream(path, compression=None) as stream:
-                yield from _batches(parse(m, self.payloads, fault, path.rsplit("/", 1)[-1]) for m, fault in members(stream))
+                yield from _batches(records(stream, self.payloads, path.rsplit("/", 1)[-1]))
 
 
 class _WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
-        self.path, self.inner = path.rstrip("/"), f"_temporary-{uuid.uuid4().hex}"
+        self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         store, root = _opened(self.path)
-        folder, task = f"{root}/{self.inner}", TaskContext.get()
-        store.create_dir(folder, recursive=True)
+        store.create_dir(root, recursive=True)
+        task = TaskContext.get()
         names, out, size = [], None, 0
         for batch in iterator:
             for page, link, text, again, refers, sha, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    names.append(f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):06d}.warc.gz")
-                    out, size = store.open_output_stream(f"{folder}/{names[-1]}", compression=None), 0
+                    names.append(f"part-{self.job}-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):06d}.warc.gz")
+                    out, size = store.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
                 packed = record(page, link, (text or "").encode("utf-8", "surrogatepass"), refers, again, base64.b32encode(bytes.fromhex(sha)).decode(), count)
                 out.write(packed)
                 size += len(packed)
@@ -267,17 +337,17 @@ class _WarcWriter(DataSourceArrowWriter):
         return _Written(tuple(names))
 
     def commit(self, messages: list[_Written | None]) -> None:
+        """One manifest makes all files count at once; files of attempts that failed are in none."""
         store, root = _opened(self.path)
         store.create_dir(root, recursive=True)
-        for name in (n for m in messages if m for n in m.names):
-            store.move(f"{root}/{self.inner}/{name}", f"{root}/{name}")
-        self.abort(messages)
-        store.open_output_stream(f"{root}/_SUCCESS").close()
+        with store.open_output_stream(f"{root}/.{self.job}", compression=None) as f:
+            f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        store.move(f"{root}/.{self.job}", f"{root}/{MANIFEST}{self.job}.json")
 
     def abort(self, messages: list[_Written | None]) -> None:
         store, root = _opened(self.path)
-        if store.get_file_info(f"{root}/{self.inner}").type == fs.FileType.Directory:
-            store.delete_dir(f"{root}/{self.inner}")
+        for name in (n for m in messages if m for n in m.names):
+            store.delete_file(f"{root}/{name}")
 
 
 def read_files(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:

@@ -1,7 +1,11 @@
 import gzip
 import hashlib
+import io
+import tracemalloc
+from pathlib import Path
 
 import pyarrow as pa
+import pytest
 from comparing import DATA
 from pyspark.sql import functions as F
 
@@ -73,7 +77,7 @@ def test_files_are_plain_warc(spark, tmp_path):
     (tmp_path / "_other").write_text("x")
     path = warc.write_archives(df, f"file://{tmp_path}")
     names = sorted(p.name for p in tmp_path.iterdir())
-    assert "_SUCCESS" in names and not any(n.startswith("_temporary") for n in names)
+    assert sum(n.startswith(warc.MANIFEST) for n in names) == 1
     files = sorted(tmp_path.glob("*.warc.gz"))
     plain = b"".join(gzip.decompress(p.read_bytes()) for p in files)
     assert plain.count(b"WARC/1.1\r\n") == 40 and plain.count(b"WARC-Type: response") == 7
@@ -81,6 +85,11 @@ def test_files_are_plain_warc(spark, tmp_path):
     ours = sorted(key(r) for r in warc.read_files(spark, path).collect())
     by_content = warc.read_records(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(str(tmp_path)))
     assert ours == sorted(key(r) for r in by_content.collect()) and all(r[-1] for r in ours)
+    # a file of an attempt that failed is in no manifest; a second write adds one
+    (tmp_path / "part-x.warc.gz").write_bytes(warc.record(99, "u", b"x", None, False))
+    assert warc.read_files(spark, path).count() == 40
+    warc.write_archives(df, path)
+    assert warc.read_files(spark, path).count() == 80
 
 
 def test_damage_is_seen(spark, tmp_path):
@@ -100,3 +109,52 @@ def test_damage_is_seen(spark, tmp_path):
         assert why["urn:x-page:9"] == "payload digest" and why["urn:x-page:8"] == "no content length"
         assert all(r["reason"] for r in rows if not r["valid"])
         assert any("cut" in r["reason"] for r in rows if not r["valid"]) and any("no gzip member" in r["reason"] for r in rows if not r["valid"])
+        # the wrong digest, the missing length, the damaged record, the noise, the cut record: a row each
+        assert sum(not r["valid"] for r in rows) == 5
+
+
+class Pieces:
+    """A stream whose first piece ends ``cut`` bytes into the second member."""
+
+    def __init__(self, content, first):
+        self.content, self.at, self.first = content, 0, first
+
+    def read(self, n):
+        n = self.first if self.at == 0 else n
+        out, self.at = self.content[self.at : self.at + n], self.at + n
+        return out
+
+
+@pytest.mark.parametrize("noise", [b"", b"noise", b"\x1f", b"\x1f\x8b"])
+def test_members_cut_by_pieces(noise):
+    """Wherever a piece ends, records are rows, and passed-over bytes one row."""
+    one, two = warc.record(1, "u", b"first", None, False), warc.record(2, "u", b"second", None, False)
+    for cut in range(-3, 21):
+        for step in (1, 2, 3, 7, 1 << 16):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(warc, "STEP", step)
+                rows = list(warc.records(Pieces(one + noise + two, len(one) + cut)))
+            assert [r[0] for r in rows] == ["urn:x-page:1", *([None] if noise else []), "urn:x-page:2"], (cut, step)
+            assert [r[7] for r in rows if r[0] is None] == ["no gzip member, no WARC version, no type, no content length"] * bool(noise)
+
+
+def test_large_archives_hold_every_page(spark):
+    """More than 100 MB of small and large members, so that pieces end at all places of many members."""
+    pages = spark.range(110_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.when(F.col("id") % 50 == 0, F.repeat(F.sha2(F.col("id").cast("string"), 512), 1_000)).otherwise(F.concat_ws("", *[F.sha2(F.concat_ws("-", "id", F.lit(i)), 512) for i in range(16)])).alias("html"))
+    path = warc.write_archives(pages.repartition(4))
+    assert sum(p.stat().st_size for p in Path(path.removeprefix("file://")).glob("*.warc.gz")) > 100 << 20
+    read = warc.read_files(spark, path)
+    got = read.agg(F.count("*"), F.count_distinct("record_id"), F.sum(F.col("valid").cast("int")), F.sum("payload_bytes")).first()
+    assert tuple(got) == (110_000, 110_000, 110_000, 2_200 * 128_000 + 107_800 * 2_048)
+
+
+def test_memory_follows_pieces_not_records():
+    """A member that inflates to far more than its bytes is digested as it comes; a head without an end is a fault."""
+    big = warc.record(1, "u", b"\0" * (64 << 20), None, False)
+    tracemalloc.start()
+    (row,) = warc.records(io.BytesIO(big))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row[4] == 64 << 20 and row[6] and peak < 4 << 20
+    (row,) = warc.records(io.BytesIO(gzip.compress(b"WARC/1.1\r\n" + b"x" * (3 << 20))))
+    assert "long head" in row[7]

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.session import written
+from tallyweave.sources.contract import opened
+
+#: What a file's writing gave: its name, its bytes, and why it isn't there, if so.
+OUTCOMES = "name string, bytes long, problem string"
+
 
 def file_names(records: DataFrame, key: str, extension: str) -> DataFrame:
     """(key, name) like ``2026-09-30 1432 dive 452.json``, from ``local`` and ``number``; no number, no ``dive``.
@@ -40,3 +50,54 @@ def dropped_counts(records: DataFrame, fields: dict[str, str], kept: Sequence[st
 def export_json(records: DataFrame, folder: str, clear: bool = False) -> None:
     """One JSON line a record, without its null fields. Spark commits the files of a job together; ``clear`` replaces what is there."""
     records.write.mode("overwrite" if clear else "append").option("ignoreNullFields", True).json(folder)
+
+
+def _put(store: fs.FileSystem, root: str, name: str, content: bytes) -> None:
+    """Write a file under another name in its folder and rename it, so that it is there whole or not at all."""
+    folder, _, last = f"{root}/{name}".rpartition("/")
+    store.create_dir(folder, recursive=True)
+    held = f"{folder}/.{uuid.uuid4().hex}"
+    try:
+        with store.open_output_stream(held, compression=None) as f:
+            f.write(content)
+        if store.get_file_info(f"{folder}/{last}").type == fs.FileType.Directory:
+            raise IsADirectoryError("a folder has this name")
+        store.move(held, f"{folder}/{last}")
+    except Exception:
+        if store.get_file_info(held).type == fs.FileType.File:
+            store.delete_file(held)
+        raise
+
+
+def write_each(records: DataFrame, folder: str, name: Column, content: Column) -> DataFrame:
+    """Write each record to its own file below ``folder`` and return OUTCOMES, a row for each record; the files are there when this returns.
+
+    A file that can't be written is a row with its problem, and the others stand. A null or empty name, one that leads out of
+    the folder, and one that several records share are problems too: of the latter none is written. Null content is an
+    empty file. A task that is tried again writes the same files again. Text is UTF-8; bytes are written as they are.
+    """
+    rows = records.select(name.cast("string").alias("name"), F.coalesce(content.cast("binary"), F.lit(b"")).alias("content"))
+    # only names meet; of a name that repeats, the rows get to know it by a join with the few that do
+    twice = rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1 and name is not null").select(F.col("name").alias("_twice"))
+    rows = rows.join(twice, F.col("name") == F.col("_twice"), "left").select("name", "content", F.col("_twice").isNotNull().alias("twice"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder.rstrip("/"))
+        for batch in batches:
+            out = []
+            for file, body, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                size, problem = len(body.as_buffer()), None
+                if not file or file.startswith("/") or ".." in re.split(r"[/\\\\]", file) or "\0" in file:
+                    problem = "no name for a file"
+                elif shared:
+                    problem = "several records have this name"
+                else:
+                    try:
+                        _put(store, root, file, body.as_buffer())
+                    except Exception as e:  # any fault is an outcome of this file
+                        problem = f"{type(e).__name__}: {e}".split("\n")[0]
+                out.append((file, None if problem else size, problem))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["name", "bytes", "problem"])
+
+    return written(rows.mapInArrow(work, OUTCOMES), "outcomes")

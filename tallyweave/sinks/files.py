@@ -52,14 +52,18 @@ def export_json(records: DataFrame, folder: str, clear: bool = False) -> None:
     records.write.mode("overwrite" if clear else "append").option("ignoreNullFields", True).json(folder)
 
 
-def _put(store: fs.FileSystem, root: str, name: str, content: bytes) -> None:
-    """Write a file under another name in its folder and rename it, so that it is there whole or not at all."""
+def put_pieces(store: fs.FileSystem, root: str, name: str, pieces: Iterator[bytes]) -> int:
+    """Write a file piece by piece under another name in its folder and rename it, so that it is there whole or not at all; its bytes."""
+    if not name or name.startswith("/") or ".." in re.split(r"[/\\]", name) or "\0" in name:
+        raise ValueError("no name for a file")
     folder, _, last = f"{root}/{name}".rpartition("/")
     store.create_dir(folder, recursive=True)
-    held = f"{folder}/.{uuid.uuid4().hex}"
+    held, size = f"{folder}/.{uuid.uuid4().hex}", 0
     try:
         with store.open_output_stream(held, compression=None) as f:
-            f.write(content)
+            for piece in pieces:
+                f.write(piece)
+                size += len(piece)
         if store.get_file_info(f"{folder}/{last}").type == fs.FileType.Directory:
             raise IsADirectoryError("a folder has this name")
         store.move(held, f"{folder}/{last}")
@@ -67,6 +71,7 @@ def _put(store: fs.FileSystem, root: str, name: str, content: bytes) -> None:
         if store.get_file_info(held).type == fs.FileType.File:
             store.delete_file(held)
         raise
+    return size
 
 
 def write_each(records: DataFrame, folder: str, name: Column, content: Column) -> DataFrame:
@@ -86,17 +91,13 @@ def write_each(records: DataFrame, folder: str, name: Column, content: Column) -
         for batch in batches:
             out = []
             for file, body, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                size, problem = len(body.as_buffer()), None
-                if not file or file.startswith("/") or ".." in re.split(r"[/\\\\]", file) or "\0" in file:
-                    problem = "no name for a file"
-                elif shared:
-                    problem = "several records have this name"
-                else:
+                size, problem = None, "several records have this name" if shared else None
+                if not problem:
                     try:
-                        _put(store, root, file, body.as_buffer())
+                        size = put_pieces(store, root, file or "", iter([body.as_py()]))
                     except Exception as e:  # any fault is an outcome of this file
                         problem = f"{type(e).__name__}: {e}".split("\n")[0]
-                out.append((file, None if problem else size, problem))
+                out.append((file, size, problem))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["name", "bytes", "problem"])
 

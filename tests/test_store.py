@@ -152,7 +152,7 @@ def test_files_and_their_outcomes(spark, tmp_path):
     assert len(got) == len(given)
     assert sorted(g[:2] for g in got if g[2] is None) == [("a.txt", 3), ("deep/b ü.txt", 0)]
     why = {g[0]: g[2] for g in got if g[2]}
-    assert why["twice"] == "several records have this name" and why["../out.txt"] == why[""] == why[None] == why["/abs"] == "no name for a file"
+    assert why["twice"] == "several records have this name" and why["../out.txt"] == why[""] == why[None] == why["/abs"] == "ValueError: no name for a file"
     assert all(why[n] for n in ("taken", "file/c.txt", "n" * 300))
     left = {str(p.relative_to(tmp_path / "out")) for p in Path(tmp_path / "out").rglob("*") if p.is_file()}
     assert left == {"a.txt", "deep/b ü.txt", "file"} and (tmp_path / "out/a.txt").read_text() == "one"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyweave.catalogue import query
 from tallyweave.session import shared_path
 from tallyweave.streaming import incremental as inc
+from tallyweave.streaming import progress
 
 C = F.col
 K = "CAST(json_extract(props, '$.k') AS INTEGER)"
@@ -57,3 +58,19 @@ SELECT DISTINCT user_id, k FROM l JOIN m USING (user_id) WHERE user_id % 7 = 0 A
 def gone(t):
     keys = t.events.select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "event_type").distinct()
     return inc.gone(keys.select("user_id", "k").distinct(), keys.where("event_type = 'click'"), _state(t), ["user_id"], "k")
+
+
+@query("progress_links", """SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 10 = 7 THEN NULL ELSE c_mktsegment || '-' || c_custkey END AS link, CASE WHEN c_custkey % 10 = 7 THEN 'failed' ELSE 'added' END AS outcome, CASE WHEN c_custkey % 10 <> 7 THEN 'known' ELSE 'failed' END AS again FROM customer""")
+def progress_links(t):
+    """Customers are sent by a stream; the batch after it finds all known but those that the service refuses."""
+    journal, sink = shared_path(t.spark, "journal"), shared_path(t.spark, "outcomes")
+
+    def send(row):
+        if row["c_custkey"] % 10 == 7:
+            raise ValueError("refused")
+        return f"{row['c_mktsegment']}-{row['c_custkey']}"
+
+    stream = inc.new_files(t.spark, f"{t.sf_dir}/customer.parque[t]", t.customer.schema).select("c_custkey", "c_mktsegment")
+    progress.deliver_stream(stream, "c_custkey", send, journal, shared_path(t.spark, "seen"), sink)
+    again = progress.deliver(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey", send, journal)
+    return t.spark.read.parquet(sink).select("key", "link", "outcome").join(again.select("key", C("outcome").alias("again")), "key")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyweave.catalogue import query
 from tallyweave.session import shared_path
 from tallyweave.sinks import files
-from tallyweave.sources import caches, store
+from tallyweave.sources import caches, services, store, zips
 from tallyweave.sources.contract import between
 
 C = F.col
@@ -76,3 +76,17 @@ def raw_objects(t):
     files.write_each(batch, root, F.concat(F.lit("divelogs/"), "account", F.lit("/data/"), "stem", F.lit(".JSON")), C("content"))
     got = caches.records(caches.raw(t.spark, root), "divelogs")
     return got.select("service", "account", F.try_element_at("external_ids", F.lit("divelogs")).alias("id"), "max_depth", "problem")
+
+
+@query("source_site_zip", """WITH s AS (SELECT c_custkey AS id, 'site ' || c_custkey AS site, CAST(c_custkey % 90 AS DOUBLE) AS lat FROM customer)
+SELECT CAST(id AS INTEGER) AS site_id, site, lat AS site_lat FROM s""")
+def source_site_zip(t):
+    """Customers as sites, in one archive of JSON and CSV entries; those divisible by 5 come again in the second entry under another name."""
+    k, folder = C("c_custkey"), shared_path(t.spark, "zip")
+    sites = t.customer.select(F.struct(k.alias("odin_dive_sites_id"), F.concat(F.lit("site "), k.cast("string")).alias("odin_dive_sites_name"), (k % 90).alias("odin_dive_sites_latitude")).alias("s"), k)
+    again = sites.where(k % 5 == 0).select(C("s").withField("odin_dive_sites_name", F.lit("again")).alias("s"), k)
+    parts = sites.select(F.when(k % 2 == 0, "a.json").otherwise("b.csv").alias("entry"), "s").unionByName(again.select(F.lit("c.JSON").alias("entry"), "s"))
+    files.write_zip(parts.select("entry", F.to_json("s").alias("content")), f"{folder}/sites.zip")
+    got = zips.read(t.spark, folder)
+    rows = got.where("problem is null").select("archive", "entry_at", "record_at", F.from_json("content", services.SSI_SITE).alias("o"))
+    return services.ssi_sites(rows, C("o"), "archive", "entry_at", "record_at").select("site_id", "site", "site_lat")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,16 +92,71 @@ def same_key(a: Column, b: Column) -> Column:
     return F.coalesce((whole(a) == whole(b)) & (whole(a) > 0), F.lit(False))
 
 
-def same_profile(a: Column, b: Column) -> Column:
-    """Lists of samples (t, depth, temp) on one footing: as many, equal times, depth and temperature within tolerance.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, though it is used in lambdas."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def _gaps(timed: Column) -> Column:
+    return F.filter(F.transform(timed, lambda x, i: F.get(timed, i + 1)["t"] - x["t"]), lambda g: g > 0)
+
+
+def modal_spacing(gaps: Column) -> Column:
+    """The most frequent of spacings, of equally frequent ones the first; 1 without any."""
+    kinds = F.transform(F.array_distinct(gaps), lambda g, i: F.struct(F.size(F.filter(gaps, lambda h: h == g)).alias("n"), (-i).alias("first"), g.alias("gap")))
+    return F.coalesce(F.array_max(kinds)["gap"], F.lit(1).cast("long"))
+
+
+def resampled(samples: Column, decimals: tuple[int, int] = (3, 2)) -> Column:
+    """Samples (t, depth, temp) on an even grid of their modal spacing, as :func:`tallyweave.operators.series.resample` does with rows.
+
+    Samples without a time are left out, the others sorted by time, equal times as they came. Each sample makes the grid's
+    points from itself to before the next, so the work grows with the samples and the grid. An even profile, and one with
+    fewer than two times, stays as it is; null stays null.
+    """
+    slim = F.filter(F.transform(samples, lambda x, i: F.struct(x["t"].cast("long").alias("t"), i.alias("i"), x["depth"].cast("double").alias("depth"), x["temp"].cast("double").alias("temp"))), lambda x: x["t"].isNotNull())
+    none = F.array().cast("array<struct<t:bigint,depth:double,temp:double>>")
+    point = lambda t, depth, temp: F.struct(t.alias("t"), depth.alias("depth"), temp.alias("temp"))
+
+    def bent(timed: Column, rate: Column) -> Column:
+        t0 = F.get(timed, 0)["t"]
+
+        def points(x: Column, i: Column) -> Column:
+            after = F.get(timed, i + 1)
+            gap = after["t"] - x["t"]
+            low, high = t0 + F.ceil((x["t"] - t0) / rate) * rate, F.coalesce(after["t"] - 1, x["t"])
+
+            def at(g: Column) -> Column:
+                on = after.isNull() | (g <= x["t"])
+                lerp = lambda c: x[c] + (after[c] - x[c]) * ((g - x["t"]) / gap)
+                temp = F.when(on, x["temp"]).when(x["temp"].isNotNull() & after["temp"].isNotNull(), lerp("temp")).otherwise(x["temp"])
+                return point(g, F.round(F.when(on, x["depth"]).otherwise(lerp("depth")), decimals[0]), F.round(temp, decimals[1]))
+
+            return F.when((after.isNull() | (gap > 0)) & (low <= high), F.transform(F.sequence(low.cast("long"), high.cast("long"), rate), at)).otherwise(none)
+
+        return F.flatten(F.transform(timed, points))
+
+    def on_grid(timed: Column, gaps: Column) -> Column:
+        plain = F.transform(timed, lambda x: point(x["t"], x["depth"], x["temp"]))
+        return F.when(F.size(F.array_distinct(gaps)) <= 1, plain).otherwise(_let(modal_spacing(gaps), lambda rate: bent(timed, rate)))
+
+    return F.when(samples.isNotNull(), _let(F.array_sort(slim), lambda timed: _let(_gaps(timed), lambda gaps: on_grid(timed, gaps))))
+
+
+def same_profile(a: Column, b: Column, on_grid: bool = False) -> Column:
+    """Lists of samples (t, depth, temp) on one footing: both :func:`resampled`, then as many, equal times, depth and temperature within tolerance.
 
-    Never null: a null list is an empty one. Both have to be on the same grid (``series.resample``) already."""
+    Never null: a null list is an empty one, and an empty one equals an empty one only. ``on_grid`` tells that both are on
+    even grids already.
+    """
 
     def pair(x: Column, y: Column) -> Column:
         return x["t"].eqNullSafe(y["t"]) & close(x["depth"], y["depth"], DEPTH) & close(x["temp"], y["temp"], TEMPERATURE)
 
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    return (size(a) == size(b)) & F.coalesce(F.forall(F.zip_with(a, b, pair), lambda ok: ok), F.lit(True))
+    alike = lambda x, y: (size(x) == size(y)) & F.coalesce(F.forall(F.zip_with(x, y, pair), lambda ok: ok), F.lit(True))
+    found = alike(a, b) if on_grid else _let(resampled(a), lambda x: _let(resampled(b), lambda y: alike(x, y)))
+    return ((size(a) > 0) == (size(b) > 0)) & found
 
 
 def changed(pairs: dict[str, tuple[Column, Column]]) -> Column:

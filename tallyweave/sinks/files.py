@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+import json
 import re
 import uuid
+import zipfile
 from collections.abc import Iterator, Sequence
+from typing import IO
 
 import pyarrow as pa
 from pyarrow import fs
@@ -102,3 +108,47 @@ def write_each(records: DataFrame, folder: str, name: Column, content: Column) -
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["name", "bytes", "problem"])
 
     return written(rows.mapInArrow(work, OUTCOMES), "outcomes")
+
+
+def write_zip(records: DataFrame, path: str) -> int:
+    """Write records (entry, content: a JSON object as text) as one archive, an entry for each name, and return its bytes.
+
+    An entry that ends in ``.csv`` is a table whose header is that of its first record; any other is a JSON array. Entries
+    are in the order of their names, records in that of their texts. An archive is one stream, so one task writes it, with a
+    record in memory at a time. Records without an entry or content are left out.
+    """
+    rows = records.where("entry is not null and content is not null").select(F.col("entry").cast("string"), F.col("content").cast("string"))
+    folder, _, name = path.rpartition("/")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder)
+        store.create_dir(root, recursive=True)
+        held = f"{root}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(held, compression=None) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            every = ((e, c) for b in batches for e, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            for entry, own in itertools.groupby(every, key=lambda r: r[0]):
+                with z.open(entry, "w", force_zip64=True) as e:
+                    _entry(e, entry, (c for _, c in own))
+        size = store.get_file_info(held).size
+        store.move(held, f"{root}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64())], names=["bytes"])
+
+    return rows.repartition(1).sortWithinPartitions("entry", "content").mapInArrow(work, "bytes long").first()[0]
+
+
+def _entry(out: IO[bytes], name: str, contents: Iterator[str]) -> None:
+    text = io.TextIOWrapper(out, "utf-8", newline="", write_through=True)
+    if name.lower().endswith(".csv"):
+        table = None
+        for c in contents:
+            row = json.loads(c)
+            if table is None:
+                table = csv.DictWriter(text, list(row), extrasaction="ignore")
+                table.writeheader()
+            table.writerow(row)
+    else:
+        text.write("[")
+        for i, c in enumerate(contents):
+            text.write(f",\n{c}" if i else c)
+        text.write("]")
+    text.detach()

@@ -34,7 +34,8 @@ class Wanted:
 
     def add(self, f: Filter) -> None:
         """Narrow by a filter on one column; others are left to Spark."""
-        name, value = (f.attribute[0] if len(f.attribute) == 1 else None), getattr(f, "value", None)
+        place, value = getattr(f, "attribute", ()), getattr(f, "value", None)
+        name = place[0] if len(place) == 1 else None
         if name in PICKED and isinstance(f, (EqualTo, In)):
             asked = {value} if isinstance(f, EqualTo) else set(value)
             self.values[name] = self.values[name] & asked if name in self.values else asked

@@ -231,12 +231,12 @@ def ssi_samples(c: Column) -> Column:
     return F.transform(F.filter(points, lambda p: number(p["d"]).isNotNull()), one)
 
 
-def ssi_sites(rows: DataFrame, o: Column) -> DataFrame:
-    """(site_id, site, site_lat, site_lng) of site objects (struct of SSI_SITE); of one id the first by name counts."""
+def ssi_sites(rows: DataFrame, o: Column, *at: str) -> DataFrame:
+    """(site_id, site, site_lat, site_lng) of site objects (struct of SSI_SITE); of one id the first counts, by the columns ``at`` where given, then by name."""
     n = "odin_dive_sites_"
     site = whole(o[n + "id"])
-    out = rows.select(site.alias("site_id"), F.coalesce(text(o[n + "name"]), F.concat(F.lit("SSI site "), site.cast("string"))).alias("site"), number(o[n + "latitude"]).alias("site_lat"), number(o[n + "longitude"]).alias("site_lng"))
-    known = out.where("site_id is not null").groupBy("site_id").agg(F.min(F.struct("site", "site_lat", "site_lng")).alias("s"))
+    out = rows.select(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(at)], site.alias("site_id"), F.coalesce(text(o[n + "name"]), F.concat(F.lit("SSI site "), site.cast("string"))).alias("site"), number(o[n + "latitude"]).alias("site_lat"), number(o[n + "longitude"]).alias("site_lng"))
+    known = out.where("site_id is not null").groupBy("site_id").agg(F.min_by(F.struct("site", "site_lat", "site_lng"), F.struct(*[f"_at{i}" for i in range(len(at))], "site", "site_lat", "site_lng")).alias("s"))
     return known.select("site_id", "s.*")
 
 

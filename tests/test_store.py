@@ -134,10 +134,10 @@ def test_raw_caches(spark, tmp_path):
 
 
 def test_wanted_only_narrows():
-    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNull, LessThanOrEqual
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNull, LessThanOrEqual, Not
 
     w = contract.Wanted()
-    for f in (EqualTo(("service",), "g"), In(("service",), ("g", "d")), IsNull(("id",)), EqualTo(("note",), "x"), GreaterThan(("local",), datetime(2024, 1, 1)), GreaterThan(("local",), datetime(2023, 1, 1)), LessThanOrEqual(("local",), datetime(2024, 2, 1)), EqualTo(("a", "service"), "z")):
+    for f in (EqualTo(("service",), "g"), In(("service",), ("g", "d")), IsNull(("id",)), EqualTo(("note",), "x"), Not(EqualTo(("service",), "g")), GreaterThan(("local",), datetime(2024, 1, 1)), GreaterThan(("local",), datetime(2023, 1, 1)), LessThanOrEqual(("local",), datetime(2024, 2, 1)), EqualTo(("a", "service"), "z")):
         w.add(f)
     assert w.values == {"service": {"g"}} and (w.since, w.until) == (datetime(2024, 1, 1), datetime(2024, 2, 1))
     assert not w.overlaps(None, None) and w.overlaps(datetime(2023, 1, 1), datetime(2024, 1, 1)) and not w.overlaps(datetime(2024, 2, 2), datetime(2024, 3, 1))

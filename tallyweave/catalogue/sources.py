@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallyweave.catalogue import query
-from tallyweave.sources import services
+from tallyweave.functions import paths
+from tallyweave.sources import git_tree, services
 
 C = F.col
 AT = "yyyy-MM-dd HH:mm:ss"
@@ -66,3 +67,52 @@ def ssi(t):
     got = services.ssi(t.orders.select(o.alias("o")), C("o"), sites)
     ids = C("external_ids")
     return got.select(F.try_element_at(ids, F.lit("ssi")).alias("id"), F.try_element_at(ids, F.lit("garmin")).alias("garmin"), F.date_format("local", AT).alias("at"), "duration", "location", C("tanks")[0]["oxygen"].alias("oxygen"), "water_type", C("device_logged").alias("logged"), C("samples")[0]["channels"]["ndl"].alias("ndl"))
+
+
+#: A user's mapping: what an activity holds beside the usual, laid over its record.
+MAPPING = {"mappings": [{"field": "divenumber", "path": "$.extra.no"}, {"field": "maxdepth", "path": "$.extra.deep[*].m"}, {"field": "buddy", "path": "$.who"}, {"field": "divesite", "path": "$.where"}, {"tanks": {"o2": "$.extra.gases[*].o2", "vol": "$.extra.gases[*].l"}}]}
+
+
+@query("source_garmin_mapped", """SELECT CAST(event_id AS VARCHAR) AS id, CAST(CASE WHEN event_id % 3 > 0 THEN event_id % 50 ELSE 7 END AS INTEGER) AS number, CASE WHEN event_id % 4 = 0 THEN event_id % 30 ELSE 12.5 END::DOUBLE AS max_depth, CASE WHEN event_id % 2 = 0 THEN 'Ann' ELSE 'Bob' END AS buddy,
+'Wall' || CASE WHEN event_id % 5 = 0 THEN ', Reef' ELSE '' END AS location, CASE WHEN event_id % 4 = 0 THEN 2 ELSE 1 END AS n_tanks, CASE WHEN event_id % 4 = 0 THEN 32.0 ELSE 21.0 END AS oxygen, CASE WHEN event_id % 4 = 0 THEN 10.0 END::DOUBLE AS second_volume FROM events""")
+def garmin_mapped(t):
+    k = C("event_id")
+    named = lambda **fields: F.struct(*[v.alias(n) for n, v in fields.items()])
+    summary = named(activityId=k, startTimeLocal=F.date_format(C("ts").cast("timestamp_ntz"), AT), maxDepth=F.lit(12.5), activityName=F.lit("Wall"), who=F.when(k % 2 == 0, "Ann"), where=F.when(k % 5 == 0, "Reef"))
+    extra = named(no=F.when(k % 3 > 0, k % 50), deep=F.when(k % 4 == 0, F.array(named(m=k % 30))), gases=F.when(k % 4 == 0, F.array(named(o2=F.lit(32), l=F.lit(12)), named(o2=F.lit(50), l=F.lit(10)))))
+    gas = F.array(named(gasIndex=F.lit(0), oxygenContent=F.lit(21)))
+    details = named(extra=extra, metadataDTO=named(diveNumber=F.lit("7")), diveInfo=named(diveGases=gas, buddy=F.lit("Bob")))
+    rows = t.events.select(F.to_json(named(summary=summary, details=details)).alias("j"))
+    rows = rows.select(F.from_json("j", services.GARMIN).alias("o"), paths.variant(C("j")).alias("raw"))
+    got = services.garmin(rows, C("o"), C("raw"), mapping=MAPPING)
+    return got.select(C("external_ids")["garmin"].alias("id"), "number", "max_depth", "buddy", "location", F.size("tanks").alias("n_tanks"), C("tanks")[0]["oxygen"].alias("oxygen"), F.get("tanks", 1)["volume"].alias("second_volume"))
+
+
+@query("source_git_tree", """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 2 END AS n FROM orders WHERE o_orderkey % 13 > 0)
+SELECT k, strftime(d, '%Y-%m-%d') || ' 10:20:' || lpad(CAST(k % 60 AS VARCHAR), 2, '0') AS at, CAST(CASE WHEN k % 5 > 0 THEN k END AS INTEGER) AS number, 'Site ' || c % 40 AS location, CAST(c % 40 AS DOUBLE) AS lat, CAST(k % 90 * 60 + 30 AS INTEGER) AS duration,
+CAST(k % 40 AS DOUBLE) AS max_depth, 'it "is" \\ ' || k AS notes, 32.0 AS oxygen, CAST(200 - c % 30 AS DOUBLE) AS tank_start, 3 AS n_samples, 18.5 AS last_temp FROM o""")
+def source_git_tree(t):
+    """Orders as the files of a tree: dives in day folders, some in a trip's, others with the date in the folder's name, each with a computer's file, and a file for each site."""
+    k, c = C("o_orderkey"), C("o_custkey")
+    hexed = lambda n: F.lower(F.lpad(F.hex(n), 8, "0"))
+    s = F.lpad((k % 60).cast("string"), 2, "0")
+    clock = F.concat(F.date_format("o_orderdate", "-E-"), F.lit("10=20="), s)
+    folder = F.concat(F.lit("/repo/"), F.date_format("o_orderdate", "yyyy/MM/"), F.when(k % 3 == 0, F.concat(F.date_format("o_orderdate", "dd-"), F.lit("Trip 1/"))).otherwise(""), F.when(k % 7 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd")), clock, F.lit("~"), F.lower(F.hex(k)))
+    orders = t.orders.where(k % 13 > 0)
+    text = lambda *lines: F.concat_ws("\n", *lines, F.lit(""))
+    of = lambda word, value, end="": F.concat(F.lit(word + " "), value.cast("string"), F.lit(end))
+    dive = text(
+        F.concat(F.lit("duration "), (k % 90).cast("string"), F.lit(":30 min")), of("divesiteid", hexed(c % 40)), F.concat(F.lit('notes "it \\"is\\" \\\\ '), k.cast("string"), F.lit('"')),
+        F.concat(F.lit("cylinder vol=12.0l o2=32.0% start="), (200 - c % 30).cast("string"), F.lit(".0bar end=50.0bar")),
+    )
+    computer = text(F.lit('model "One"'), of("maxdepth", k % 40, ".0m"), F.lit("  0:00 0.0m 20.0°C"), F.lit("  0:10 5.0m"), F.lit("  0:20 6.5m 18.5°C"))
+    dives = orders.select(F.concat(folder, F.lit("/Dive"), F.when(k % 5 > 0, F.concat(F.lit("-"), k.cast("string"))).otherwise("")).alias("path"), dive.alias("text"))
+    computers = orders.select(F.concat(folder, F.lit("/Divecomputer"), F.when(k % 4 == 0, "-001").otherwise("")).alias("path"), computer.alias("text"))
+    sites = orders.select((c % 40).alias("n")).distinct().select(F.concat(F.lit("/repo/01-Divesites/Site-"), hexed(C("n"))).alias("path"), text(F.concat(F.lit('name "Site '), C("n").cast("string"), F.lit('"')), F.concat(F.lit("gps "), C("n").cast("string"), F.lit(".0 -3.5"))).alias("text"))
+    other = orders.select(F.concat(folder, F.lit("/notes.txt")).alias("path"), F.lit("duration 99:00 min").alias("text"))
+    got = git_tree.records(dives.unionByName(computers).unionByName(sites).unionByName(other), "folder")
+    last = F.element_at("samples", -1)
+    return got.select(
+        F.conv(F.substring_index("folder", "~", -1), 16, 10).cast("long").alias("k"), F.date_format("local", AT).alias("at"), "number", "location", "lat", "duration", "max_depth", "notes", C("tanks")[0]["oxygen"].alias("oxygen"),
+        C("tanks")[0]["start"].alias("tank_start"), F.size("samples").alias("n_samples"), last["temp"].alias("last_temp"),
+    )

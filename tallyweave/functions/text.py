@@ -57,9 +57,10 @@ def unit(c: Column) -> Column:
 
 def number_and_unit(c: Column, units: dict[str, list[str]], default: str) -> Column:
     """(value, unit) of a whole text such as ``12 kg``. ``units`` maps a name to parts that mark it, the first name wins."""
-    whole = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([a-zA-Z\s]+)?$"
-    value = F.regexp_extract(c, whole, 1).try_cast("double")
-    said = F.lower(strip(F.regexp_extract(c, whole, 2)))
+    said = unit(c)
+    # a unit is letters, and nothing else follows the number
+    fits = (F.translate(F.lower(said), "abcdefghijklmnopqrstuvwxyz \t", "") == "") & ~F.startswith(strip(c), F.lit("-"))
+    value = F.when(fits, leading_number(c))
     name = F.lit(default)
     for key, marks in reversed(units.items()):
         hit = F.lit(False)
@@ -187,8 +188,23 @@ def scrubbed(c: Column, secrets: list[str] = (), homes: list[str] = ()) -> Colum
     for s in secrets:
         if s:
             out = F.replace(out, F.lit(s), F.lit(SECRET))
-    out = F.regexp_replace(out, rf"(?i)((?:{'|'.join(CREDENTIALS)})(?![A-Za-z0-9_])\s*[=:]\s*)[^\r\n]*", "$1[redacted]")
-    return F.regexp_replace(out, rf"(?i)\b({'|'.join(SCHEMES)})\s+[A-Za-z0-9._~+/=-]{{8,}}", "$1 [redacted]")
+    return F.array_join(F.transform(F.split(out, "\n"), _without_credentials), "\n")
+
+
+def _without_credentials(line: Column) -> Column:
+    """A line cut behind the first credential that is given a value; without one, the words that follow a scheme are replaced."""
+    tail = F.when(F.endswith(line, F.lit("\r")), "\r").otherwise("")
+    low = F.lower(line)
+    given = [F.regexp_substr(low, F.lit(rf"{name}\s*[:=]\s*")) for name in CREDENTIALS]
+    ends = F.array_compact(F.array(*[F.when(g.isNotNull(), F.struct(F.instr(low, g).alias("at"), F.length(g).alias("n"))) for g in given]))
+    first = F.array_min(ends)
+    words = F.split(line, " ")
+
+    def word(w: Column, i: Column) -> Column:
+        before = F.lower(F.ltrim(F.get(words, i - 1), F.lit("([{'\"")))
+        return F.when(before.isin(list(SCHEMES)) & (F.length(w) >= 8) & F.regexp_like(w, F.lit("^[A-Za-z0-9._~+/=-]*$")), "[redacted]").otherwise(w)
+
+    return F.when(first.isNotNull(), F.concat(F.substring(line, F.lit(1), first["at"] + first["n"] - 1), F.lit("[redacted]"), tail)).otherwise(F.array_join(F.transform(words, word), " "))
 
 
 def reference(ids: Column, first: str, own: str) -> Column:

@@ -109,8 +109,8 @@ def raw(spark: SparkSession, root: str, columns: list[str] | None = None) -> Dat
     return scan(spark, CacheSource, root, columns)
 
 
-def records(files: DataFrame, service: str, make: Callable[..., DataFrame] | None = None) -> DataFrame:
-    """Records of one service's cached objects, with service, account, file and problem.
+def records(files: DataFrame, service: str, make: Callable[..., DataFrame] | None = None, mapping: str | None = None) -> DataFrame:
+    """Records of one service's cached objects, with service, account, file and problem; ``mapping`` is a user's, for garmin.
 
     ``files`` has the columns of COLUMNS. A file that is no JSON object of the service is a row with a problem and nulls.
     """
@@ -122,5 +122,5 @@ def records(files: DataFrame, service: str, make: Callable[..., DataFrame] | Non
     if make is not None:
         return make(rows, F.col("o"), *keep)
     if service == "garmin":
-        return reader(rows, F.col("o"), paths.variant(F.col("content")), *keep)
+        return reader(rows, F.col("o"), paths.variant(F.col("content")), *keep, mapping=mapping)
     return reader(rows, F.col("o"), False if service == "divelogs" else None, *keep)

@@ -16,10 +16,9 @@ from tallyweave.schema import SAMPLE, ids, known_temperature, record, tank
 from tallyweave.sources import ssrf
 from tallyweave.sources.xmls import by_key, get, listed
 
-# Names of folders and files, and how lines are written.
-_DAY = r"(?:([0-9]{4})-)?(?:([0-9]{2})-)?([0-9]{2})-[A-Za-z]{3}-([0-9]{2})[=:]([0-9]{2})[=:]([0-9]{2})(?:~[0-9a-f]+)?"
-PLACE = rf"/([0-9]{{4}})/([0-9]{{2}})/(?:[0-9]{{2}}-[^0-9/][^/]*/)?({_DAY})/(Dive(?:-[0-9]+)?|Divecomputer(?:-[0-9]{{3}})?)$"
-SITE = r"/01-Divesites/Site-([0-9a-fA-F]{8})$"
+# Names of folders and files, and the key of a position.
+SITES, SITE_PREFIX = "01-Divesites", "Site-"
+DIVE, COMPUTER = "Dive", "Divecomputer"
 _QUOTED = r'"((?:[^"\\]|\\.)*)"'
 EXIT_KEY = "GPS2"
 
@@ -47,7 +46,7 @@ def words(lines: Column, key: str) -> Column:
 
 def last(lines: Column, key: str) -> Column:
     """What stands behind the key on the last line that has it."""
-    return F.substring(F.try_element_at(words(lines, key), F.lit(-1)), len(key) + 2, 1_000_000)
+    return F.substr(F.try_element_at(words(lines, key), F.lit(-1)), F.lit(len(key) + 2))
 
 
 def said(lines: Column, key: str) -> Column:
@@ -85,23 +84,50 @@ def sites(files: DataFrame) -> DataFrame:
     """(site, name, lat, lng) of site files (path, text)."""
     lines = logical_lines(F.col("text"))
     place = ssrf.position(last(lines, "gps"))
-    rows = files.where(F.regexp_like("path", F.lit(SITE)))
-    return rows.select(F.lower(F.regexp_extract("path", SITE, 1)).alias("site"), said(lines, "name").alias("site_name"), place["lat"].alias("lat"), place["lng"].alias("lng"))
-
-
-def starts(path: Column) -> Column:
-    """The start that a dive's folder names, with what it lacks taken from the folders above."""
-    part = lambda i: F.nullif(F.regexp_extract(path, PLACE, i), F.lit("")).try_cast("int")
-    return F.try_make_timestamp_ntz(F.coalesce(part(4), part(1)), F.coalesce(part(5), part(2)), part(6), part(7), part(8), part(9).cast("decimal(8,6)"))
+    folder, name = (F.try_element_at(F.split("path", "/"), F.lit(i)) for i in (-2, -1))
+    own = F.substr(name, F.lit(len(SITE_PREFIX) + 1))
+    rows = files.where((folder == SITES) & F.startswith(name, F.lit(SITE_PREFIX)) & (F.length(own) == 8) & (F.translate(F.lower(own), "0123456789abcdef", "") == ""))
+    return rows.select(F.lower(own).alias("site"), said(lines, "name").alias("site_name"), place["lat"].alias("lat"), place["lng"].alias("lng"))
+
+
+def _digits(c: Column, n: int | None = None) -> Column:
+    """A whole number of (just ``n``) digits, else null."""
+    fits = (F.translate(c, "0123456789", "") == "") & (F.length(c) == n if n else F.length(c) > 0)
+    return F.when(fits, c.try_cast("int"))
+
+
+def place(path: Column) -> Column:
+    """(local, kind, number) of a dive's or computer's file; null for other files.
+
+    The folder of a dive is named by day, weekday and clock, before these maybe month and year, and behind a tilde
+    maybe a hash. It lies in the folder of a month, or of a trip in that (its day and a name), and this in a year's.
+    """
+    at = lambda parts, i: F.try_element_at(parts, F.lit(i))
+    parts = F.split(path, "/")
+    day = F.split(F.split_part(at(parts, -2), F.lit("~"), F.lit(1)), "-")
+    clock = F.split(F.translate(at(day, -1), ":", "="), "=")
+    trip = F.split(at(parts, -3), "-")
+    in_trip = _digits(at(trip, 1), 2).isNotNull() & (F.size(trip) > 1) & _digits(F.substring(at(trip, 2), 1, 1)).isNull()
+    month, year = (_digits(F.when(in_trip, at(parts, i - 1)).otherwise(at(parts, i)), n) for i, n in ((-3, 2), (-4, 4)))
+    weekday = (F.length(at(day, -2)) == 3) & (F.translate(F.lower(at(day, -2)), "abcdefghijklmnopqrstuvwxyz", "") == "")
+    h, m, s = (_digits(F.get(clock, i), 2) for i in range(3))
+    d = _digits(at(day, -3), 2)
+    shaped = weekday & month.isNotNull() & year.isNotNull() & d.isNotNull() & h.isNotNull() & m.isNotNull() & s.isNotNull() & (F.size(clock) == 3) & F.size(day).between(3, 5)
+    shaped = shaped & ((F.size(day) < 4) | _digits(at(day, -4), 2).isNotNull()) & ((F.size(day) < 5) | _digits(at(day, -5), 4).isNotNull())
+    local = F.try_make_timestamp_ntz(F.coalesce(_digits(at(day, -5), 4), year), F.coalesce(_digits(at(day, -4), 2), month), d, h, m, s.cast("decimal(8,6)"))
+    name = F.split(at(parts, -1), "-")
+    number = _digits(F.get(name, 1))
+    kind = F.when(F.get(name, 0).isin(DIVE, COMPUTER) & ((F.size(name) == 1) | (F.size(name) == 2) & number.isNotNull()), F.get(name, 0))
+    return F.when(F.coalesce(shaped, F.lit(False)) & kind.isNotNull(), F.struct(local.alias("local"), kind.alias("kind"), F.when(kind == DIVE, number).alias("number")))
 
 
 def records(files: DataFrame, *keep: str) -> DataFrame:
     """Records of a tree's files (path, text). The first computer by file name counts."""
-    named = files.where(F.regexp_like("path", F.lit(PLACE)))
+    named = files.withColumn("_place", place(F.col("path"))).where("_place is not null")
     folder, name = F.regexp_extract("path", "^(.*)/[^/]+$", 1), F.regexp_extract("path", "([^/]+)$", 1)
-    rows = named.select(folder.alias("folder"), starts(F.col("path")).alias("local"), name.alias("name"), logical_lines(F.col("text")).alias("lines"), F.regexp_extract("path", r"([0-9]{4}/[0-9]{2}/.*)/[^/]+$", 1).alias("id"))
-    is_dive = F.regexp_like("name", F.lit("^Dive(-[0-9]+)?$"))
-    dives = rows.where(is_dive & F.col("local").isNotNull()).groupBy("folder").agg(F.max_by(F.struct("local", "name", "lines", "id"), "name").alias("d"))
+    rows = named.select(folder.alias("folder"), F.col("_place.local").alias("local"), F.col("_place.kind").alias("kind"), F.col("_place.number").alias("number"), name.alias("name"), logical_lines(F.col("text")).alias("lines"), F.regexp_extract("path", r"([0-9]{4}/[0-9]{2}/.*)/[^/]+$", 1).alias("id"))
+    is_dive = F.col("kind") == DIVE
+    dives = rows.where(is_dive & F.col("local").isNotNull()).groupBy("folder").agg(F.max_by(F.struct("local", "name", "number", "lines", "id"), "name").alias("d"))
     computers = rows.where(~is_dive).groupBy("folder").agg(F.min_by("lines", "name").alias("c"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("name", "lines"))), lambda x: x["lines"])).alias("every"))
     both = dives.join(computers, "folder", "left").select("folder", "d.*", "c", "every")
     d, c = F.col("lines"), F.coalesce("c", F.array().cast("array<string>"))
@@ -136,7 +162,7 @@ def records(files: DataFrame, *keep: str) -> DataFrame:
     water = water_type(salinity)
     out = ssrf.position(get(F.col("_any"), F.lit(EXIT_KEY)))
     other = F.map_filter("_any", lambda k, v: F.startswith(k, F.lit(ssrf.ID_PREFIX)) & (v != ""))
-    other = F.transform_keys(other, lambda k, v: F.substring(k, len(ssrf.ID_PREFIX) + 1, 1000))
+    other = F.transform_keys(other, lambda k, v: F.substr(k, F.lit(len(ssrf.ID_PREFIX) + 1)))
     tags = F.filter(F.flatten(F.transform(words(d, "tags"), strings)), lambda t: t != "")
     values = {
         "local": F.col("local"),
@@ -153,7 +179,7 @@ def records(files: DataFrame, *keep: str) -> DataFrame:
         "notes": said(d, "notes"),
         "buddy": said(d, "buddy"),
         "suit": said(d, "suit"),
-        "number": F.regexp_extract("name", "^Dive-([0-9]+)$", 1).try_cast("int"),
+        "number": F.col("number"),
         "weight": weight,
         "weight_unit": F.when(weight.isNotNull(), "kilogram"),
         "samples": F.col("samples"),

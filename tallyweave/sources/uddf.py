@@ -257,7 +257,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         table_of(entities(spark, path, "site", SITE), e["_id"], F.struct(F.coalesce(text(e["name"]), F.lit("")).alias("name"), number(e["geography"]["latitude"]).alias("lat"), number(e["geography"]["longitude"]).alias("lng")), "sites"),
         table_of(entities(spark, path, "buddy", BUDDY), e["_id"], name(e["personal"]), "buddies"),
         table_of(entities(spark, path, "mix", MIX), e["_id"], F.struct(share(e["o2"], 0.21).alias("oxygen"), share(e["he"], 0.0).alias("helium")), "mixes"),
-        table_of(entities(spark, path, "divecomputer", COMPUTER), e["_id"], F.struct(text(e["manufacturer"]["name"]).alias("vendor"), F.coalesce(text(e["model"]), text(e["name"])).alias("model"), text(e["serialnumber"]).alias("serial"), F.substring(firm, len(FIRMWARE) + 1, 1000).alias("firmware")), "computers"),
+        table_of(entities(spark, path, "divecomputer", COMPUTER), e["_id"], F.struct(text(e["manufacturer"]["name"]).alias("vendor"), F.coalesce(text(e["model"]), text(e["name"])).alias("model"), text(e["serialnumber"]).alias("serial"), F.substr(firm, F.lit(len(FIRMWARE) + 1)).alias("firmware")), "computers"),
         table_of(entities(spark, path, "suit", SUIT), e["_id"], text(e["name"]), "suits"),
         table_of(entities(spark, path, "buehlmann", MODEL), e["_id"], F.struct(F.when(letter != "", F.concat(F.lit("ZHL-16"), letter)).alias("model"), rounded(e["gradientfactorlow"]).alias("low"), rounded(e["gradientfactorhigh"]).alias("high")), "models"),
         table_of(entities(spark, path, "o2sensor", SENSOR), e["_id"], F.lit(True), "cells"),

@@ -110,8 +110,7 @@ def merge_summary(t):
 
 @query("agg_sum_weights", "SELECT l_orderkey, round(sum(l_tax), 4) AS weight FROM lineitem GROUP BY 1")
 def sum_weights(t):
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_tax").alias("w"))
-    return rows.select("l_orderkey", F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 4).alias("weight"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.round(F.sum("l_tax"), 4).alias("weight"))
 
 
 @query("agg_group_conflicts", "SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS conflicts FROM orders GROUP BY 1")

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from tallyweave.catalogue import query
 from tallyweave.schema import array_of, channels, event, ids, record, sample, tank
 from tallyweave.session import shared_path
+from tallyweave.sinks import payloads
 from tallyweave.sinks import uddf as sink
-from tallyweave.sources import uddf
+from tallyweave.sources import services, uddf
 
 C = F.col
 
@@ -47,3 +48,22 @@ def source_uddf(t):
         C("tanks")[0]["start"].alias("first_start"), F.get("tanks", 1)["helium"].alias("second_helium"), second["temp"].alias("temp"), F.try_element_at(second["channels"]["pressures"], F.lit(1)).alias("second_pressure"), second["channels"]["ndl"].alias("ndl"),
         F.try_element_at(second["channels"]["o2_cells"], F.lit(1)).alias("cell"), F.get("samples", 2)["pressure"].alias("last_pressure"), told.alias("events"), "dive_mode", F.try_element_at("service_fields", F.lit("rating")).alias("rating"),
     )
+
+
+@query("payload_divelogs", """WITH o AS (SELECT *, o_orderkey AS k, o_custkey AS c, o_custkey % 2 = 1 AS feet FROM orders)
+SELECT CAST(k AS INTEGER) AS number, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at, CAST(c AS INTEGER) AS duration, round(k % 400 / 10, 3) AS max_depth, CASE WHEN k % 4 > 0 THEN CAST(k % 20 + 1 AS DOUBLE) END AS temp_min, o_orderpriority || ' <&> ' || c % 40 AS location,
+CASE WHEN k % 5 > 0 THEN 'it''s <b> ' || o_orderstatus ELSE '' END AS notes, CASE WHEN c % 2 = 0 THEN c % 40 + 0.25 END::DOUBLE AS lat, CAST(200 - c % 50 AS DOUBLE) AS first_start, 12.0 AS first_volume, CASE WHEN k % 3 > 0 THEN 45.0 END::DOUBLE AS second_helium,
+CASE WHEN k % 9 > 0 THEN '0,10,20' ELSE '' END AS times, CASE WHEN k % 9 > 0 THEN round((k % 40 + 2) / 2, 3) END AS second_depth, CASE WHEN k % 9 > 0 THEN CAST(c % 25 + 1 AS DOUBLE) END AS second_temp FROM o""")
+def payload_divelogs(t):
+    """Every second customer's account is imperial; either way the object reads back as the record."""
+    rows = _dives(t)
+    out = []
+    for feet in (False, True):
+        o = F.from_json(payloads.divelogs(feet), services.DIVELOGS).alias("o")
+        got = services.divelogs(rows.where(C("o_custkey") % 2 == int(feet)).select(o), C("o"), feet)
+        second = F.get("samples", 1)
+        out.append(got.select(
+            "number", F.date_format("local", "yyyy-MM-dd HH:mm:ss").alias("at"), "duration", F.round("max_depth", 3).alias("max_depth"), F.round("temp_min", 3).alias("temp_min"), "location", "notes", "lat", F.round(C("tanks")[0]["start"], 3).alias("first_start"), F.round(C("tanks")[0]["volume"], 3).alias("first_volume"),
+            F.get("tanks", 1)["helium"].alias("second_helium"), F.array_join(F.transform("samples", lambda s: s["t"].cast("string")), ",").alias("times"), F.round(second["depth"], 3).alias("second_depth"), F.round(second["temp"], 3).alias("second_temp"),
+        ))
+    return out[0].unionByName(out[1])

@@ -136,7 +136,8 @@ def assign(edges: DataFrame, order: Sequence[str] = ORDER, rounds: int = 3, few:
     A round takes every edge that is the first of both its ends; such edges can't be in each other's way, and the
     first edge of all is among them. After ``rounds`` of them chains of ties are left: they are walked in order within
     each connected component that has at most ``few`` edges. What larger components hold goes on in rounds, which end
-    as each takes an edge at least. Edges with a null end are left out. No edges give no pairs.
+    as each takes an edge at least. Edges with a null end are left out; nulls
+    in the order come first, whatever the component's size. No edges give no pairs.
     """
     left = written(edges.select("i", "j", *[c for c in order if c not in ("i", "j")]).where("i is not null and j is not null"), "edges")
     taken = _firsts(left, order)
@@ -153,7 +154,7 @@ def assign(edges: DataFrame, order: Sequence[str] = ORDER, rounds: int = 3, few:
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         i_used, j_used, out = set(), set(), []
-        for i, j in rows.sort_values(list(order))[["i", "j"]].itertuples(index=False):
+        for i, j in rows.sort_values(list(order), na_position="first")[["i", "j"]].itertuples(index=False):
             if i not in i_used and j not in j_used:
                 i_used.add(i)
                 j_used.add(j)

@@ -31,7 +31,10 @@ def find_place(points: DataFrame, places: DataFrame, radius: float, point: tuple
     """
     asked = points.select(F.col(point[0]).alias("_p"), _name(point[1]).alias("_name"), F.col(point[2]).alias("_lat"), F.col(point[3]).alias("_lng"))
     known = places.select(F.col(place[0]).alias("_q"), _name(place[1]).alias("_name"), F.col(place[2]).alias("_lat2"), F.col(place[3]).alias("_lng2"))
-    named = asked.join(known.where("_name is not null").groupBy("_name").agg(F.min("_q").alias("_q")), "_name", "left")
+    first = known.where("_name is not null").groupBy("_name").agg(F.min("_q").alias("_q"))
+    # points without a name would all meet in one task of the join
+    nameless = asked.where("_name is null").withColumn("_q", F.lit(None).cast(dict(first.dtypes)["_q"]))
+    named = asked.where("_name is not null").join(first, "_name", "left").unionByName(nameless)
     by_name = named.where("_q is not null").select("_p", "_q", F.lit(None).cast("double").alias("metres"))
     near = nearest_place(named.where("_q is null").select("_p", "_lat", "_lng"), known, radius, ("_p", "_lat", "_lng"), ("_q", "_lat2", "_lng2"))
     return by_name.unionByName(near.select("_p", "_q", "metres")).select(F.col("_p").alias(point[0]), F.col("_q").alias(place[0]), "metres")
@@ -48,7 +51,10 @@ def _of_reference(sent: DataFrame, log: DataFrame) -> DataFrame:
     """Rows of ``sent`` with ``_j``: the first log row of the same reference, else null."""
     filled = lambda df: df.withColumn("_ref", F.when(F.trim("ref") != "", F.col("ref")))
     first = filled(log).where("_ref is not null").groupBy("_ref").agg(F.min("j").alias("_j"))
-    return filled(sent).join(first, "_ref", "left").drop("_ref")
+    asked = filled(sent)
+    # rows without a reference would all meet in one task of the join
+    without = asked.where("_ref is null").withColumn("_j", F.lit(None).cast(dict(first.dtypes)["_j"]))
+    return asked.where("_ref is not null").join(first, "_ref", "left").unionByName(without).drop("_ref")
 
 
 def duplicates(sent: DataFrame, log: DataFrame, window_s: float = DUPLICATE_S) -> DataFrame:

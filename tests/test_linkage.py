@@ -36,3 +36,8 @@ def test_chain_and_random_edges(spark):
 def test_empty_and_null_ends(spark):
     assert found(spark, []) == []
     assert found(spark, [(None, 1, 0, 0.0, 0.0), (1, None, 0, 0.0, 0.0), (2, 2, None, None, None)]) == [(2, 2)]
+
+
+def test_nulls_in_the_order_come_first(spark):
+    rows = [(3, 3, 0, 0.0, 0.0), (3, 1, 0, 1.0, 0.0), (1, 1, 1, None, 0.0), (1, 2, 1, 1.0, 0.0)]
+    assert found(spark, rows, rounds=1) == found(spark, rows, rounds=1, few=0) == [(1, 1), (3, 3)]

@@ -34,9 +34,8 @@ def test_query_matches_the_library(spark):
 
 
 def test_odd_texts(odd, nothing):
-    rows = bpe.round_trip(odd, RANKS, public.PATTERN).collect()
-    texts = odd.select("doc_id", "text").collect()
-    assert sorted(map(str, rows)) == sorted(str(type(rows[0])(*([t["doc_id"], *expected(t["text"])]))) for t in texts) or sorted(tuple(r)[1:] for r in rows) == sorted(expected(t["text"]) for t in texts)
+    rows = [tuple(r)[:4] for r in bpe.round_trip(odd, RANKS, public.PATTERN).collect()]
+    assert sorted(rows, key=str) == sorted(((r["doc_id"], *expected(r["text"])) for r in odd.select("doc_id", "text").collect()), key=str)
     assert bpe.round_trip(nothing, RANKS, public.PATTERN).count() == 0
 
 

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from tallyweave.catalogue import query
-from tallyweave.catalogue.linking import ACCOUNT, side
+from tallyweave.catalogue.linking import ACCOUNT, EDGES, GREEDY, SHIFTS, SIDES, _rest, _round, side
 from tallyweave.plans import rules as rl
 from tallyweave.plans import sync
 from tallyweave.plans import templates as tp
+from tallyweave.schema import ids
 
 C = F.col
 FIELDS = {f.key: f for f in (rl.Field("a.notes"), rl.Field("a.site"), rl.Field("a.place"), rl.Field("a.tags", "list"), rl.Field("a.number", "number"), rl.Field("b.notes"), rl.Field("b.title", max_length=30), rl.Field("b.words"), rl.Field("b.number", "number"))}
@@ -100,7 +101,62 @@ def dates(t):
     return t.orders.select("o_orderkey", tp.render("no {n} on {at:%d.%m.%Y}", value.__getitem__).alias("text"))
 
 
-@query("sync_actions")
+@query("rule_as_stored", """WITH o AS (SELECT o_orderkey AS k, (o_custkey % 30) / 2.0 AS d0, (o_orderkey % 50) / 2.0 AS d1 FROM orders)
+SELECT k AS i, CASE WHEN k % 2 = 0 OR abs(d0 - d1) * 5 / 7 < 0.004 THEN 'equal' ELSE 'write:b.samples' END AS profile, CASE WHEN k % 3 = 0 THEN 'write:b.tanks' ELSE 'equal' END AS tanks, CASE WHEN k % 2 = 0 OR abs(d0 - d1) * 5 / 7 < 0.004 THEN '0,5,10' ELSE '0,7,10' END AS times, 'S' AS tank FROM o""")
+def as_stored(t):
+    """The receiver has no names of tanks and keeps profiles each 5 seconds: every second one is what it would keep, the others keep the depth of the start too long."""
+    k, d0, d1 = C("o_orderkey"), C("o_custkey") % 30 / 2, C("o_orderkey") % 50 / 2
+    point = lambda at, d: F.struct(F.lit(at).cast("long").alias("t"), d.cast("double").alias("depth"), F.lit(None).cast("double").alias("temp"))
+    gas = lambda end, name: F.array(F.struct(F.lit(32.0).alias("oxygen"), F.lit(0.0).alias("helium"), F.lit(200.0).alias("start"), end.cast("double").alias("end"), F.lit(12.0).alias("volume"), F.lit(name).cast("string").alias("name")))
+    five = F.when(k % 2 == 0, F.round(d0 + (d1 - d0) * 5 / 7, 2)).otherwise(d0)
+    rows = t.orders.select(
+        k.alias("i"),
+        F.struct(F.array(point(0, d0), point(7, d1), point(10, F.lit(3.0))).alias("samples"), gas(F.lit(60), "S").alias("tanks")).alias("a"),
+        F.struct(F.array(point(0, d0), point(5, five), point(10, F.lit(3.0))).alias("samples"), gas(F.when(k % 3 == 0, 70).otherwise(60), None).alias("tanks")).alias("b"),
+    )
+    fields = {f.key: f for s in ("a", "b") for f in (rl.Field(f"{s}.samples", "samples"), rl.Field(f"{s}.tanks", "tanks"))}
+    wins = {"b": "source_wins"}
+    board = [rl.Rule("profile", ("a.samples",), "b.samples", policies=wins), rl.Rule("tanks", ("a.tanks",), "b.tanks", policies=wins)]
+    out = rl.apply(rows, rl.select(board, "b"), fields, {"b": rl.unnamed_on_grid()})
+    what = lambda n: C("outcomes")[n]["outcome"]
+    times = F.array_join(F.transform("b.samples", lambda x: x["t"].cast("string")), ",")
+    name = F.coalesce(C("b.tanks")[0]["name"], C("a.tanks")[0]["name"])
+    return out.select("i", what(0).alias("profile"), what(1).alias("tanks"), times.alias("times"), name.alias("tank"))
+
+
+@query("rule_cross_links", """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 > 0 AS a_own, o_custkey % 4 > 0 AS b_own, o_orderkey % 3 = 0 AS a_other, o_custkey % 2 = 0 AS b_other FROM orders)
+SELECT k AS i, CASE WHEN a_other THEN 'old' WHEN a_own AND b_own THEN 'B' || k END AS a_has, CASE WHEN b_other THEN 'old' WHEN a_own AND b_own THEN 'A' || k END AS b_has,
+concat_ws(',', CASE WHEN a_own AND b_own AND NOT a_other THEN 'a:linked' END, CASE WHEN a_own AND b_own AND NOT b_other THEN 'b:write:b.external_ids' END) AS outcomes FROM o""")
+def cross_links(t):
+    """Side b keeps foreign ids, side a doesn't; some sides know the other already, some have no id of their own."""
+    k, c = C("o_orderkey"), C("o_custkey")
+    known = lambda own, has, other, knows: F.struct(ids(**{own: F.when(has, F.concat(F.lit(own.upper()), k.cast("string"))), other: F.when(knows, F.lit("old"))}).alias("external_ids"))
+    rows = t.orders.select(k.alias("i"), known("a", k % 5 > 0, "b", k % 3 == 0).alias("a"), known("b", c % 4 > 0, "a", c % 2 == 0).alias("b"))
+    out = rl.linked(rows, "a", "b", stores=("b",))
+    told = F.array_join(F.transform("outcomes", lambda o: F.concat(o["receiver"], F.lit(":"), o["outcome"])), ",")
+    return out.select("i", F.try_element_at("a.external_ids", F.lit("b")).alias("a_has"), F.try_element_at("b.external_ids", F.lit("a")).alias("b_has"), told.alias("outcomes"))
+
+
+@query("rule_prepared_upload", """SELECT o_orderkey AS i, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderkey || ': ' || o_orderpriority END AS title,
+CASE o_custkey % 3 WHEN 0 THEN 'mine' WHEN 1 THEN 'Reef' END AS words, CASE WHEN o_custkey % 3 < 2 THEN 'Bay ' || o_custkey END AS notes, o_orderkey::DOUBLE AS number FROM orders""")
+def prepared_upload(t):
+    """A title is composed, a number goes over, and a text of the origin is split into two fields, one of which has a value at times; a third of the texts can't be split."""
+    k, c = C("o_orderkey"), C("o_custkey")
+    rows = t.orders.select(
+        k.alias("i"),
+        F.struct(F.when(k % 4 == 0, "").otherwise(C("o_orderpriority")).alias("notes"), F.when(c % 3 < 2, F.concat(F.lit("Reef (Bay "), c.cast("string"), F.lit(")"))).otherwise("Reef").alias("site"), F.lit(None).cast("string").alias("place"), F.array(F.lit("x")).alias("tags"), k.cast("double").alias("number")).alias("a"),
+        F.struct(F.lit(None).cast("string").alias("notes"), F.lit(None).cast("string").alias("title"), F.when(c % 3 == 0, "mine").alias("words"), F.lit(None).cast("double").alias("number")).alias("b"),
+    )
+    board = [rl.Rule("site", ("b.words", "b.notes"), "a.site", "{words} ({notes})", reverse="auto"), rl.Rule("title", ("a.number", "a.notes"), "b.title", "{number:d}: {notes}", separator=": "), rl.Rule("number", ("a.number",), "b.number", policies={"b": "manual"})]
+    out = rl.prepared(rows, rl.select(board, "b"), FIELDS, "a")
+    return out.select("i", "b.title", "b.words", "b.notes", "b.number")
+
+
+SYNC = ", ".join([SIDES, EDGES, GREEDY, _rest(3, "pairs"), SHIFTS.replace("FROM a JOIN b", "FROM a3 JOIN b3").replace("abs(d) > 900 ", "abs(d) > 21600 "), *[_round(n) for n in range(6)], "paired AS (SELECT i, j FROM pairs " + " ".join(f"UNION ALL SELECT i, j FROM w{n}" for n in range(6)) + ")"])
+
+
+@query("sync_actions", f"""WITH RECURSIVE {SYNC} SELECT 'updated_on_b' AS action, j AS id, NULL::VARCHAR AS reason FROM paired JOIN events x ON x.event_id = i JOIN events y ON y.event_id = j WHERE x.props <> y.props
+UNION ALL SELECT 'uploaded_to_b', i, NULL FROM a WHERE i NOT IN (SELECT i FROM paired) UNION ALL SELECT 'deleted_on_b', j, NULL FROM b WHERE j NOT IN (SELECT j FROM paired)""")
 def sync_actions(t):
     a, b = side(t, "click", "i", blocks=ACCOUNT), side(t, "view", "j", blocks=ACCOUNT)
     record = lambda kind, n, s: t.events.where(C("event_type") == kind).select(C("event_id").alias(n), F.struct(C("props").alias("notes"), C("value").alias("number")).alias(s))

@@ -143,6 +143,37 @@ def resampled(samples: Column, decimals: tuple[int, int] = (3, 2)) -> Column:
     return F.when(samples.isNotNull(), _let(F.array_sort(slim), lambda timed: _let(_gaps(timed), lambda gaps: on_grid(timed, gaps))))
 
 
+def on_even_grid(samples: Column, every: int = 5, decimals: tuple[int, int] = (2, 1)) -> Column:
+    """Samples (t, depth, temp) at ``every`` seconds from the first time to the last, as a log with a grid of its own keeps them.
+
+    Between two samples depth and temperature run evenly; where only one of them has a temperature, that of the earlier
+    counts, if it is that one. Samples without a time are left out; fewer than two times give an empty list. A
+    temperature that rounds to 0 is none, as the log writes 0 for none.
+    """
+    slim = F.filter(F.transform(samples, lambda x, i: F.struct(x["t"].cast("long").alias("t"), i.alias("i"), x["depth"].cast("double").alias("depth"), x["temp"].cast("double").alias("temp"))), lambda x: x["t"].isNotNull())
+    none = F.array().cast("array<struct<t:bigint,depth:double,temp:double>>")
+
+    def points(timed: Column) -> Column:
+        t0 = F.get(timed, 0)["t"]
+
+        def of(x: Column, i: Column) -> Column:
+            after = F.get(timed, i + 1)
+            low = t0 + F.ceil((x["t"] - t0) / every).cast("long") * every
+            high = F.coalesce(after["t"] - 1, x["t"])
+
+            def at(g: Column) -> Column:
+                on = after.isNull() | (g <= x["t"])
+                lerp = lambda c: x[c] + (after[c] - x[c]) * ((g - x["t"]) / (after["t"] - x["t"]))
+                temp = F.round(F.when(on | after["temp"].isNull(), x["temp"]).otherwise(lerp("temp")), decimals[1])
+                return F.struct(g.alias("t"), F.round(F.when(on, x["depth"]).otherwise(lerp("depth")), decimals[0]).alias("depth"), F.when(temp != 0, temp).alias("temp"))
+
+            return F.when(low <= high, F.transform(F.sequence(low, high, F.lit(every).cast("long")), at)).otherwise(none)
+
+        return F.when(F.size(timed) > 1, F.flatten(F.transform(timed, of))).otherwise(none)
+
+    return F.when(samples.isNotNull(), _let(F.array_sort(slim), points))
+
+
 def same_profile(a: Column, b: Column, on_grid: bool = False) -> Column:
     """Lists of samples (t, depth, temp) on one footing: both :func:`resampled`, then as many, equal times, depth and temperature within tolerance.
 

@@ -7,12 +7,13 @@ ones wrote, so each becomes one step over the structs. Outcomes are collected in
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.compare import empty, keep_names, same
+from tallyweave.functions.compare import empty, keep_names, on_even_grid, same
 from tallyweave.functions.text import short_id, strip
 from tallyweave.plans import templates as tp
 
@@ -166,10 +167,18 @@ def takes(policy: str, sender_empty: Column, receiver_empty: Column) -> Column:
     return receiver_empty & ~sender_empty
 
 
-def step(pairs: DataFrame, active: Active, catalogue: dict[str, Field], keep: str = "outcomes") -> DataFrame:
-    """Apply one rule to every pair."""
+#: What a service would keep of a value of a type, and read back.
+Stored = Callable[[str, Column], Column]
+
+
+def _reader(rule: Rule, catalogue: dict[str, Field]) -> Callable[[str], tuple[Column, str]]:
+    return lambda key: (F.col(f"`{(f := _resolve(key, rule, catalogue)).service}`.`{f.name}`"), f.kind)
+
+
+def step(pairs: DataFrame, active: Active, catalogue: dict[str, Field], keep: str = "outcomes", stored: Stored | None = None) -> DataFrame:
+    """Apply one rule to every pair. A sender's value is compared as the receiver would have ``stored`` it, so what that can't hold is no difference; what is written is the whole value."""
     rule = active.rule
-    value = lambda key: (F.col(f"`{(f := _resolve(key, rule, catalogue)).service}`.`{f.name}`"), f.kind)
+    value = _reader(rule, catalogue)
     target = catalogue[rule.target]
     unmatched = F.lit(False)
     if active.split:
@@ -189,7 +198,7 @@ def step(pairs: DataFrame, active: Active, catalogue: dict[str, Field], keep: st
             unmatched = ~empty(sender_kind, sender) & picked.isNull()
             sender = F.when(empty(sender_kind, sender), sender).otherwise(picked)
         incoming = convert(sender, sender_kind, receiver_kind, rule.separator)
-    equal = same(receiver_kind, incoming, receiver)
+    equal = same(receiver_kind, stored(receiver_kind, incoming) if stored else incoming, receiver)
     no_sender, no_receiver = empty(sender_kind, sender), empty(receiver_kind, receiver)
     take = takes(active.policy, no_sender, no_receiver)
     clash = ~no_sender & ~no_receiver if active.policy == "manual" else F.lit(False)
@@ -214,11 +223,75 @@ def step(pairs: DataFrame, active: Active, catalogue: dict[str, Field], keep: st
 OUTCOMES = "array<struct<rule:string,receiver:string,outcome:string,sent:string,had:string>>"
 
 
-def apply(pairs: DataFrame, actives: list[Active], catalogue: dict[str, Field]) -> DataFrame:
-    """Fold rules over pairs. Adds ``outcomes``; the sides' structs hold what they would be afterwards."""
-    out = pairs.withColumn("outcomes", F.array().cast(OUTCOMES))
+def apply(pairs: DataFrame, actives: list[Active], catalogue: dict[str, Field], stored: dict[str, Stored] | None = None) -> DataFrame:
+    """Fold rules over pairs. Adds ``outcomes`` (to those that are there); the sides' structs hold what they would be afterwards.
+
+    ``stored`` says for a service what it would keep of a value, see :func:`step`.
+    """
+    out = pairs if "outcomes" in pairs.columns else pairs.withColumn("outcomes", F.array().cast(OUTCOMES))
     for a in actives:
-        out = step(out, a, catalogue)
+        out = step(out, a, catalogue, stored=(stored or {}).get(a.receiver))
+    return out
+
+
+def unnamed_on_grid(every: int = 5, decimals: tuple[int, int] = (2, 1)) -> Stored:
+    """What a log keeps that has no names of tanks, and profiles on a grid of ``every`` seconds only. A profile with fewer than two times is kept as none; empty lists and nulls stay."""
+
+    def stored(kind: str, c: Column) -> Column:
+        if kind == "tanks":
+            return F.transform(c, lambda t: t.withField("name", F.lit(None).cast("string")))
+        if kind == "samples":
+            return F.when(F.size(c) > 0, on_even_grid(c, every, decimals)).otherwise(c)
+        return c
+
+    return stored
+
+
+def linked(pairs: DataFrame, a: str, b: str, stores: tuple[str, ...] = (), ids: str = "external_ids") -> DataFrame:
+    """Pairs whose sides know each other's id: ``ids``, a map by service in either struct, gets the other service's where it has none under that name.
+
+    A side that has no id of its own doesn't take one, and an unknown or blank id is no id. ``outcomes`` tells of each
+    side that learned an id: a write for a service that ``stores`` them, else ``linked``, which only a table of links keeps.
+    """
+    out = pairs if "outcomes" in pairs.columns else pairs.withColumn("outcomes", F.array().cast(OUTCOMES))
+    own = {s: F.nullif(F.trim(F.try_element_at(F.col(f"`{s}`.`{ids}`"), F.lit(s))), F.lit("")) for s in (a, b)}
+    news, sides = [], {}
+    for side, other in ((a, b), (b, a)):
+        known = F.coalesce(F.col(f"`{side}`.`{ids}`"), F.create_map().cast("map<string,string>"))
+        learns = own[side].isNotNull() & own[other].isNotNull() & ~F.map_contains_key(known, F.lit(other))
+        sides[side] = F.col(f"`{side}`").withField(ids, F.when(learns, F.map_concat(known, F.create_map(F.lit(other), own[other]))).otherwise(known))
+        entry = F.struct(F.lit("ids").alias("rule"), F.lit(side).alias("receiver"), F.lit(f"write:{side}.{ids}" if side in stores else "linked").alias("outcome"), own[other].alias("sent"), F.lit(None).cast("string").alias("had"))
+        news.append(F.when(learns, entry))
+    return out.withColumns({**sides, "outcomes": F.concat("outcomes", F.array_compact(F.array(*news)))})
+
+
+def prepared(rows: DataFrame, actives: list[Active], catalogue: dict[str, Field], origin: str) -> DataFrame:
+    """Records that are new to a receiver, made ready for it: ``rows`` has the struct of ``origin``, and the receiver's as far as it is known.
+
+    Rules that are filled from the origin alone write their value, whatever was there; ``take`` isn't used on new
+    records, the whole value goes. A split of a composed text fills its fields, but one that has a value keeps it
+    unless the policy is ``source_wins`` or ``prefer_source``. A text that is empty or can't be split leaves them all.
+    """
+    out = rows
+    for active in actives:
+        rule, value = active.rule, _reader(active.rule, catalogue)
+        side = F.col(active.receiver)
+        if active.split:
+            text, kind = value(rule.target)
+            for n, p in tp.split(text, _reverse(rule)).items():
+                f = _resolve(n, rule, catalogue)
+                had = F.col(f"`{f.service}`.`{f.name}`")
+                free = F.lit(True) if active.policy in ("source_wins", "prefer_source") else empty(f.kind, had)
+                side = side.withField(f.name, F.when(free & ~empty(kind, text) & p.isNotNull(), p).otherwise(had))
+        elif all(k.split(".", 1)[0] == origin for k in rule.source):
+            target = catalogue[rule.target]
+            if rule.template:
+                new = convert(tp.render(rule.template, value, rule.separator, target.max_length), "text", target.kind, rule.separator)
+            else:
+                sent, kind = value(rule.source[0])
+                new = convert(sent, kind, target.kind, rule.separator)
+            side = side.withField(target.name, new)
+        out = out.withColumn("_side", side).withColumn(active.receiver, F.col("_side")).drop("_side")
     return out
 
 
@@ -231,8 +304,3 @@ def conflicts(applied: DataFrame, link: str, source_id: Column, target_id: Colum
 def resolve(conflict_rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """What each decision (id, side) writes: the value sent, or the one that was there."""
     return conflict_rows.join(decisions, "id").select("id", "rule", "source_id", "target_id", "side", F.when(F.col("side") == "source", F.col("sent")).otherwise(F.col("had")).alias("value"))
-
-
-def one_sided(rules: list[Rule], origin: str) -> list[Rule]:
-    """The rules that can prepare an upload: those that are filled from the origin alone."""
-    return [replace(r, policies={}) for r in rules if all(s.split(".", 1)[0] == origin for s in r.source)]

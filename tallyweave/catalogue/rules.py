@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from tallyweave.catalogue import query
 from tallyweave.catalogue.linking import ACCOUNT, EDGES, GREEDY, SHIFTS, SIDES, _rest, _round, side
+from tallyweave.plans import edits
 from tallyweave.plans import rules as rl
 from tallyweave.plans import sync
 from tallyweave.plans import templates as tp
-from tallyweave.schema import ids
+from tallyweave.schema import ids, record, sample, tank
 
 C = F.col
 FIELDS = {f.key: f for f in (rl.Field("a.notes"), rl.Field("a.site"), rl.Field("a.place"), rl.Field("a.tags", "list"), rl.Field("a.number", "number"), rl.Field("b.notes"), rl.Field("b.title", max_length=30), rl.Field("b.words"), rl.Field("b.number", "number"))}
@@ -163,3 +164,32 @@ def sync_actions(t):
     board = [rl.Rule("notes", ("a.notes",), "b.notes", policies={"b": "source_wins"})]
     run = sync.plan(a, b, record("click", "i", "a"), record("view", "j", "b"), board, FIELDS, sync.Receiver("b", deletes=True), "a", 21600.0, blocks=("account",), mirror=True)
     return run.actions.select("action", "id", "reason")
+
+
+@query("rule_field_edits", """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d, o_orderkey % 9 AS r FROM orders),
+p AS (SELECT *, concat_ws('; ', CASE WHEN r = 1 THEN 'max_depth: set by the profile' END, CASE WHEN r = 2 THEN 'number: not a number: x' || c END, CASE WHEN r = 2 AND c % 2 = 0 THEN 'lat: above 90' END, CASE WHEN r = 3 THEN 'gf_low: above gf_high' END,
+ CASE WHEN r = 4 AND c % 3 = 0 THEN 'time: use HH:MM or HH:MM:SS, not 25:00' END, CASE WHEN r = 5 AND c % 4 = 0 THEN 'tank: O2 and He add up to more than 100 %' END) AS w FROM o)
+SELECT k, w AS problems, CAST(CASE WHEN r = 6 THEN NULL WHEN r = 0 THEN c ELSE k END AS INTEGER) AS number, CASE WHEN r = 0 THEN 'Reef ' || c WHEN r = 6 THEN NULL ELSE 'old' END AS location,
+CASE WHEN r = 4 AND c % 3 > 0 THEN strftime(d, '%Y-%m-%d') || ' 09:30:00' ELSE strftime(d, '%Y-%m-%d') || ' 00:00:00' END AS local,
+CASE WHEN r = 4 AND c % 3 > 0 THEN strftime(CAST(d AS TIMESTAMP) + INTERVAL 9 HOUR + INTERVAL 30 MINUTE - INTERVAL 210 MINUTE * (CASE c % 3 WHEN 1 THEN -1 ELSE 1 END), '%Y-%m-%d %H:%M:%S') ELSE strftime(CAST(d AS TIMESTAMP) - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') END AS utc,
+CASE WHEN r = 5 AND c % 4 > 0 THEN 18.0 ELSE 32.0 END AS oxygen, CASE WHEN r = 5 AND c % 4 > 0 THEN 'S' || c ELSE 'S' END AS tank, CASE WHEN r = 7 THEN 'kilogram' END AS weight_unit FROM p""")
+def field_edits(t):
+    """Every ninth order asks for another kind of edit, some of which can't be taken."""
+    k, c, r = C("o_orderkey"), C("o_custkey"), C("o_orderkey") % 9
+    values = {"local": C("o_orderdate").cast("timestamp_ntz"), "utc": C("o_orderdate").cast("timestamp_ntz") - F.expr("interval 2 hours"), "zone": F.lit("UTC+02:00"), "number": k, "location": F.lit("old"), "max_depth": F.lit(12.0), "gf_high": F.lit(70), "tanks": F.array(tank(F.lit(32.0), None, F.lit(200.0), name=F.lit("S"))), "samples": F.array(sample(F.lit(0), F.lit(1.0)))}
+    say = lambda **asks: F.create_map(*[x for n, v in asks.items() for x in (F.lit(n), v)])
+    text = lambda head, n: F.concat(F.lit(head), n.cast("string"))
+    asked = (
+        F.when(r == 0, say(number=c.cast("string"), location=text("  Reef ", c)))
+        .when(r == 1, say(max_depth=F.lit("3"), number=F.lit("1")))
+        .when(r == 2, say(number=text("x", c), lat=F.when(c % 2 == 0, "91").otherwise("45.5")))
+        .when(r == 3, say(gf_low=F.lit("80")))
+        .when(r == 4, say(time=F.when(c % 3 == 0, "25:00").otherwise("9:30"), utc_offset=F.when(c % 3 == 1, "-03:30").otherwise("UTC+3:30")))
+        .when(r == 6, say(number=F.lit(" "), location=F.lit("")))
+        .when(r == 7, say(weight=F.lit("6.5")))
+    )
+    table = F.when(r == 5, F.array(say(oxygen=F.lit("18"), helium=F.when(c % 4 == 0, "90").otherwise("45"), name=text("S", c))))
+    rows = record(t.orders, values, "o_orderkey", "o_custkey").withColumn("asked", asked).withColumn("gases", table)
+    out = edits.edited(rows, tanks="gases")
+    at = lambda n: F.date_format(n, "yyyy-MM-dd HH:mm:ss").alias(n)
+    return out.select(k.alias("k"), F.array_join("problems", "; ").alias("problems"), "number", "location", at("local"), at("utc"), C("tanks")[0]["oxygen"].alias("oxygen"), C("tanks")[0]["name"].alias("tank"), "weight_unit")

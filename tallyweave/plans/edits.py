@@ -25,9 +25,9 @@ LOCKED = ("duration", "max_depth", "avg_depth")
 STARTS = ("date", "time", "utc_offset")
 
 
-def _number(name: str, c: Column, least: float | None, most: float | None, needed: bool = False) -> tuple[Column, Column]:
-    """A number, and why a text is none that will do (else null). Blank is null."""
-    given, value = text(c), text(c).try_cast("double")
+def _number(name: str, given: Column, least: float | None, most: float | None, needed: bool = False) -> tuple[Column, Column]:
+    """A number, and why a text without outer blanks is none that will do (else null). Null is no value."""
+    value = given.try_cast("double")
     wrong = F.when(given.isNull(), f"{name}: a value is needed" if needed else None).when(value.isNull() | F.isnan(value), F.concat(F.lit(f"{name}: not a number: "), given))
     if least is not None:
         wrong = wrong.when(value < least, f"{name}: below {least}")
@@ -43,7 +43,7 @@ def _tank(asked: Column, old: Column) -> Column:
     default = {"oxygen": F.lit(21.0), "helium": F.lit(0.0)}
     values, wrong = {}, []
     for n in ("oxygen", "helium", "start", "end", "volume"):
-        value, bad = _number(f"tank {n}", get(n), *TANK_NUMBERS[n])
+        value, bad = _number(f"tank {n}", text(get(n)), *TANK_NUMBERS[n])
         empty = default.get(n, F.lit(None).cast("double"))
         values[n] = F.when(has(n), F.coalesce(value, empty)).otherwise(F.coalesce(old[n], empty))
         wrong.append(F.when(has(n), bad))
@@ -53,20 +53,20 @@ def _tank(asked: Column, old: Column) -> Column:
     return F.struct(F.struct(*[v.alias(n) for n, v in values.items()]).cast(TANK).alias("tank"), F.array_compact(F.array(*wrong)).alias("problems"))
 
 
-def _start(get: Callable[[str], Column], has: Callable[[str], Column], zones: list[str]) -> tuple[dict[str, Column], list[Column]]:
+def _start(get: Callable[[str], Column], has: Callable[[str], Column], zones: str) -> tuple[dict[str, Column], list[Column]]:
     """The clocks after an edit of date, time or offset: samples count from the start, so only the start moves."""
     local, utc = F.col("local"), F.col("utc")
-    day = F.when(has("date"), F.trim(get("date"))).otherwise(F.date_format(local, "yyyy-MM-dd"))
-    clock = F.when(has("time"), F.trim(get("time"))).otherwise(F.date_format(local, "HH:mm:ss"))
+    day = F.when(has("date"), get("date")).otherwise(F.date_format(local, "yyyy-MM-dd"))
+    clock = F.when(has("time"), get("time")).otherwise(F.date_format(local, "HH:mm:ss"))
     days, clocks = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", r"^([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?$"
     at = lambda c, form, i: F.regexp_extract(c, form, i).try_cast("int")
     second = F.coalesce(at(clock, clocks, 3), F.lit(0))
     made = F.try_make_timestamp_ntz(at(day, days, 1), at(day, days, 2), at(day, days, 3), at(clock, clocks, 1), at(clock, clocks, 2), second)
     real_day = F.try_make_timestamp_ntz(at(day, days, 1), at(day, days, 2), at(day, days, 3), F.lit(0), F.lit(0), F.lit(0))
-    asked = text(get("utc_offset"))
+    asked = get("utc_offset")
     minutes = offset_minutes(asked)
     zone = F.when(has("utc_offset"), zone_name(minutes)).otherwise(F.col("zone"))
-    named = F.when(zone.isin(zones), zone)
+    named = F.when(F.find_in_set(zone, F.lit(zones)) > 0, zone)
     by_zone = F.coalesce(made - F.make_dt_interval(mins=zone_minutes(zone)), F.convert_timezone(named, F.lit("UTC"), made))
     # without a zone the distance of the two clocks stays as it was
     moved = F.coalesce(by_zone, F.when(utc.isNotNull(), made - (local - utc)))
@@ -89,11 +89,13 @@ def edited(records: DataFrame, asked: str = "asked", tanks: str | None = None) -
     profile decides can't be edited where there is one. If anything in an edit can't be taken, ``problems`` tells
     why and the record stays as it was; a null map asks for nothing. Other columns come along.
     """
-    zones = sorted(records.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
+    jvm = records.sparkSession._jvm
+    zones = jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds())
     wants = F.coalesce(F.col(asked), F.create_map().cast("map<string,string>"))
-    has = lambda n: F.map_contains_key(wants, F.lit(n))
-    get = lambda n: F.try_element_at(wants, F.lit(n))
     known = [*NUMBERS, *TEXTS, *WORDS, *STARTS]
+    # each name is looked up once, as columns of its own
+    out = records.withColumn("_has", F.struct(*[F.map_contains_key(wants, F.lit(n)).alias(n) for n in known])).withColumn("_in", F.struct(*[text(F.try_element_at(wants, F.lit(n))).alias(n) for n in known]))
+    has, get = (lambda n: F.col(f"_has.{n}")), (lambda n: F.col(f"_in.{n}"))
     unknown = F.array_sort(F.array_except(F.map_keys(wants), F.array(*[F.lit(n) for n in known])))
     new, wrong = {}, [F.when(F.size(unknown) > 0, F.concat(F.lit("not an editable field: "), F.array_join(unknown, ", ")))]
     wrong += [F.when(has(n) & (F.size("samples") > 0), f"{n}: set by the profile") for n in LOCKED]
@@ -101,14 +103,14 @@ def edited(records: DataFrame, asked: str = "asked", tanks: str | None = None) -
         value, bad = _number(n, get(n), least, most, needed)
         value = F.rint(value).try_cast("int") if whole else value
         new[n] = F.when(has(n), value).otherwise(F.col(n))
-        wrong.append(F.when(has(n), bad))
         if whole:
-            wrong.append(F.when(has(n) & bad.isNull() & text(get(n)).isNotNull() & value.isNull(), f"{n}: too large"))
+            bad = F.coalesce(bad, F.when(get(n).isNotNull() & value.isNull(), f"{n}: too large"))
+        wrong.append(F.when(has(n), bad))
     for n in TEXTS:
-        new[n] = F.when(has(n), text(get(n))).otherwise(F.col(n))
+        new[n] = F.when(has(n), get(n)).otherwise(F.col(n))
     for n, words in WORDS.items():
-        new[n] = F.when(has(n), text(get(n))).otherwise(F.col(n))
-        wrong.append(F.when(has(n) & ~text(get(n)).isin(*words), F.concat(F.lit(f"{n}: not one of {', '.join(words)}: "), text(get(n)))))
+        new[n] = F.when(has(n), get(n)).otherwise(F.col(n))
+        wrong.append(F.when(has(n) & ~get(n).isin(*words), F.concat(F.lit(f"{n}: not one of {', '.join(words)}: "), get(n))))
     for n, unit in (("weight", "kilogram"), ("visibility", "meter")):
         new[f"{n}_unit"] = F.when(has(n), F.when(new[n].isNotNull(), F.coalesce(F.nullif(F.col(f"{n}_unit"), F.lit("")), F.lit(unit)))).otherwise(F.col(f"{n}_unit"))
     wrong.append(F.when(new["temp_min"] > new["temp_max"], "temp_min: above temp_max"))
@@ -116,7 +118,6 @@ def edited(records: DataFrame, asked: str = "asked", tanks: str | None = None) -
     clocks, bad = _start(get, has, zones)
     new |= clocks
     wrong += bad
-    out = records
     if tanks:
         out = out.withColumn("_tanks", F.transform(F.col(tanks), lambda t, i: _tank(F.coalesce(t, F.create_map().cast("map<string,string>")), F.get("tanks", i))))
         new["tanks"] = F.when(F.col("_tanks").isNotNull(), F.transform("_tanks", lambda t: t["tank"])).otherwise(F.col("tanks"))
@@ -125,4 +126,4 @@ def edited(records: DataFrame, asked: str = "asked", tanks: str | None = None) -
         problems = F.concat(problems, F.coalesce(F.flatten(F.transform("_tanks", lambda t: t["problems"])), array_of("string")))
     out = out.withColumn("problems", problems)
     fine = F.size("problems") == 0
-    return out.withColumns({n: F.when(fine, c).otherwise(F.col(n)) for n, c in new.items()}).drop("_tanks")
+    return out.withColumns({n: F.when(fine, c).otherwise(F.col(n)) for n, c in new.items()}).drop("_tanks", "_has", "_in")

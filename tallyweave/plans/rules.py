@@ -99,24 +99,26 @@ def problems(rules: list[Rule], catalogue: dict[str, Field]) -> list[tuple[str,
 
 
 def loops(rules: list[Rule]) -> list[str]:
-    """Ids of rules on a loop within one direction of writing."""
-    after: dict[str, set[str]] = {}
+    """Ids of rules that compose a field which other rules feed back into one they are filled from. For boards as tables see :func:`tallyweave.plans.boards.loops`."""
+    after: dict[str, set[tuple[str, str]]] = {}
     for r in rules:
         for s in r.source:
-            after.setdefault(s, set()).add(r.target)
+            after.setdefault(s, set()).add((r.target, r.id))
+        if r.reverse:
+            for s in r.source:
+                after.setdefault(r.target, set()).add((s, r.id))
 
-    def reaches(a: str, b: str) -> bool:
-        seen, todo = set(), [a]
+    def feeds_back(r: Rule) -> bool:
+        seen, todo = {r.target}, [r.target]
         while todo:
-            for n in after.get(todo.pop(), ()):
-                if n == b:
-                    return True
-                if n not in seen:
-                    seen.add(n)
-                    todo.append(n)
+            new = {n for n, by in after.get(todo.pop(), ()) if by != r.id} - seen
+            if new & set(r.source):
+                return True
+            seen |= new
+            todo += new
         return False
 
-    return [r.id for r in rules if any(reaches(r.target, s) for s in r.source)]
+    return [r.id for r in rules if len(r.source) > 1 and feeds_back(r)]
 
 
 def select(rules: list[Rule], receiver: str, mirror: bool = False, tanks: bool = True, catalogue: dict[str, Field] | None = None) -> list[Active]:

@@ -46,7 +46,10 @@ def plan(source: DataFrame, target: DataFrame, source_records: DataFrame, target
     records go as :func:`tallyweave.plans.rules.prepared` makes them. With ``ids``, the name of a map in both structs,
     matched sides learn each other's id first, and the origin gets an update too if it ``stores`` such ids; ``keys`` and
     ``tanks`` say whether keys match and rules on tanks run; ``stored`` is as in :func:`tallyweave.plans.rules.apply`.
+    A board with problems is refused.
     """
+    if wrong := rl.problems(board, catalogue):
+        raise ValueError("; ".join(f"{rule}: {what}" for rule, what in wrong))
     pairs = lk.match(source, target, grace_s, links, keys=keys, blocks=blocks)
     only_a, only_b = lk.unpaired(source.select("i"), target.select("j"), pairs)
     both = pairs.join(source_records, "i").join(target_records, "j")

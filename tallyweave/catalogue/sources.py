@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.catalogue import query
 from tallyweave.functions import paths
+from tallyweave.schema import tank
 from tallyweave.sources import git_tree, services
 
 C = F.col
@@ -116,3 +117,29 @@ def source_git_tree(t):
         F.conv(F.substring_index("folder", "~", -1), 16, 10).cast("long").alias("k"), F.date_format("local", AT).alias("at"), "number", "location", "lat", "duration", "max_depth", "notes", C("tanks")[0]["oxygen"].alias("oxygen"),
         C("tanks")[0]["start"].alias("tank_start"), F.size("samples").alias("n_samples"), last["temp"].alias("last_temp"),
     )
+
+
+#: Where a service keeps what a record has.
+LAID = {"mappings": [{"field": "divenumber", "path": "$.meta.no"}, {"field": "maxdepth", "path": "$.sum.deep[*]"}, {"field": "buddy", "path": "$.who"}, {"field": "divesite", "path": "$.sum.where"}, {"tanks": {"o2": "$.gases[*].o2", "vol": "$.gases[*].size.l"}}]}
+
+
+@query("payload_mapped", """SELECT event_id, CAST(event_id % 50 AS INTEGER) AS number, (event_id % 30)::DOUBLE AS max_depth, CASE WHEN event_id % 3 > 0 THEN 'Ann' ELSE 'old' END AS buddy, 'Wall ' || event_id % 9 AS location,
+CASE WHEN event_id % 2 = 0 THEN '32:12,50:7' ELSE '21:10' END AS tanks, CASE WHEN event_id % 2 = 0 THEN 'a,' ELSE 'a' END || CASE WHEN event_id % 2 = 1 AND event_id % 5 = 0 THEN ',b' WHEN event_id % 2 = 0 AND event_id % 5 = 0 THEN 'b' ELSE '' END AS kept,
+'stays' AS other, CASE WHEN event_id % 2 = 1 AND event_id % 5 = 0 THEN 2 WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS n_gases FROM events""")
+def payload_mapped(t):
+    """A record is laid into an object that has other names, and a list of gases of another length; the overlay reads it back."""
+    k = C("event_id")
+    named = lambda **fields: F.struct(*[v.alias(n) for n, v in fields.items()])
+    gases = F.array(named(id=F.lit("a"), o2=F.lit(10)))
+    base = named(who=F.lit("old"), sum=named(other=F.lit("stays"), where=F.lit("x")), gases=F.when(k % 5 == 0, F.concat(gases, F.array(named(id=F.lit("b"), o2=F.lit(None).cast("int"))))).otherwise(gases))
+    one, two = tank(F.lit(32.0), volume=F.lit(12.0)), tank(F.lit(50.0), volume=F.lit(7.0))
+    values = {"number": (k % 50).cast("int"), "max_depth": (k % 30).cast("double"), "buddy": F.when(k % 3 > 0, "Ann"), "location": F.concat(F.lit("Wall "), (k % 9).cast("string")), "tanks": F.when(k % 2 == 0, F.array(one, two)).otherwise(F.array(tank(F.lit(21.0), volume=F.lit(10.0))))}
+    rows = t.events.select("event_id", paths.variant(F.to_json(base)).alias("raw"), *[v.alias(n) for n, v in values.items()])
+    rows = rows.select("event_id", paths.laid(LAID, C("raw"), {n: C(n) for n in values}).alias("v"))
+    got = paths.overlay(LAID, C("v"), {})
+    brief = lambda t: F.concat(t["oxygen"].cast("int").cast("string"), F.lit(":"), t["volume"].cast("int").cast("string"))
+    known = F.filter(got["tanks"], lambda t: t["volume"].isNotNull())
+    return rows.select(
+        "event_id", *[got[n].alias(n) for n in ("number", "max_depth", "buddy", "location")], F.array_join(F.transform(known, brief), ",").alias("tanks"), F.array_join(F.transform(F.try_variant_get("v", "$.gases", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.id", "string"), F.lit(""))), ",").alias("kept"),
+        F.try_variant_get("v", "$.sum.other", "string").alias("other"), F.size(F.try_variant_get("v", "$.gases", "array<variant>")).alias("n_gases"),
+    )

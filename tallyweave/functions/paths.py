@@ -46,27 +46,33 @@ def every(v: Column, path: str, kind: str = "string") -> Column:
     return F.when(F.size(hits) > 0, hits)
 
 
-def placed(values: dict[str, Column]) -> Column:
-    """A struct with each value at its path (``$.a.b``), parents made on the way; ``$.a[*]`` is a list, of one item if the value is no array."""
-    tree: dict = {}
-    for path, value in values.items():
-        at = tree
-        parts = steps(path)
-        for key, every_ in parts[:-1]:
-            if every_:
-                raise ValueError(f"only the last step can be a list: {path}")
-            at = at.setdefault(key, {})
-        key, every_ = parts[-1]
-        at[key] = (value, every_)
-
-    def built(node: dict) -> Column:
-        fields = []
-        for key, x in node.items():
-            c = built(x) if isinstance(x, dict) else F.array(x[0]) if x[1] else x[0]
-            fields.append(c.alias(key))
-        return F.struct(*fields)
-
-    return built(tree)
+def _items(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def put(v: Column, path: str, value: Column) -> Column:
+    """``v``, a variant, with ``value`` (a variant, or what can be cast to one) at a path; all that is not on the path stays.
+
+    Objects on the way are made where there is none, or something else. ``$.a[*]`` makes a list, of one item if the
+    value is none. ``$.a[*].b`` goes on within a list's items: the value is a list then, whose items go to those at the
+    same place; items that the list lacks are made, and those beyond the value stay. A null value is JSON null.
+    """
+    return _put(v, steps(path), value.cast("variant"))
+
+
+def _put(v: Column, parts: list[tuple[str, bool]], value: Column) -> Column:
+    (key, every_), rest = parts[0], parts[1:]
+    kind = "map<string,variant>"
+    names = F.coalesce(F.try_variant_get(v, "$", kind), F.create_map().cast(kind))
+    if every_ and rest:
+        none = F.array().cast("array<variant>")
+        there, new = F.coalesce(_items(_get(v, key)), none), F.coalesce(_items(value), none)
+        child = F.transform(F.arrays_zip(there.alias("old"), new.alias("new"), F.transform(new, lambda x: F.lit(True)).alias("is")), lambda x: F.when(x["is"], _put(x["old"], rest, x["new"])).otherwise(x["old"])).cast("variant")
+    elif rest:
+        child = _put(_get(v, key), rest, value)
+    else:
+        child = F.coalesce(_items(value), F.array(value)).cast("variant") if every_ else value
+    return F.to_variant_object(F.map_concat(F.map_filter(names, lambda k, x: k != key), F.create_map(F.lit(key), child)))
 
 
 def merged(*objects: Column) -> Column:
@@ -90,7 +96,8 @@ FIELDS = {
     "depthtemp": ("temp_min", "double"), "water_temperature": ("temp_min", "double"), "location": ("location", "string"), "duration": ("duration", "int"), "weights": ("weight", "double"),
     "weight_unit": ("weight_unit", "string"), "visibility": ("visibility", "double"), "visibility_unit": ("visibility_unit", "string"), "buddy": ("buddy", "string"), "lat": ("lat", "double"), "lng": ("lng", "double"),
 }
-TANK_FIELDS = ("vol", "start_pressure", "end_pressure", "o2")
+TANK_COLUMNS = {"vol": "volume", "start_pressure": "start", "end_pressure": "end", "o2": "oxygen"}
+TANK_FIELDS = tuple(TANK_COLUMNS)
 
 
 def overlay(mapping: str | dict, raw: Column, base: dict[str, Column]) -> dict[str, Column]:
@@ -120,6 +127,28 @@ def overlay(mapping: str | dict, raw: Column, base: dict[str, Column]) -> dict[s
     return out
 
 
+def laid(mapping: str | dict, raw: Column, values: dict[str, Column]) -> Column:
+    """The way back of :func:`overlay`: ``raw``, a variant, with a record's values at a mapping's paths, so that the overlay finds them there.
+
+    ``values`` are columns of a record; what is null, and a column that isn't among them, leaves ``raw``. A ``divesite``
+    takes the whole location. Tanks go to the places of their lists, however many items those have.
+    """
+    out = raw
+    for e in (json.loads(mapping) if isinstance(mapping, str) else mapping)["mappings"]:
+        if "tanks" in e:
+            for n, path in e["tanks"].items() if "tanks" in values else ():
+                column = TANK_COLUMNS[n]
+                kept = F.transform(values["tanks"], lambda t: t[column])  # noqa: B023
+                out = F.when(F.size(kept) > 0, put(out, path, kept)).otherwise(out)
+            continue
+        if e["field"] != "divesite" and e["field"] not in FIELDS:
+            raise ValueError(f"unknown field {e['field']} in a mapping")
+        column = "location" if e["field"] == "divesite" else FIELDS[e["field"]][0]
+        if column in values:
+            out = F.when(values[column].isNotNull(), put(out, e["path"], values[column])).otherwise(out)
+    return out
+
+
 def _tanks(paths: dict[str, str], raw: Column, base: Column | None) -> Column:
     unknown = set(paths) - set(TANK_FIELDS)
     if unknown:

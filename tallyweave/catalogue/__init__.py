@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-MODULES = ["linking", "scalars", "series", "predicates", "aggregates", "rules", "sources", "lookups", "incremental", "store", "uddf", "boards"]
+MODULES = ["linking", "scalars", "series", "predicates", "aggregates", "profiles", "rules", "sources", "lookups", "incremental", "store", "uddf", "boards"]
 
 
 def load() -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TANK = "struct<oxygen:double,helium:double,start:double,end:double,volume:double,name:string,role:string>"
+MIX = "struct<oxygen:double,helium:double>"
 CHANNELS = (
     "struct<pressures:map<int,double>,ndl:int,tts:int,stop_depth:double,stop_time:int,cns:double,ppo2:double,"
     "setpoint:double,o2_cells:map<int,double>,gf99:double,gas_time:int,heart_rate:int>"

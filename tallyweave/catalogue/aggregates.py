@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.catalogue import query
 from tallyweave.operators import history as hs
+from tallyweave.operators import tables as tb
 from tallyweave.operators.series import Window
 
 C = F.col
@@ -43,12 +44,12 @@ def newest_runs(t):
 
 @query("hist_filter", "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def hist_filter(t):
-    return t.orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey")
+    return tb.history(t.orders, "o_orderdate", "o_orderkey", 50, o_orderpriority="1-URGENT", o_orderstatus="F").select("o_orderkey")
 
 
 @query("hist_by_id_prefix", "SELECT o_orderkey, sha1(CAST(o_orderkey AS VARCHAR)) AS id FROM orders WHERE starts_with(sha1(CAST(o_orderkey AS VARCHAR)), 'ab')")
 def by_id_prefix(t):
-    return t.orders.select("o_orderkey", F.sha1(C("o_orderkey").cast("string").cast("binary")).alias("id")).where(C("id").startswith("ab"))
+    return tb.by_id(t.orders.select("o_orderkey", F.sha1(C("o_orderkey").cast("string").cast("binary")).alias("id")), "id", "ab")
 
 
 @query("hist_replace_pairs", "SELECT l_orderkey, l_linenumber, 'old' AS v FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_orderkey, 0, 'new' FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 2 = 0")
@@ -60,8 +61,8 @@ def replace_pairs(t):
 
 @query("hist_prune_rules", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (SELECT o_orderstatus, 'F' FROM orders UNION ALL SELECT 'A', 'F')")
 def prune_rules(t):
-    rules = t.orders.select(C("o_orderstatus").alias("l_returnflag"), F.lit("F").alias("l_linestatus")).unionByName(t.spark.range(1).select(F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus"))).distinct()
-    return t.lineitem.join(rules, ["l_returnflag", "l_linestatus"], "left_semi").select("l_orderkey", "l_linenumber")
+    rules = t.orders.select(C("o_orderstatus").alias("l_returnflag"), F.lit("F").alias("l_linestatus")).unionByName(t.spark.range(1).select(F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus")))
+    return tb.pruned(t.lineitem, rules, ["l_returnflag", "l_linestatus"]).select("l_orderkey", "l_linenumber")
 
 
 @query("sink_prune", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -89,13 +90,13 @@ def first_last(t):
 
 @query("agg_distinct_first_seen", "SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY f) AS flags FROM (SELECT l_orderkey, l_returnflag, min((l_linenumber, l_partkey, l_extendedprice)) AS f FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey")
 def first_seen(t):
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag"))).alias("x"))
-    return rows.select("l_orderkey", F.array_join(F.array_distinct(F.transform("x", lambda x: x["l_returnflag"])), ",").alias("flags"))
+    rows = tb.first_seen(t.lineitem, ["l_orderkey"], "l_returnflag", "l_linenumber", "l_partkey", "l_extendedprice", to="flags")
+    return rows.select("l_orderkey", F.array_join("flags", ",").alias("flags"))
 
 
 @query("agg_next_number", "SELECT c_nationkey, max(c_custkey) + 1 AS next FROM customer GROUP BY 1")
 def next_number(t):
-    return t.customer.groupBy("c_nationkey").agg((F.max("c_custkey") + 1).alias("next"))
+    return tb.next_number(t.customer, ["c_nationkey"], "c_custkey")
 
 
 @query("agg_consistency", "SELECT l_orderkey, abs(max(l_quantity) - 40) <= 1 AND max(CASE WHEN l_quantity > 0 THEN l_linenumber END) <= 7 AS consistent FROM lineitem GROUP BY 1")
@@ -115,13 +116,13 @@ def sum_weights(t):
 
 @query("agg_group_conflicts", "SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS conflicts FROM orders GROUP BY 1")
 def group_conflicts(t):
-    rows = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("x"))
-    return rows.select("o_custkey", F.array_join(F.transform("x", lambda x: x.cast("string")), ",").alias("conflicts"))
+    rows = tb.in_groups(t.orders, ["o_custkey"], "o_orderkey")
+    return rows.select("o_custkey", F.array_join(F.transform("items", lambda x: x["o_orderkey"].cast("string")), ",").alias("conflicts"))
 
 
 @query("agg_channel_names", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS names FROM events GROUP BY 1")
 def channel_names(t):
-    return t.events.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("names"))
+    return tb.union_of(t.events, ["user_id"], "event_type").select("user_id", F.array_join("values", ",").alias("names"))
 
 
 @query("agg_primary_transmitter", "SELECT l_orderkey, min(l_linenumber) AS transmitter FROM lineitem WHERE l_discount > 0 GROUP BY 1")
@@ -131,8 +132,7 @@ def primary_transmitter(t):
 
 @query("agg_date_span", "SELECT o_custkey, min(o_orderdate) AS oldest, max(o_orderdate) AS newest FROM orders GROUP BY 1")
 def date_span(t):
-    day = C("o_orderdate").cast("timestamp_ntz")
-    return t.orders.groupBy("o_custkey").agg(F.min(day).alias("oldest"), F.max(day).alias("newest"))
+    return tb.span(t.orders, ["o_custkey"], C("o_orderdate").cast("timestamp_ntz"))
 
 
 @query("agg_next_due", "SELECT user_id, min(ts + to_minutes(CAST(event_id % 60 AS BIGINT))) AS due FROM events GROUP BY 1")
@@ -142,7 +142,7 @@ def next_due(t):
 
 @query("agg_newest_zone", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS zone FROM events GROUP BY 1")
 def newest_zone(t):
-    return t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("zone"))
+    return tb.newest_value(t.events, ["user_id"], "event_type", "ts", "event_id", to="zone")
 
 
 @query("agg_numbering", "SELECT e.event_id, n.top + row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS number FROM events e JOIN (SELECT user_id, max(event_id % 100) AS top FROM events GROUP BY 1) n USING (user_id) WHERE e.event_type = 'signup'")
@@ -150,3 +150,23 @@ def numbering(t):
     top = t.events.groupBy("user_id").agg(F.max(C("event_id") % 100).alias("top"))
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return t.events.where("event_type = 'signup'").join(top, "user_id").select("event_id", (C("top") + F.row_number().over(order)).alias("number"))
+
+
+@query("agg_merged_dives", """WITH p AS (SELECT l_orderkey AS dive, l_linenumber * 1000 + l_partkey AS ord, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000 + l_partkey, l_extendedprice, l_quantity) AS i, * FROM lineitem)
+SELECT dive, sum(l_quantity * 4) / (4 * count(*)) AS mean_depth, max(l_quantity) AS max_depth, CASE WHEN min(l_linenumber) > 1 THEN sum(l_linenumber) END::BIGINT AS bottom_time, sum(l_suppkey)::BIGINT AS oxygen_units, sum(l_quantity) AS used,
+arg_max(l_discount, i) FILTER (l_linenumber % 2 = 0) AS cns, arg_max(l_tax, i) AS nitrogen, arg_max(l_quantity, i) FILTER (l_linenumber < 5) AS pressure, arg_max(l_discount, i) AS lat, arg_max(l_tax, i) AS lng,
+round(arg_max(l_extendedprice + 60, i) - arg_min(l_extendedprice, i), 2) AS elapsed FROM p GROUP BY dive""")
+def merged_dives(t):
+    n, q = C("l_linenumber"), C("l_quantity")
+    parts = t.lineitem.select(
+        C("l_orderkey").alias("dive"), (n * 1000 + C("l_partkey")).alias("ord"), C("l_extendedprice").alias("start"), F.lit(60).alias("seconds"), F.lit(4).alias("depths"), (q * 4).alias("depth_sum"), q.alias("max_depth"), F.when(n > 1, n).alias("bottom_time"),
+        C("l_suppkey").alias("oxygen_units"), q.alias("used"), F.when(n % 2 == 0, C("l_discount")).alias("cns"), C("l_tax").alias("nitrogen"), F.when(n < 5, q).alias("pressure"), C("l_discount").alias("lat"), C("l_tax").alias("lng"),
+    )
+    return tb.merged(parts, "dive", "ord").withColumn("elapsed", F.round("elapsed", 2))
+
+
+@query("join_found_uploads", """SELECT s.event_id AS i, arg_min(l.event_id, (-epoch_us(l.ts), l.event_id)) AS j FROM events s JOIN events l ON l.event_type = 'view' AND abs(epoch_us(s.ts) - epoch_us(l.ts)) <= 120000000 WHERE s.event_type = 'click' GROUP BY s.event_id""")
+def found_uploads(t):
+    at = F.unix_micros(C("ts").cast("timestamp")) / 1e6
+    of = lambda kind, key: t.events.where(C("event_type") == kind).select(C("event_id").alias(key), at.alias("at"))
+    return tb.found_uploads(of("click", "i"), of("view", "j"))

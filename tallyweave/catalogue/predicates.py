@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyweave.catalogue import query
 from tallyweave.functions import compare as cm
 from tallyweave.functions.geo import same_position
+from tallyweave.operators import tables as tb
 from tallyweave.operators.linkage import profiles_agree
 
 C = F.col
@@ -149,42 +150,41 @@ def column_diff(t):
 @query("sort_blanks_last", "SELECT o_orderkey, nullif(CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE lower(o_orderpriority) END, '') AS v FROM orders ORDER BY v DESC NULLS LAST, o_orderkey")
 def blanks_last(t):
     rows = t.orders.select("o_orderkey", F.when(C("o_orderkey") % 5 != 0, F.lower("o_orderpriority")).alias("v"))
-    return rows.orderBy(F.desc_nulls_last("v"), "o_orderkey")
+    return tb.in_users_order(rows, "text", "v", "o_orderkey", down=True)
 
 
 @query("set_keep_first", "SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type")
 def keep_first(t):
-    return t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return tb.keep_first(t.events.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "event_id")
 
 
 @query("set_difference", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def difference(t):
-    return t.orders.select("o_custkey").distinct().join(t.customer.where("c_acctbal > 0"), C("o_custkey") == C("c_custkey"), "left_anti")
+    return tb.absent(t.orders, t.customer.where("c_acctbal > 0").select(C("c_custkey").alias("o_custkey")), ["o_custkey"])
 
 
 @query("set_intersection", "SELECT s_suppkey AS k FROM supplier INTERSECT SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0")
 def intersection(t):
-    return t.supplier.select(C("s_suppkey").alias("k")).intersect(t.customer.where("c_custkey % 2 = 0").select("c_custkey"))
+    return tb.shared(t.supplier.select(C("s_suppkey").alias("k")), t.customer.where("c_custkey % 2 = 0").select("c_custkey"))
 
 
 @query("set_concat_provenance", "SELECT s_name AS name, 'supplier' AS origin FROM supplier UNION ALL SELECT c_name, 'customer' FROM customer")
 def concat(t):
-    return t.supplier.select(C("s_name").alias("name"), F.lit("supplier").alias("origin")).unionByName(t.customer.select(C("c_name").alias("name"), F.lit("customer").alias("origin")))
+    return tb.concatenated({"supplier": t.supplier.select(C("s_name").alias("name")), "customer": t.customer.select(C("c_name").alias("name"))})
 
 
 @query("set_upsert", "SELECT o_orderkey, 'new' AS v FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0")
 def upsert(t):
     new = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("v"))
     old = t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", C("o_orderpriority").alias("v"))
-    return old.join(new, "o_orderkey", "left_anti").unionByName(new)
+    return tb.upserted(old, new, ["o_orderkey"])
 
 
 @query("set_unjoined_pairs", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE NOT (a.n_regionkey = b.n_regionkey)")
 def unjoined_pairs(t):
-    a = t.nation.select(C("n_nationkey").alias("a"), C("n_regionkey").alias("ra"))
-    b = t.nation.select(C("n_nationkey").alias("b"), C("n_regionkey").alias("rb"))
-    joined = a.join(b, (C("ra") == C("rb")) & (C("a") < C("b"))).select("a", "b")
-    return a.select("a").join(b.select("b"), C("a") < C("b")).join(joined, ["a", "b"], "left_anti")
+    a = t.nation.select(C("n_nationkey").alias("x"), "n_regionkey")
+    links = a.join(a.withColumnRenamed("x", "y"), "n_regionkey").where("x > y")
+    return tb.unjoined(t.nation, "n_nationkey", links, "x", "y")
 
 
 @query("array_json_path", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, json_extract(props, '$.missing') IS NULL AS missing FROM events")

@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.bloom import bloom_filter, maybe_in
+from tallyweave.llm.components import connected_components
 from tallyweave.llm.ngram_join import _roots
 from tallyweave.llm.textscan import bounded_batches
 from tallyweave.session import written
@@ -37,6 +39,8 @@ PART = 3_000_000
 ALONE = 24
 #: Members of a block of a group of classes.
 BLOCK = 4096
+#: Tasks that the rows of one fingerprint are spread over.
+SALTS = 16
 #: What opened blocks give.
 _LINKS = pa.schema([("kind", pa.int32()), ("grp", pa.int64()), ("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _rng = np.random.default_rng(97)
@@ -211,10 +215,15 @@ def _open_blocks(need: int):
 
 
 def similar(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, likeness): links of fingerprint classes that are alike enough, a < b.
+    """(a, b, likeness): links between classes of the texts' fingerprints; see :func:`links`."""
+    return links(classes(docs, key, text), least, key)
 
-    A class holds the documents of one fingerprint and is named by its least key; members are in :func:`classes`.
-    Rows with a null key take no part. Classes are connected by links just as by all pairs that are alike
+
+def links(prints_of: DataFrame, least: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """(a, b, likeness): links of fingerprint classes that are alike enough, a < b, from the columns ``key`` and ``fingerprint``.
+
+    A class holds the documents of one fingerprint and is named by its least key.
+    Rows with a null key or fingerprint take no part; without rows there are no links. Classes are connected by links just as by all pairs that are alike
     enough, but pairs that only confirm a connection are not all looked for, so near copies cost about as many
     links as there are classes and not their square.
 
@@ -223,10 +232,10 @@ def similar(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     """
     need = math.ceil(least * SLOTS)
     width, keys = _band_keys(need)
-    found = classes(docs, key, text).where(F.col(key).isNotNull()).groupBy("fingerprint").agg(F.min(key).alias("class"))
+    found = prints_of.where(F.col(key).isNotNull() & F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min(key).alias("class"))
     known = written(found.withColumn("node", F.xxhash64("fingerprint")), "fingerprints")
     bits = [F.xxhash64(F.lit(i), *(F.substring("fingerprint", 1 + 2 * width * b, 2 * width) for b in chosen)) for i, chosen in enumerate(keys)]
-    cells = known.select("node", F.explode(F.array(*bits)).alias("grp"))
+    cells = _repeated(known.select("node", F.explode(F.array(*bits)).alias("grp")))
     sized = cells.groupBy("grp").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
     cut = F.expr(f"(size + {BLOCK} - 1) div {BLOCK}")
     members = written(cells.join(sized, "grp").withColumn("blocks", cut).withColumn("block", F.expr("pmod(hash(node), blocks)")), "fingerprint-groups")
@@ -240,15 +249,15 @@ def similar(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     own = members.select("grp", "block", F.lit(0).cast("long").alias("source"), F.lit(0).alias("role"), "node")
     many = members.where("blocks > 1").select("grp", "block", "pivot").distinct()
     first = opened(own.unionByName(many.select("grp", "block", F.lit(0).cast("long").alias("source"), F.lit(2).alias("role"), F.col("pivot").alias("node"))))
-    links = first.where("kind = 0").select("a", "b")
+    joined = first.where("kind = 0").select("a", "b")
     left = first.where("kind = 1").select("grp", F.col("block").alias("source"), F.col("a").alias("node"))
     if not left.isEmpty():
         # a block's stragglers visit each other block; no task holds more than two blocks at once
         visits = left.join(many.select("grp", "block"), "grp").where("block <> source").select("grp", "block", "source", F.lit(1).alias("role"), "node")
         homes = own.drop("source").join(visits.select("grp", "block", "source").distinct(), ["grp", "block"])
-        links = links.unionByName(opened(visits.unionByName(homes)).where("kind = 0").select("a", "b"))
+        joined = joined.unionByName(opened(visits.unionByName(homes)).where("kind = 0").select("a", "b"))
     a, b = (known.select(F.col("node").alias(x), F.col("class").alias(f"class_{x}"), F.col("fingerprint").alias(f"f{x}")) for x in "ab")
-    pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(a, "a").join(b, "b")
+    pairs = joined.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(a, "a").join(b, "b")
     same = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, i: n + (F.substring("fa", 2 * i + 1, F.lit(2)) == F.substring("fb", 2 * i + 1, F.lit(2))).cast("int"))
     return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), (same / F.lit(float(SLOTS))).alias("likeness"))
 
@@ -258,6 +267,40 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return fingerprint(docs.select(F.col(key), F.col(text)), text).select(key, "fingerprint")
 
 
+def _repeated(cells: DataFrame) -> DataFrame:
+    """``cells`` (node, grp) without most of those whose group holds one node only, as nearly all do: one shuffle of bare groups, then a filter of those that come twice."""
+    spark = cells.sparkSession
+    twice = written(cells.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"), "fingerprint-twice")
+    passing = spark.sparkContext.broadcast(bloom_filter(twice, twice.count()))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(passing.value, batch.column("grp").to_numpy())))
+
+    return cells.mapInArrow(kept, cells.schema)
+
+
+def components(prints_of: DataFrame, least: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """Add ``class_id``, the least key of the same fingerprint, and ``component_id``, the least key reachable by links (itself included).
+
+    ``prints_of`` has ``key`` and ``fingerprint`` and is read twice. Rows with a null key stay, with both null; other
+    columns come along.
+    """
+    found = prints_of.where(F.col(key).isNotNull()).groupBy("fingerprint").agg(F.min(key).alias("class_id"))
+    reached = connected_components(links(prints_of, least, key), "a", "b").select(F.col("node").alias("class_id"), "root")
+    named = found.join(reached, "class_id", "left").select("fingerprint", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    return _beside(prints_of, named, key)
+
+
+def _beside(prints_of: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """The ids of its fingerprint beside each row with a key. Rows of one text may be a third of all, so each meets its print in one of SALTS tasks."""
+    salts = F.array(*[F.lit(i) for i in range(SALTS)])
+    many = named.withColumn("_salt", F.explode(salts))
+    rows = prints_of.withColumn("_salt", F.pmod(F.hash(key), F.lit(SALTS)))
+    ids = [F.when(F.col(key).isNotNull(), F.col(c)).alias(c) for c in ("class_id", "component_id")]
+    return rows.join(many, ["fingerprint", "_salt"], "left").select(*prints_of.columns, *ids)
+
+
 def _digest(ids: list, texts: list[str]) -> list[tuple]:
     """A row for each text but the last, which only serves as the next one."""
     edited = [a[: len(a) - len(a) // 3] + b[: len(a) // 3] for a, b in zip(texts[:-1], texts[1:], strict=True)]
@@ -273,7 +316,7 @@ def edit_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """Fingerprints of each text and of its edited form, whose last third is the start of the next document.
 
     Documents are ordered by descending key, null keys last, ties by text; after the last comes the first.
-    Of the last floor(n / 3) code points as many are replaced as the next text has. Texts are shuffled
+    All of the last floor(n / 3) code points go; as many come from the start of the next text, or all of a shorter one. Texts are shuffled
     once, by ranges of the key; each range hands its first text on to the range before it.
     """
     bounded_batches(docs.sparkSession)

@@ -85,7 +85,7 @@ def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import edit_fingerprint
 
-    return edit_fingerprint.edit_digests(table(spark, sf_dir, "documents"))
+    return edit_fingerprint.components(edit_fingerprint.edit_digests(table(spark, sf_dir, "documents")))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

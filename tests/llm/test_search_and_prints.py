@@ -104,6 +104,17 @@ def test_edited_texts(spark):
     other = np.array([r["near_next"] for r in got.values()])
     print("near edited", near.mean(), "next", other.mean(), "ordered", (near > other).mean())
     assert near.mean() > 0.5 and other.mean() < 0.2 and (near > other).mean() > 0.95
+    # classes and components against all pairs
+    prints = sorted({r["fingerprint"] for r in got.values()})
+    codes = np.array([np.frombuffer(bytes.fromhex(p), np.uint8) for p in prints])
+    pairs = [(i, int(j)) for i, x in enumerate(codes) for j in np.flatnonzero((codes[i + 1 :] == x).sum(1) >= 103) + i + 1]
+    root = dict(zip(prints, _roots(len(prints), pairs), strict=True))
+    own, reached = {}, {}
+    for k, r in sorted(got.items()):
+        own.setdefault(r["fingerprint"], k)
+        reached.setdefault(root[r["fingerprint"]], k)
+    assert all(r["class_id"] == own[r["fingerprint"]] and r["component_id"] == reached[root[r["fingerprint"]]] for r in got.values())
+    assert len(reached) < len(own) < len(got)
 
 
 def test_small_edits_keep_most_slots():
@@ -122,6 +133,11 @@ def test_odd_documents(odd, nothing):
     assert ef.edit_digests(nothing).count() == 0
     pairs = ef.similar(odd.where("doc_id is not null")).collect()
     assert all(r["a"] < r["b"] and r["likeness"] >= 0.8 for r in pairs)
+    named = ef.components(ef.edit_digests(odd)).collect()
+    assert len(named) == len(rows)
+    assert all((r["doc_id"] is None) == (r["class_id"] is None) == (r["component_id"] is None) for r in named)
+    assert all(r["component_id"] <= r["class_id"] <= r["doc_id"] for r in named if r["doc_id"] is not None)
+    assert ef.components(ef.edit_digests(nothing)).count() == 0
 
 
 @pytest.mark.parametrize("block", [4096, 40])

@@ -81,7 +81,7 @@ def conflicts(t):
 @query("rule_resolve_conflicts", f"""SELECT substr(sha1('a|b|notes|' || o_orderkey || '|' || o_orderkey), 1, 10) AS id, CASE WHEN o_orderkey % 2 = 0 THEN s ELSE h END AS value FROM (SELECT o_orderkey, {SENT} AS s, {HAD} AS h FROM orders) WHERE s <> '' AND h <> '' AND s <> h""")
 def resolve_conflicts(t):
     rows = rl.conflicts(rl.apply(pairs(t), rl.select(BOARD, "b"), FIELDS), "a|b", C("i"), C("j"))
-    decided = rows.select("id", F.when(C("source_id").cast("long") % 2 == 0, "source").otherwise("target").alias("side"))
+    decided = rows.select(*rl.CONFLICT, F.when(C("source_id").cast("long") % 2 == 0, "source").otherwise("target").alias("side"))
     return rl.resolve(rows, decided).select("id", "value")
 
 

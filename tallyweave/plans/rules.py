@@ -303,6 +303,10 @@ def conflicts(applied: DataFrame, link: str, source_id: Column, target_id: Colum
     return rows.select(short_id(F.lit(link), F.col("o.rule"), F.col("source_id"), F.col("target_id")).alias("id"), "source_id", "target_id", F.col("o.rule").alias("rule"), F.col("o.sent").alias("sent"), F.col("o.had").alias("had"))
 
 
+#: What tells conflicts apart. The id alone has 40 bits, so among millions a few conflicts share one.
+CONFLICT = ["id", "rule", "source_id", "target_id"]
+
+
 def resolve(conflict_rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """What each decision (id, side) writes: the value sent, or the one that was there."""
-    return conflict_rows.join(decisions, "id").select("id", "rule", "source_id", "target_id", "side", F.when(F.col("side") == "source", F.col("sent")).otherwise(F.col("had")).alias("value"))
+    """What each decision (CONFLICT and ``side``) writes: the value sent, or the one that was there. A decision is for its own conflict, not for another that happens to have the same id."""
+    return conflict_rows.join(decisions.select(*CONFLICT, "side"), CONFLICT).select(*CONFLICT, "side", F.when(F.col("side") == "source", F.col("sent")).otherwise(F.col("had")).alias("value"))

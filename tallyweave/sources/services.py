@@ -97,13 +97,16 @@ def garmin(rows: DataFrame, o: Column, raw: Column | None = None, *keep: str, ma
     Values of ``details`` come before those of ``summary``; 0 and blank count as missing where they did for the service.
     """
     d, s = o["details"], o["summary"]
-    dto, info, meta, zone = (_object(d[n], s[n]) for n in ("summaryDTO", "diveInfo", "metadataDTO", "timeZoneUnitDTO"))
+    # columns of their own, as many values come from each
+    parts = {f"_{n}": _object(d[n], s[n]) for n in ("summaryDTO", "diveInfo", "metadataDTO", "timeZoneUnitDTO")}
+    dto, info, meta, zone = (F.col(n) for n in parts)
     name, place = (first_truthy(d[n], s[n]) for n in ("activityName", "locationName"))
     position = lambda a, b: F.coalesce(*[number(x) for x in (dto[a], dto[b], s[a], s[b])])
     out_lat, out_lng = (F.coalesce(number(dto[n]), number(s[n])) for n in ("endLatitude", "endLongitude"))
     both = out_lat.isNotNull() & out_lng.isNotNull()
     samples = metric_samples(F.coalesce(o["activityDetails"]["metricDescriptors"], array_of("struct<metricsIndex:int,key:string>")), F.coalesce(o["activityDetails"]["activityDetailMetrics"], array_of("struct<metrics:array<double>>")))
     sensors = F.coalesce(o["tanksensor"]["tankSensors"], array_of("struct<tankIndex:int,name:string,startingPressure:string,endingPressure:string,pressureUnit:string>"))
+    parts["_samples"], samples = samples, F.col("_samples")
     number_text = meta["diveNumber"]
     values = {
         "local": parsed(first_truthy(dto["startTimeLocal"], s["startTimeLocal"])),
@@ -132,9 +135,9 @@ def garmin(rows: DataFrame, o: Column, raw: Column | None = None, *keep: str, ma
         "service_fields": ids(activityName=name, locationName=place),
     }
     if raw is not None and mapping is not None:
-        merged = paths.merged(*[F.try_variant_get(raw, f"$.{n}", "variant") for n in ("summary", "details", "activityDetails")])
-        values = paths.overlay(mapping, merged, values)
-    return record(rows, values, *keep)
+        parts["_merged"] = paths.merged(*[F.try_variant_get(raw, f"$.{n}", "variant") for n in ("summary", "details", "activityDetails")])
+        values = paths.overlay(mapping, F.col("_merged"), values)
+    return record(rows.withColumns(parts), values, *keep)
 
 
 def _measure(c: Column, units: dict[str, list[str]], default: str) -> tuple[Column, Column]:

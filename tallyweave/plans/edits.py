@@ -121,9 +121,11 @@ def edited(records: DataFrame, asked: str = "asked", tanks: str | None = None) -
     if tanks:
         out = out.withColumn("_tanks", F.transform(F.col(tanks), lambda t, i: _tank(F.coalesce(t, F.create_map().cast("map<string,string>")), F.get("tanks", i))))
         new["tanks"] = F.when(F.col("_tanks").isNotNull(), F.transform("_tanks", lambda t: t["tank"])).otherwise(F.col("tanks"))
-    problems = F.array_compact(F.array(*wrong))
+    # a column of its own: within the filter of array_compact all checks would be interpreted
+    out = out.withColumn("_wrong", F.array(*wrong))
+    problems = F.when(F.array_max("_wrong").isNull(), array_of("string")).otherwise(F.array_compact("_wrong"))
     if tanks:
         problems = F.concat(problems, F.coalesce(F.flatten(F.transform("_tanks", lambda t: t["problems"])), array_of("string")))
     out = out.withColumn("problems", problems)
     fine = F.size("problems") == 0
-    return out.withColumns({n: F.when(fine, c).otherwise(F.col(n)) for n, c in new.items()}).drop("_tanks", "_has", "_in")
+    return out.withColumns({n: F.when(fine, c).otherwise(F.col(n)) for n, c in new.items()}).drop("_tanks", "_has", "_in", "_wrong")

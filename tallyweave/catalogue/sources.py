@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyweave.catalogue import query
 from tallyweave.functions import paths
 from tallyweave.schema import tank
+from tallyweave.session import written
 from tallyweave.sources import git_tree, services
 
 C = F.col
@@ -111,7 +112,9 @@ def source_git_tree(t):
     computers = orders.select(F.concat(folder, F.lit("/Divecomputer"), F.when(k % 4 == 0, "-001").otherwise("")).alias("path"), computer.alias("text"))
     sites = orders.select((c % 40).alias("n")).distinct().select(F.concat(F.lit("/repo/01-Divesites/Site-"), hexed(C("n"))).alias("path"), text(F.concat(F.lit('name "Site '), C("n").cast("string"), F.lit('"')), F.concat(F.lit("gps "), C("n").cast("string"), F.lit(".0 -3.5"))).alias("text"))
     other = orders.select(F.concat(folder, F.lit("/notes.txt")).alias("path"), F.lit("duration 99:00 min").alias("text"))
-    got = git_tree.records(dives.unionByName(computers).unionByName(sites).unionByName(other), "folder")
+    # as a tree's files would lie in a folder: paths are read, not made again at each use
+    files = written(dives.unionByName(computers).unionByName(sites).unionByName(other), "git-files")
+    got = git_tree.records(files, "folder")
     last = F.element_at("samples", -1)
     return got.select(
         F.conv(F.substring_index("folder", "~", -1), 16, 10).cast("long").alias("k"), F.date_format("local", AT).alias("at"), "number", "location", "lat", "duration", "max_depth", "notes", C("tanks")[0]["oxygen"].alias("oxygen"),

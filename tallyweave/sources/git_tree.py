@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.functions.paths import bound
 from tallyweave.functions.text import leading_number
 from tallyweave.functions.units import water_type
 from tallyweave.schema import SAMPLE, ids, known_temperature, record, tank
+from tallyweave.session import written
 from tallyweave.sources import ssrf
 from tallyweave.sources.xmls import by_key, get, listed
 
@@ -56,11 +58,14 @@ def said(lines: Column, key: str) -> Column:
 
 def value(line: Column, key: str) -> Column:
     """The value of ``key=value`` on a line; of a quoted one its string."""
-    plain = F.regexp_extract(bare(line), rf'(?:^| ){key}=([^ "]+)', 1)
-    # the strings stand in the order of the empty ones
-    before = F.regexp_extract(bare(line), rf'^(.*?(?:^| ){key}=)""', 1)
-    place = F.regexp_count(before, F.lit('""')) + 1
-    return F.when(plain != "", plain).when(before != "", F.try_element_at(strings(line), place.cast("int")))
+    def of(bare: Column) -> Column:
+        plain = F.regexp_extract(bare, rf'(?:^| ){key}=([^ "]+)', 1)
+        # the strings stand in the order of the empty ones
+        before = F.regexp_extract(bare, rf'^(.*?(?:^| ){key}=)""', 1)
+        place = F.regexp_count(before, F.lit('""')) + 1
+        return F.when(plain != "", plain).when(before != "", F.try_element_at(strings(line), place.cast("int")))
+
+    return bound(bare(line), of)
 
 
 def cylinder(line: Column) -> Column:
@@ -102,8 +107,11 @@ def place(path: Column) -> Column:
     The folder of a dive is named by day, weekday and clock, before these maybe month and year, and behind a tilde
     maybe a hash. It lies in the folder of a month, or of a trip in that (its day and a name), and this in a year's.
     """
+    return bound(F.split(path, "/"), _place)
+
+
+def _place(parts: Column) -> Column:
     at = lambda parts, i: F.try_element_at(parts, F.lit(i))
-    parts = F.split(path, "/")
     day = F.split(F.split_part(at(parts, -2), F.lit("~"), F.lit(1)), "-")
     clock = F.split(F.translate(at(day, -1), ":", "="), "=")
     trip = F.split(at(parts, -3), "-")
@@ -126,6 +134,7 @@ def records(files: DataFrame, *keep: str) -> DataFrame:
     named = files.withColumn("_place", place(F.col("path"))).where("_place is not null")
     folder, name = F.regexp_extract("path", "^(.*)/[^/]+$", 1), F.regexp_extract("path", "([^/]+)$", 1)
     rows = named.select(folder.alias("folder"), F.col("_place.local").alias("local"), F.col("_place.kind").alias("kind"), F.col("_place.number").alias("number"), name.alias("name"), logical_lines(F.col("text")).alias("lines"), F.regexp_extract("path", r"([0-9]{4}/[0-9]{2}/.*)/[^/]+$", 1).alias("id"))
+    rows = written(rows, "git-rows")
     is_dive = F.col("kind") == DIVE
     dives = rows.where(is_dive & F.col("local").isNotNull()).groupBy("folder").agg(F.max_by(F.struct("local", "name", "number", "lines", "id"), "name").alias("d"))
     computers = rows.where(~is_dive).groupBy("folder").agg(F.min_by("lines", "name").alias("c"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("name", "lines"))), lambda x: x["lines"])).alias("every"))
@@ -148,6 +157,8 @@ def records(files: DataFrame, *keep: str) -> DataFrame:
     both = both.withColumn("_mode", mode).withColumn("_changes", changes)
     raw = F.transform(F.filter(F.coalesce("c", F.array().cast("array<string>")), is_sample), sample_line)
     both = both.withColumn("_raw", ssrf.raw_samples(raw, F.col("_tanks0")))
+    # read twice, and its plan is large
+    both = written(both, "git-tree")
     both = both.join(ssrf.settled(both, "folder", sticky_temp=False), "folder", "left").withColumn("samples", listed(F.col("samples"), SAMPLE))
     both = both.withColumn("_site", F.lower(F.trim(last(d, "divesiteid")))).join(sites(files).withColumnRenamed("site", "_site"), "_site", "left")
 

@@ -5,7 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from tallyweave.functions import paths
-from tallyweave.sources import services
+from tallyweave.plans import edits
+from tallyweave.schema import record
+from tallyweave.sources import services, xmls
 
 
 def plan(df):
@@ -26,3 +28,18 @@ def test_laid_grows_with_its_entries(spark):
 def test_garmin_looks_at_parts_once(spark):
     rows = spark.range(1).select(F.from_json(F.concat(F.lit('{"summary":{"activityId":'), F.col("id"), F.lit("}}")), services.GARMIN).alias("o"))
     assert plan(services.garmin(rows, F.col("o"))).count("to_json") <= 8
+
+
+def test_checks_of_edits_are_compiled(spark):
+    rows = record(spark.range(1), {"number": F.col("id")}).withColumn("asked", F.create_map(F.lit("number"), F.lit("x")))
+    out = edits.edited(rows)
+    assert out.select("problems", "number").collect()[0] == (["number: not a number: x"], 0)
+    # the checks stand in a projection of their own, not within the filter, where they would be interpreted
+    assert "AS _wrong#" in plan(out)
+
+
+def test_by_key_works_its_pairs_out_once(spark):
+    pairs = F.transform(F.split(F.col("x"), ","), lambda p: F.struct(F.substring(p, 1, 1).alias("k"), F.substring(p, 2, 9).alias("v")))
+    out = spark.createDataFrame([("a1,b2,a3",), (None,)], "x string").select(xmls.by_key(pairs, "string", "int").alias("m"))
+    assert [r["m"] for r in out.collect()] == [{"a": 3, "b": 2}, None]
+    assert plan(out).count("split(") == 1

@@ -77,3 +77,9 @@ def test_what_is_lost(spark):
     fields = {n: n for n in KINDS}
     (lost,) = {tuple(r[0]) for r in made(spark).where("number = 12").withColumn("water_type", F.lit("salt")).select(files.dropped(made(spark).withColumn("water_type", F.lit("salt")), fields, sink.KEPT)).collect()}
     assert lost == ("service_fields", "water_type")
+
+
+def test_fragments_are_told_in_few_passes(spark):
+    """One pass makes the dives, one tells all entities apart, and one more the sensors', however many kinds there are."""
+    plan = sink.rendered(made(spark), F.lit("log"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 3

@@ -47,3 +47,42 @@ def test_two_transmitters_of_one_tank(spark):
     got = one(spark, a=call(m(0, 10.0, 1, 20.0, 2, 30.0), m(0, 4, 1, 4)), b=call(m(1, 20.0, 0, 10.0), m(1, 0)))
     assert got["a"] == {4: 20.0, 2: 30.0}
     assert got["b"] == {0: 20.0}
+
+
+def test_odd_samples_on_a_grid(spark):
+    """Equal times, samples off the grid, wide gaps, unknown depths and temperatures."""
+    from tallyweave.functions.compare import resampled
+
+    def grid(given):
+        timed = sorted((s for s in given if s[0] is not None), key=lambda s: s[0])
+        gaps = [b[0] - a[0] for a, b in zip(timed, timed[1:]) if b[0] > a[0]]
+        if len(set(gaps)) <= 1:
+            return [tuple(s) for s in timed]
+        rate, out = max(gaps, key=lambda g: (gaps.count(g), -gaps.index(g))), []
+        for g in range(timed[0][0], timed[-1][0] + 1, rate):
+            a = next(s for s in reversed(timed) if s[0] <= g)
+            b = next((s for s in timed if s[0] > g), None)
+            lerp = lambda i: a[i] if g == a[0] or a[i] is None or b[i] is None else a[i] + (b[i] - a[i]) * ((g - a[0]) / (b[0] - a[0]))  # noqa: B023, E731
+            out.append((g, round(lerp(1), 3), None if lerp(2) is None else round(lerp(2), 2)))
+        return out
+
+    cases = [
+        [(0, 1.0, 20.0), (10, 2.0, None), (13, 2.5, 19.0), (20, 3.0, 18.0), (30, 4.0, None)],
+        [(5, 1.0, 20.0), (15, 2.0, 19.0), (15, 2.5, 18.5), (25, 3.0, 18.0), (60, 4.0, 11.0)],
+        [(0, 1.0, None), (4, 2.0, 9.0), (8, 3.0, 8.0), (9, 4.0, 7.0), (22, 9.0, 1.0), (None, 7.0, 1.0)],
+        [(30, 1.0, 1.0), (0, 2.0, 2.0), (10, 3.0, 3.0), (20, 4.0, 4.0), (37, 5.0, 5.0)],
+        [(0, 1.0, 1.0)], [(3, 1.0, 1.0), (3, 2.0, 2.0), (9, 3.0, 3.0)],
+    ]
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, s array<struct<t:int,depth:double,temp:double>>")
+    got = {r[0]: [tuple(x) for x in r[1]] for r in rows.select("k", resampled(F.col("s"))).collect()}
+    assert got == {k: grid(c) for k, c in enumerate(cases)}
+
+
+def test_profiles_off_grid_need_no_lists_of_lines(spark):
+    from comparing import DATA
+
+    from tallyweave.catalogue import QUERIES, load
+
+    load()
+    plan = QUERIES["pred_same_profile_off_grid"](spark, str(DATA / "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

@@ -28,6 +28,7 @@ from tallyweave.llm.bloom import bloom_filter, maybe_in
 from tallyweave.llm.components import connected_components
 from tallyweave.llm.ngram_join import _roots
 from tallyweave.llm.textscan import bounded_batches
+from tallyweave.operators.hot_keys import joined
 from tallyweave.session import written
 
 SLOTS = 128
@@ -39,8 +40,6 @@ PART = 3_000_000
 ALONE = 24
 #: Members of a block of a group of classes.
 BLOCK = 4096
-#: Tasks that the rows of one fingerprint are spread over.
-SALTS = 16
 #: What opened blocks give.
 _LINKS = pa.schema([("kind", pa.int32()), ("grp", pa.int64()), ("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _rng = np.random.default_rng(97)
@@ -230,16 +229,27 @@ def links(prints_of: DataFrame, least: float = 0.8, key: str = "doc_id") -> Data
     Classes that share bands (see :func:`_band_keys`) form a group. Large groups are cut into blocks that are
     compared with a common pivot first; what the pivot doesn't reach visits the other blocks.
     """
+    return _links(_known(prints_of, key), least)
+
+
+def _known(prints_of: DataFrame, key: str) -> DataFrame:
+    """(print, class, n, fingerprint, node), written: each fingerprint, in half the bytes too, with its least key and how many rows have it."""
+    rows = prints_of.where(F.col(key).isNotNull() & F.col("fingerprint").isNotNull())
+    found = rows.groupBy(F.unhex("fingerprint").alias("print")).agg(F.min(key).alias("class"), F.count("*").alias("n"))
+    known = written(found, "fingerprints")
+    hexed = F.lower(F.hex("print"))
+    return known.withColumn("fingerprint", hexed).withColumn("node", F.xxhash64(hexed))
+
+
+def _links(known: DataFrame, least: float) -> DataFrame:
     need = math.ceil(least * SLOTS)
     width, keys = _band_keys(need)
-    found = prints_of.where(F.col(key).isNotNull() & F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min(key).alias("class"))
-    known = written(found.withColumn("node", F.xxhash64("fingerprint")), "fingerprints")
     bits = [F.xxhash64(F.lit(i), *(F.substring("fingerprint", 1 + 2 * width * b, 2 * width) for b in chosen)) for i, chosen in enumerate(keys)]
     cells = _repeated(known.select("node", F.explode(F.array(*bits)).alias("grp")))
     sized = cells.groupBy("grp").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
     cut = F.expr(f"(size + {BLOCK} - 1) div {BLOCK}")
     members = written(cells.join(sized, "grp").withColumn("blocks", cut).withColumn("block", F.expr("pmod(hash(node), blocks)")), "fingerprint-groups")
-    prints = known.select("node", F.unhex("fingerprint").alias("print"))
+    prints = known.select("node", "print")
 
     def opened(parts: DataFrame) -> DataFrame:
         order = ["grp", "block", "source"]
@@ -286,19 +296,31 @@ def components(prints_of: DataFrame, least: float = 0.8, key: str = "doc_id") ->
     ``prints_of`` has ``key`` and ``fingerprint`` and is read twice. Rows with a null key stay, with both null; other
     columns come along.
     """
-    found = prints_of.where(F.col(key).isNotNull()).groupBy("fingerprint").agg(F.min(key).alias("class_id"))
-    reached = connected_components(links(prints_of, least, key), "a", "b").select(F.col("node").alias("class_id"), "root")
-    named = found.join(reached, "class_id", "left").select("fingerprint", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    known = _known(prints_of, key)
+    reached = connected_components(_links(known, least), "a", "b").select(F.col("node").alias("class_id"), "root")
+    named = known.select("print", F.col("class").alias("class_id"), "n").join(reached, "class_id", "left")
+    # a fingerprint of one row that reaches no other names itself
+    named = written(named.where("n > 1 or root <> class_id").select(F.col("print").alias("_print"), "class_id", F.coalesce("root", "class_id").alias("component_id"), "n"), "fingerprint-names")
     return _beside(prints_of, named, key)
 
 
 def _beside(prints_of: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    """The ids of its fingerprint beside each row with a key. Rows of one text may be a third of all, so each meets its print in one of SALTS tasks."""
-    salts = F.array(*[F.lit(i) for i in range(SALTS)])
-    many = named.withColumn("_salt", F.explode(salts))
-    rows = prints_of.withColumn("_salt", F.pmod(F.hash(key), F.lit(SALTS)))
-    ids = [F.when(F.col(key).isNotNull(), F.col(c)).alias(c) for c in ("class_id", "component_id")]
-    return rows.join(many, ["fingerprint", "_salt"], "left").select(*prints_of.columns, *ids)
+    """The ids of its fingerprint beside each row with a key, its own key for a fingerprint that isn't ``named``.
+
+    Only rows that a filter of the named ones lets pass are shuffled; rows of one text may be a third of all, so they stay where they are and meet a table of the hot ones.
+    """
+    passing = prints_of.sparkSession.sparkContext.broadcast(bloom_filter(named.select(F.xxhash64("_print")), named.count()))
+
+    @F.pandas_udf("boolean")
+    def maybe(x: pd.Series) -> pd.Series:
+        return pd.Series(maybe_in(passing.value, x.to_numpy(np.int64)))
+
+    rows = prints_of.withColumn("_print", F.unhex("fingerprint"))
+    rows = rows.withColumn("_some", maybe(F.xxhash64("_print")) & F.col(key).isNotNull())
+    plain = rows.where(~F.col("_some")).withColumns({"class_id": F.col(key), "component_id": F.col(key)})
+    met = joined(rows.where("_some"), named, "_print", "n")
+    ids = [F.coalesce(c, key).alias(c) for c in ("class_id", "component_id")]
+    return plain.select(*prints_of.columns, "class_id", "component_id").unionByName(met.select(*prints_of.columns, *ids))
 
 
 def _digest(ids: list, texts: list[str]) -> list[tuple]:

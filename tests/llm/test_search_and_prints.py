@@ -197,3 +197,14 @@ def test_pairs_at_the_threshold_are_found(spark, monkeypatch):
     monkeypatch.setattr(ef, "classes", lambda docs, key, text: docs)
     got = ef.similar(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
     assert sorted(tuple(r) for r in got) == [(2 * i, 2 * i + 1, 103 / ef.SLOTS) for i in range(20)]
+
+
+def test_components_shuffle_no_copies_of_the_classes(spark):
+    """Rows meet the few named fingerprints; nothing is multiplied for the join, and rows of no key, of one text, alone and linked get their ids."""
+    one, far = "01" * 128, "fe" * 128
+    near = "02" + one[2:]
+    rows = [(5, one), (3, one), (None, one), (2, near), (9, far), (7, "7f" * 128)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    out = ef.components(df)
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(map(tuple, out.select("doc_id", "class_id", "component_id").collect()), key=str) == sorted([(5, 3, 2), (3, 3, 2), (None, None, None), (2, 2, 2), (9, 9, 9), (7, 7, 7)], key=str)

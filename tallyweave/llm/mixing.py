@@ -45,8 +45,9 @@ def share(children: DataFrame, parent: list[str], budget: str, weight: str, capa
     whole = Window.partitionBy(*parent)
     rows = rows.withColumn("_filled", F.coalesce(F.sum("_c").over(before), F.lit(0.0))).withColumn("_rest", F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
     rows = rows.withColumn("_level", F.when(F.col("_w") > 0, (F.col(budget) - F.col("_filled")) / F.col("_rest")))
-    first = F.min(F.when(F.col("_level") <= F.col("_r"), F.struct("_r", "_level"))).over(whole)
-    rows = rows.withColumn("_line", first["_level"])
+    # of children with the same capacity for weight the first counts, whose level is the highest: later ones take it as filled
+    first = F.min(F.when(F.col("_level") <= F.col("_r"), F.struct("_r", (-F.col("_level")).alias("_down")))).over(whole)
+    rows = rows.withColumn("_line", -first["_down"])
     given = F.when(F.col("_w") <= 0, F.lit(0.0)).when(F.col("_line").isNull(), F.col("_c")).otherwise(F.least(F.col("_c"), F.col("_line") * F.col("_w")))
     return rows.withColumn(to, given).drop("_w", "_c", "_r", "_filled", "_rest", "_level", "_line")
 

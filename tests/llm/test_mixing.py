@@ -64,3 +64,10 @@ def test_odd_rows(odd, nothing):
     assert taken.columns == odd.columns
     assert taken.count() == 2 * odd.count()
     assert mixing.mixed(nothing, levels).count() == 0
+
+
+def test_children_with_the_same_capacity_for_weight(spark):
+    rows = [("a", 1.0, 30.0), ("b", 2.0, 60.0), ("c", 1.0, 30.0), ("d", 0.0, 5.0), ("e", 1.0, 90.0)]
+    children = spark.createDataFrame([(0, 100.0, *r) for r in rows], "top int, budget double, name string, weight double, capacity double")
+    got = {r["name"]: r["part"] for r in mixing.share(children, ["top"], "budget", "weight", "capacity", "part").collect()}
+    assert got == pytest.approx({"a": 20.0, "b": 40.0, "c": 20.0, "d": 0.0, "e": 20.0})

@@ -12,6 +12,8 @@ Only leaf totals, bucket totals and one cut per leaf are shuffled. No leaf's doc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ def share(children: DataFrame, parent: list[str], budget: str, weight: str, capa
     rows = children.withColumn("_w", usable).withColumn("_c", F.when(F.col("_w") > 0, F.col(capacity)).otherwise(F.lit(0.0)))
     rows = rows.withColumn("_r", F.when(F.col("_w") > 0, F.col("_c") / F.col("_w")).otherwise(F.lit(float("-1"))))
     names = [c for c in children.columns if c not in (budget, weight, capacity)]
-    before = Window.partitionBy(*parent).orderBy("_r", *names).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*parent)
+    ordered = Window.partitionBy(*parent).orderBy("_r", *names)
+    before, whole = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("_filled", F.coalesce(F.sum("_c").over(before), F.lit(0.0))).withColumn("_rest", F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
     rows = rows.withColumn("_level", F.when(F.col("_w") > 0, (F.col(budget) - F.col("_filled")) / F.col("_rest")))
     # of children with the same capacity for weight the first counts, whose level is the highest: later ones take it as filled
@@ -53,33 +55,40 @@ def share(children: DataFrame, parent: list[str], budget: str, weight: str, capa
 
 
 def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, DataFrame | None], total: float | None, most_epochs: int) -> DataFrame:
-    """Leaf budgets. ``leaves`` has the level columns, n_docs and n_tokens; adds budget.
+    """Leaf budgets. ``leaves`` has the level columns, n_docs and n_tokens, one row for each leaf; adds budget.
 
     ``weights[level]`` has the columns of the levels down to this one, and weight; a node that it lacks, or
     any where it is None, weighs 1. ``total`` None stands for the tokens that there are.
+
+    Nodes are summed from the leaves up, and each level is joined with its parents' budgets once on the way
+    down, so the plan grows with the levels and doesn't double with each.
     """
-    nodes = leaves.select(*levels, "n_docs", "n_tokens", (F.col("n_tokens") * F.lit(float(most_epochs))).alias("_cap"))
-    nodes = nodes.withColumn("_budget", F.lit(float(total)) if total is not None else F.sum("n_tokens").over(Window.partitionBy(F.lit(0))).cast("double"))
+    nodes = [leaves.select(*levels, "n_docs", "n_tokens")]
+    for i in range(len(levels) - 1, 0, -1):
+        nodes.insert(0, nodes[0].groupBy(*levels[:i]).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
+    budget = F.lit(float(total)) if total is not None else F.sum("n_tokens").over(Window.partitionBy(F.lit(0))).cast("double")
+    rows = nodes[0].withColumn("_budget", budget)
     for i, level in enumerate(levels):
-        here = levels[: i + 1]
-        table = nodes.groupBy(*here, "_budget").agg(F.sum("_cap").alias("_capacity"))
+        if i:
+            rows = _beside(nodes[i], above, levels[:i], "inner")
         given = weights.get(level)
         if given is None:
-            table = table.withColumn("_weight", F.lit(1.0))
+            rows = rows.withColumn("_weight", F.lit(1.0))
         else:
-            alike = None
-            g = given.select(*[F.col(c).alias(f"_g_{c}") for c in here], F.col("weight").cast("double").alias("_weight")).dropDuplicates([f"_g_{c}" for c in here])
-            for c in here:
-                same = F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-                alike = same if alike is None else alike & same
-            table = table.join(g, alike, "left").drop(*[f"_g_{c}" for c in here]).withColumn("_weight", F.coalesce("_weight", F.lit(1.0)))
-        table = share(table, levels[:i] or [F.lit(0)], "_budget", "_weight", "_capacity", "_next").select(*[F.col(c).alias(f"_k_{c}") for c in here], "_next")
-        alike = None
-        for c in here:
-            same = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-            alike = same if alike is None else alike & same
-        nodes = nodes.join(table, alike).drop("_budget", *[f"_k_{c}" for c in here]).withColumnRenamed("_next", "_budget")
-    return nodes.select(*levels, "n_docs", "n_tokens", F.col("_budget").alias("budget"))
+            here = levels[: i + 1]
+            g = given.select(*here, F.col("weight").cast("double").alias("_weight")).dropDuplicates(here)
+            rows = _beside(rows, g, here, "left").withColumn("_weight", F.coalesce("_weight", F.lit(1.0)))
+        rows = rows.withColumn("_capacity", F.col("n_tokens") * F.lit(float(most_epochs)))
+        rows = share(rows, levels[:i] or [F.lit(0)], "_budget", "_weight", "_capacity", "_next")
+        above = rows.select(*levels[: i + 1], F.col("_next").alias("_budget"))
+    return rows.select(*levels, "n_docs", "n_tokens", F.col("_next").alias("budget"))
+
+
+def _beside(rows: DataFrame, side: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` with the other columns of ``side``, where all keys are the same; null is a key like others."""
+    other = side.withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    return rows.join(other, alike, how).drop(*[f"_k_{c}" for c in keys])
 
 
 def _leaf(levels: dict[str, Column]) -> Column:

@@ -66,6 +66,26 @@ def test_odd_rows(odd, nothing):
     assert mixing.mixed(nothing, levels).count() == 0
 
 
+def test_plan_of_budgets_grows_with_the_levels(spark):
+    levels = ["a", "b", "c", "d"]
+    rows = [("xy"[i % 2], "pq"[i % 3 % 2] if i % 5 else None, str(i % 2), str(i), i % 4, 10 * (i % 6)) for i in range(40)]
+    leaves = spark.createDataFrame(rows, "a string, b string, c string, d string, n_docs long, n_tokens long")
+    weights = {"b": spark.createDataFrame([("x", "p", 0.7), ("x", None, 0.0), ("y", None, 2.0)], "a string, b string, weight double")}
+    out = mixing.budgets(leaves, levels, weights, 700.0, 2)
+    weight, given = {("x", "p"): 0.7, ("x", None): 0.0, ("y", None): 2.0}, {(): 700.0}
+    for n in range(1, 5):
+        capacity = defaultdict(float)
+        for r in rows:
+            capacity[r[:n]] += 2.0 * r[5]
+        parts = [(budget, {k: c for k, c in capacity.items() if k[:-1] == top}) for top, budget in given.items()]
+        given = {k: v for budget, own in parts for k, v in fill(budget, own, {k: weight.get(k, 1.0) for k in own}).items()}
+    got = {tuple(r)[:4]: r["budget"] for r in out.collect()}
+    assert got == pytest.approx(given) and len(got) == out.count() == 40
+    # a scan, a join and a few windows a level; a level joined with a table made from itself doubled them each time
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 4 * len(levels) and plan.count("Join ") <= 2 * len(levels)
+
+
 def test_children_with_the_same_capacity_for_weight(spark):
     rows = [("a", 1.0, 30.0), ("b", 2.0, 60.0), ("c", 1.0, 30.0), ("d", 0.0, 5.0), ("e", 1.0, 90.0)]
     children = spark.createDataFrame([(0, 100.0, *r) for r in rows], "top int, budget double, name string, weight double, capacity double")

@@ -73,7 +73,7 @@ def raw_objects(t):
         F.when(k % 2 == 0, F.concat(F.lit("a"), (C("c_nationkey") % 3).cast("string"))).otherwise("default").alias("account"), F.concat(F.lit("nonum_2024-01-02_030405_"), k.cast("string")).alias("stem"),
         F.when(k % 4 == 0, "{broken").otherwise(F.to_json(F.struct(k.alias("id"), (k % 50).alias("maxdepth"), F.lit("2024-01-02").alias("date"), F.lit("03:04:05").alias("time")))).alias("content"),
     )
-    files.write_each(batch, root, F.concat(F.lit("divelogs/"), "account", F.lit("/data/"), "stem", F.lit(".JSON")), C("content"))
+    files.whole(files.write_each(batch, root, F.concat(F.lit("divelogs/"), "account", F.lit("/data/"), "stem", F.lit(".JSON")), C("content")))
     got = caches.records(caches.raw(t.spark, root), "divelogs")
     return got.select("service", "account", F.try_element_at("external_ids", F.lit("divelogs")).alias("id"), "max_depth", "problem")
 

@@ -3,8 +3,13 @@
 import xml.etree.ElementTree as ET
 from datetime import datetime
 
+import pytest
+from comparing import DATA
+from pyarrow import fs
 from pyspark.sql import functions as F
 
+from tallyweave import catalogue
+from tallyweave.catalogue import uddf as orders
 from tallyweave.schema import KINDS
 from tallyweave.sinks import files
 from tallyweave.sinks import uddf as sink
@@ -83,3 +88,24 @@ def test_fragments_are_told_in_few_passes(spark):
     """One pass makes the dives, one tells all entities apart, and one more the sensors', however many kinds there are."""
     plan = sink.rendered(made(spark), F.lit("log"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") <= 3
+
+
+def test_a_lost_file_fails_the_query(spark, tmp_path, monkeypatch):
+    catalogue.load()
+    (tmp_path / "a1.uddf").mkdir()
+    monkeypatch.setattr(orders, "shared_path", lambda *_: f"file://{tmp_path}")
+    with pytest.raises(OSError, match=r"1 files were not written, such as a1\.uddf: IsADirectoryError"):
+        catalogue.QUERIES["source_uddf"](spark, str(DATA / "sf0.001"))
+
+
+def test_a_fault_of_the_rows_is_no_outcome_of_a_file(tmp_path):
+    def rows():
+        yield ("a", 0, "<divecomputer/>")
+        yield ("b", 7, "<dive/>")
+        raise EOFError("the rest is lost")
+
+    put = sink.put_files(rows(), fs.LocalFileSystem(), str(tmp_path))
+    assert next(put)[0::2] == ("a.uddf", None)
+    with pytest.raises(EOFError):
+        next(put)
+    assert [p.name for p in tmp_path.iterdir()] == ["a.uddf"]

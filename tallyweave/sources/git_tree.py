@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.paths import bound
 from tallyweave.functions.text import leading_number
 from tallyweave.functions.units import water_type
-from tallyweave.schema import SAMPLE, ids, known_temperature, record, tank
+from tallyweave.schema import SAMPLE, channels, ids, known_temperature, record, sample, tank
 from tallyweave.session import written
 from tallyweave.sources import ssrf
 from tallyweave.sources.xmls import by_key, get, listed
@@ -21,7 +21,7 @@ from tallyweave.sources.xmls import by_key, get, listed
 # Names of folders and files, and the key of a position.
 SITES, SITE_PREFIX = "01-Divesites", "Site-"
 DIVE, COMPUTER = "Dive", "Divecomputer"
-_QUOTED = r'"((?:[^"\\]|\\.)*)"'
+_QUOTED = r'"([^"\\]*(?:\\.[^"\\]*)*)"'
 EXIT_KEY = "GPS2"
 
 
@@ -56,42 +56,86 @@ def said(lines: Column, key: str) -> Column:
     return F.nullif(F.try_element_at(strings(F.try_element_at(words(lines, key), F.lit(-1))), F.lit(1)), F.lit(""))
 
 
-def value(line: Column, key: str) -> Column:
-    """The value of ``key=value`` on a line; of a quoted one its string."""
-    def of(bare: Column) -> Column:
-        plain = F.regexp_extract(bare, rf'(?:^| ){key}=([^ "]+)', 1)
+def value(line: Column, key: str, bare_line: Column | None = None) -> Column:
+    """The value of ``key=value`` on a line; of a quoted one its string. ``bare_line``: the line with its strings emptied, where that is known."""
+    if bare_line is None:
+        return bound(bare(line), lambda b: value(line, key, b))
+
+    def quoted(before: Column) -> Column:
         # the strings stand in the order of the empty ones
-        before = F.regexp_extract(bare, rf'^(.*?(?:^| ){key}=)""', 1)
         place = F.regexp_count(before, F.lit('""')) + 1
-        return F.when(plain != "", plain).when(before != "", F.try_element_at(strings(line), place.cast("int")))
+        return F.when(before != "", F.try_element_at(strings(line), place.cast("int")))
 
-    return bound(bare(line), of)
+    plain = bound(F.regexp_extract(bare_line, rf'(?:^| ){key}=([^ "]+)', 1), lambda p: F.when(p != "", p))
+    string = bound(F.regexp_extract(bare_line, rf'^(.*?(?:^| ){key}=)""', 1), quoted)
+    return F.when(F.contains(bare_line, F.lit(key + "=")), F.coalesce(plain, string))
 
 
 def cylinder(line: Column) -> Column:
-    number = lambda k: leading_number(value(line, k))
-    role = F.coalesce(*[F.when(value(line, "use") == k, v) for k, v in ssrf.ROLES.items()])
-    return tank(F.coalesce(F.nullif(number("o2"), F.lit(0.0)), F.lit(21.0)), F.coalesce(number("he"), F.lit(0.0)), number("start"), number("end"), number("vol"), F.nullif(value(line, "description"), F.lit("")), role)
+    def of(b: Column) -> Column:
+        number = lambda k: leading_number(value(line, k, b))
+        role = bound(value(line, "use", b), lambda u: F.coalesce(*[F.when(u == k, v) for k, v in ssrf.ROLES.items()]))
+        oxygen = bound(number("o2"), lambda x: F.when(x != 0, x).otherwise(F.lit(21.0)))
+        text = bound(value(line, "description", b), lambda x: F.when(x != "", x))
+        return tank(oxygen, F.coalesce(number("he"), F.lit(0.0)), number("start"), number("end"), number("vol"), text, role)
+
+    return bound(bare(line), of)
+
+
+_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
+
+
+def is_sample(line: Column) -> Column:
+    return F.startswith(line, F.lit(" ")) | F.regexp_like(line, F.lit("^[0-9]+:[0-9]+"))
+
+
+def writes_more(line: Column) -> Column:
+    """Whether a sample's line has values besides time, depth, temperature and pressures; each is a ``key=value``."""
+    return F.contains(line, F.lit("="))
 
 
 def sample_line(line: Column) -> Column:
     """A line such as ``  0:10 5.2m 21.0°C 180.5bar:1 ndl=12:00`` with the names that the XML form gives them."""
     token = lambda form: F.nullif(F.regexp_extract(line, rf"(?: )({form})(?= |$)", 1), F.lit(""))
-    number = r"-?[0-9]+(?:\.[0-9]+)?"
-    own = {"time": F.regexp_extract(line, r"^\s*(\S+)", 1), "depth": token(number + "m"), "temp": token(number + "°C"), "pressure": token(number + "bar")}
-    own |= {f"pressure{i}": token(rf"{number}bar:{i}") for i in ssrf.SLOTS}
-    tail = lambda n: F.nullif(F.regexp_extract(line, rf"(?: ){n}=(\S+)", 1), F.lit(""))
+    own = {"time": F.regexp_extract(line, r"^\s*(\S+)", 1), "depth": token(_NUMBER + "m"), "temp": token(_NUMBER + "°C"), "pressure": token(_NUMBER + "bar")}
+    own |= {f"pressure{i}": token(rf"{_NUMBER}bar:{i}") for i in ssrf.SLOTS}
+    tail = lambda n: F.when(writes_more(line), F.nullif(F.regexp_extract(line, rf"(?: ){n}=(\S+)", 1), F.lit("")))
     fields = [(own[n] if n in own else tail(n)).alias(f"_{n}") for n in ssrf._SAMPLE_FIELDS]
     return F.struct(*fields)
 
 
+def plain_samples(lines: Column) -> Column:
+    """(t, depth, temp, pressures) of the lines of samples that write nothing more; those without a depth are left out."""
+    number = lambda line, end: F.regexp_extract(line, rf" ({_NUMBER}){end}(?= |$)", 1).try_cast("double")
+    whole = lambda line, n: F.coalesce(F.regexp_extract(line, r"^\s*([0-9]+)(?::([0-9]+))?", n).try_cast("int"), F.lit(0))
+    reads = lambda line, i, end: F.struct(F.lit(i).alias("k"), bound(number(line, end), lambda v: F.when(v != 0, v)).alias("v"))
+    pressures = lambda line: by_key(F.array(reads(line, 0, "bar"), *[reads(line, i, f"bar:{i}") for i in ssrf.SLOTS]), "int", "double")
+    none = F.create_map().cast("map<int,double>")
+    one = lambda x: F.struct((whole(x, 1) * 60 + whole(x, 2)).alias("t"), number(x, "m").alias("depth"), F.when(F.contains(x, F.lit("°C")), number(x, "°C")).alias("temp"), F.when(F.contains(x, F.lit("bar")), pressures(x)).otherwise(none).alias("pressures"))
+    return F.filter(F.transform(lines, one), lambda s: s["depth"].isNotNull())
+
+
+def plain_settled(raw: Column) -> Column:
+    """Samples of :func:`plain_samples` as :func:`tallyweave.sources.ssrf.settled` gives them: nothing stands from one to the next."""
+    def of(main: Column) -> Column:
+        def one(s: Column) -> Column:
+            bar = get(s["pressures"], main)
+            alone = (main == 0) & bar.isNotNull() & (F.size(s["pressures"]) == 1)
+            return sample(s["t"], s["depth"], s["temp"], bar, F.when(~F.coalesce(alone, F.lit(False)) & (F.size(s["pressures"]) > 0), channels(pressures=s["pressures"])))
+
+        return F.transform(raw, one)
+
+    return bound(F.array_min(F.transform(raw, lambda s: F.array_min(F.map_keys(s["pressures"])))), of)
+
+
 def sites(files: DataFrame) -> DataFrame:
     """(site, name, lat, lng) of site files (path, text)."""
     lines = logical_lines(F.col("text"))
     place = ssrf.position(last(lines, "gps"))
     folder, name = (F.try_element_at(F.split("path", "/"), F.lit(i)) for i in (-2, -1))
     own = F.substr(name, F.lit(len(SITE_PREFIX) + 1))
-    rows = files.where((folder == SITES) & F.startswith(name, F.lit(SITE_PREFIX)) & (F.length(own) == 8) & (F.translate(F.lower(own), "0123456789abcdef", "") == ""))
+    # looked for as a whole first, so that most paths aren't split
+    rows = files.where(F.contains("path", F.lit(f"{SITES}/{SITE_PREFIX}"))).where((folder == SITES) & F.startswith(name, F.lit(SITE_PREFIX)) & (F.length(own) == 8) & (F.translate(F.lower(own), "0123456789abcdef", "") == ""))
     return rows.select(F.lower(own).alias("site"), said(lines, "name").alias("site_name"), place["lat"].alias("lat"), place["lng"].alias("lng"))
 
 
@@ -101,46 +145,74 @@ def _digits(c: Column, n: int | None = None) -> Column:
     return F.when(fits, c.try_cast("int"))
 
 
-def place(path: Column) -> Column:
-    """(local, kind, number) of a dive's or computer's file; null for other files.
+def clock_of(rows: DataFrame) -> DataFrame:
+    """Rows with ``folder``, and its dive's ``local``; null for folders of another shape.
 
     The folder of a dive is named by day, weekday and clock, before these maybe month and year, and behind a tilde
     maybe a hash. It lies in the folder of a month, or of a trip in that (its day and a name), and this in a year's.
     """
-    return bound(F.split(path, "/"), _place)
-
-
-def _place(parts: Column) -> Column:
+    C = F.col  # noqa: N806
     at = lambda parts, i: F.try_element_at(parts, F.lit(i))
-    day = F.split(F.split_part(at(parts, -2), F.lit("~"), F.lit(1)), "-")
-    clock = F.split(F.translate(at(day, -1), ":", "="), "=")
-    trip = F.split(at(parts, -3), "-")
+    # steps of their own, so that each is worked out once a folder
+    rows = rows.withColumn("_parts", F.split("folder", "/"))
+    rows = rows.withColumns({"_day": F.split(F.split_part(at(C("_parts"), -1), F.lit("~"), F.lit(1)), "-"), "_trip": F.split(at(C("_parts"), -2), "-")})
+    day, trip, parts = C("_day"), C("_trip"), C("_parts")
     in_trip = _digits(at(trip, 1), 2).isNotNull() & (F.size(trip) > 1) & _digits(F.substring(at(trip, 2), 1, 1)).isNull()
-    month, year = (_digits(F.when(in_trip, at(parts, i - 1)).otherwise(at(parts, i)), n) for i, n in ((-3, 2), (-4, 4)))
+    month, year = (F.when(C("_in_trip"), at(parts, i - 1)).otherwise(at(parts, i)) for i in (-2, -3))
+    rows = rows.withColumns({"_in_trip": in_trip, "_clock": F.split(F.translate(at(day, -1), ":", "="), "=")})
+    numbers = {"_month": _digits(month, 2), "_year": _digits(year, 4), "_d": _digits(at(day, -3), 2), **{f"_{n}": _digits(F.get("_clock", i), 2) for i, n in enumerate("hms")}, "_own_month": _digits(at(day, -4), 2), "_own_year": _digits(at(day, -5), 4)}
+    rows = rows.withColumns(numbers)
     weekday = (F.length(at(day, -2)) == 3) & (F.translate(F.lower(at(day, -2)), "abcdefghijklmnopqrstuvwxyz", "") == "")
-    h, m, s = (_digits(F.get(clock, i), 2) for i in range(3))
-    d = _digits(at(day, -3), 2)
-    shaped = weekday & month.isNotNull() & year.isNotNull() & d.isNotNull() & h.isNotNull() & m.isNotNull() & s.isNotNull() & (F.size(clock) == 3) & F.size(day).between(3, 5)
-    shaped = shaped & ((F.size(day) < 4) | _digits(at(day, -4), 2).isNotNull()) & ((F.size(day) < 5) | _digits(at(day, -5), 4).isNotNull())
-    local = F.try_make_timestamp_ntz(F.coalesce(_digits(at(day, -5), 4), year), F.coalesce(_digits(at(day, -4), 2), month), d, h, m, s.cast("decimal(8,6)"))
-    name = F.split(at(parts, -1), "-")
-    number = _digits(F.get(name, 1))
-    kind = F.when(F.get(name, 0).isin(DIVE, COMPUTER) & ((F.size(name) == 1) | (F.size(name) == 2) & number.isNotNull()), F.get(name, 0))
-    return F.when(F.coalesce(shaped, F.lit(False)) & kind.isNotNull(), F.struct(local.alias("local"), kind.alias("kind"), F.when(kind == DIVE, number).alias("number")))
+    shaped = weekday & (F.size("_clock") == 3) & F.size(day).between(3, 5)
+    for n in ("_month", "_year", "_d", "_h", "_m", "_s"):
+        shaped = shaped & C(n).isNotNull()
+    shaped = shaped & ((F.size(day) < 4) | C("_own_month").isNotNull()) & ((F.size(day) < 5) | C("_own_year").isNotNull())
+    local = F.try_make_timestamp_ntz(F.coalesce("_own_year", "_year"), F.coalesce("_own_month", "_month"), "_d", "_h", "_m", C("_s").cast("decimal(8,6)"))
+    return rows.withColumn("local", F.when(F.coalesce(shaped, F.lit(False)), local)).drop("_parts", "_day", "_trip", "_in_trip", "_clock", *numbers)
+
+
+def folders(files: DataFrame) -> DataFrame:
+    """(folder, local, id, name, number, text, computer, others, more): a row for each folder with a dive's file.
+
+    ``name`` and ``text`` are the last dive file's, ``computer`` is the text of the first computer's file and ``others``
+    those of the rest, and ``more`` says whether its samples write more than plain ones.
+    """
+    C = F.col  # noqa: N806
+    name = F.substring_index("path", "/", -1)
+    folder = F.substr(C("path"), F.lit(1), F.length("path") - F.length(name) - 1)
+    parts = F.split(name, "-")
+    known = F.get(parts, F.lit(0)).isin(DIVE, COMPUTER) & ((F.size(parts) == 1) | (F.size(parts) == 2) & _digits(F.get(parts, F.lit(1))).isNotNull())
+    # a few characters tell most other files apart
+    rows = files.where(F.startswith(name, F.lit(DIVE))).where(known)
+    own = F.struct(name.alias("name"), F.col("text").alias("text"))
+    is_dive = ~F.startswith(name, F.lit(COMPUTER))
+    rows = rows.select(folder.alias("folder"), F.when(is_dive, own).alias("d"), F.when(~is_dive, own).alias("c"))
+    rows = rows.groupBy("folder").agg(F.max("d").alias("d"), F.sort_array(F.collect_list("c")).alias("c"))
+    rows = clock_of(rows).withColumn("computer", F.get("c", F.lit(0))["text"])
+    return written(rows.select(
+        "folder", "local", F.regexp_extract("folder", r"([0-9]{4}/[0-9]{2}/.*)$", 1).alias("id"), C("d.name").alias("name"), _digits(F.get(F.split("d.name", "-"), F.lit(1))).alias("number"), C("d.text").alias("text"), "computer",
+        F.transform(F.slice("c", F.lit(2), F.greatest(F.size("c"), F.lit(1))), lambda x: x["text"]).alias("others"), F.coalesce(F.exists(logical_lines(C("computer")), lambda x: is_sample(x) & writes_more(x)), F.lit(False)).alias("more"),
+    ), "git-rows").where("local is not null and text is not null")
 
 
 def records(files: DataFrame, *keep: str) -> DataFrame:
-    """Records of a tree's files (path, text). The first computer by file name counts."""
-    named = files.withColumn("_place", place(F.col("path"))).where("_place is not null")
-    folder, name = F.regexp_extract("path", "^(.*)/[^/]+$", 1), F.regexp_extract("path", "([^/]+)$", 1)
-    rows = named.select(folder.alias("folder"), F.col("_place.local").alias("local"), F.col("_place.kind").alias("kind"), F.col("_place.number").alias("number"), name.alias("name"), logical_lines(F.col("text")).alias("lines"), F.regexp_extract("path", r"([0-9]{4}/[0-9]{2}/.*)/[^/]+$", 1).alias("id"))
-    rows = written(rows, "git-rows")
-    is_dive = F.col("kind") == DIVE
-    dives = rows.where(is_dive & F.col("local").isNotNull()).groupBy("folder").agg(F.max_by(F.struct("local", "name", "number", "lines", "id"), "name").alias("d"))
-    computers = rows.where(~is_dive).groupBy("folder").agg(F.min_by("lines", "name").alias("c"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("name", "lines"))), lambda x: x["lines"])).alias("every"))
-    both = dives.join(computers, "folder", "left").select("folder", "d.*", "c", "every")
-    d, c = F.col("lines"), F.coalesce("c", F.array().cast("array<string>"))
-    is_sample = lambda x: F.startswith(x, F.lit(" ")) | F.regexp_like(x, F.lit("^[0-9]+:[0-9]+"))
+    """Records of a tree's files (path, text). The first computer by file name counts.
+
+    Samples whose values stand until the next is written take a window over all of a dive's; dives without such ones don't need it.
+    """
+    rows = folders(files)
+    places = written(sites(files).withColumnRenamed("site", "_site"), "git-sites")
+    out = _records(rows.where(~F.col("more")), places, False, *keep)
+    if not rows.where("more").isEmpty():
+        out = out.unionByName(_records(rows.where("more"), places, True, *keep))
+    return out
+
+
+def _records(rows: DataFrame, places: DataFrame, more: bool, *keep: str) -> DataFrame:
+    empty = F.array().cast("array<string>")
+    others = F.flatten(F.transform("others", logical_lines))
+    both = rows.withColumns({"lines": logical_lines(F.col("text")), "c": F.coalesce(logical_lines(F.col("computer")), empty)}).withColumn("every", F.concat("c", others))
+    d, c = F.col("lines"), F.col("c")
     told = F.filter(c, lambda x: ~is_sample(x))
     tanks = F.transform(words(d, "cylinder"), cylinder)
     both = both.withColumn("_c", told).withColumn("_tanks0", tanks).withColumn("_oc", ssrf.open_circuit(F.col("_tanks0")))
@@ -148,19 +220,22 @@ def records(files: DataFrame, *keep: str) -> DataFrame:
     keyed = lambda lines: F.transform(words(lines, "keyvalue"), lambda x: F.struct(F.try_element_at(strings(x), F.lit(1)).alias("k"), F.try_element_at(strings(x), F.lit(2)).alias("v")))
     both = both.withColumn("_extra", by_key(F.reverse(keyed(c)), "string", "string"))
     # positions and ids may stand with any computer
-    both = both.withColumn("_any", by_key(F.reverse(keyed(F.coalesce("every", F.array().cast("array<string>")))), "string", "string"))
+    both = both.withColumn("_any", by_key(F.reverse(keyed(F.col("every"))), "string", "string"))
     kind = F.trim(last(c, "dctype"))
     mode = F.coalesce(*[F.when(kind == k, v) for k, v in ssrf.MODES.items()], F.nullif(get(F.col("_extra"), F.lit("Dive mode")), F.lit("")), F.col("_oc"))
     seconds = lambda x: ssrf.seconds(F.substring(x, 7, 40))
     changed = F.filter(words(c, "event"), lambda x: F.coalesce(value(x, "name") == "modechange", F.lit(False)))
     changes = F.transform(changed, lambda x: F.struct(seconds(x).alias("t"), ssrf.mode_word(value(x, "divemode"), F.col("_oc")).alias("name")))
     both = both.withColumn("_mode", mode).withColumn("_changes", changes)
-    raw = F.transform(F.filter(F.coalesce("c", F.array().cast("array<string>")), is_sample), sample_line)
-    both = both.withColumn("_raw", ssrf.raw_samples(raw, F.col("_tanks0")))
-    # read twice, and its plan is large
-    both = written(both, "git-tree")
-    both = both.join(ssrf.settled(both, "folder", sticky_temp=False), "folder", "left").withColumn("samples", listed(F.col("samples"), SAMPLE))
-    both = both.withColumn("_site", F.lower(F.trim(last(d, "divesiteid")))).join(sites(files).withColumnRenamed("site", "_site"), "_site", "left")
+    own = F.filter("c", is_sample)
+    if more:
+        both = both.withColumn("_raw", ssrf.raw_samples(F.transform(own, sample_line), F.col("_tanks0")))
+        # read twice, and its plan is large
+        both = written(both, "git-tree")
+        both = both.join(ssrf.settled(both, "folder", sticky_temp=False), "folder", "left").withColumn("samples", listed(F.col("samples"), SAMPLE))
+    else:
+        both = both.withColumn("_raw", plain_samples(own)).withColumn("samples", plain_settled(F.col("_raw")))
+    both = both.withColumn("_site", F.lower(F.trim(last(d, "divesiteid")))).join(places, "_site", "left")
 
     def with_readings(t: Column, i: Column) -> Column:
         start, end = ssrf.first_and_last(F.col("_raw"), i)
@@ -177,7 +252,7 @@ def records(files: DataFrame, *keep: str) -> DataFrame:
     tags = F.filter(F.flatten(F.transform(words(d, "tags"), strings)), lambda t: t != "")
     values = {
         "local": F.col("local"),
-        "duration": F.coalesce(ssrf.seconds(last(d, "duration")), ssrf.seconds(last(c, "duration")), F.lit(0)),
+        "duration": F.coalesce(bound(last(d, "duration"), ssrf.seconds), bound(last(c, "duration"), ssrf.seconds), F.lit(0)),
         "max_depth": F.coalesce(number(c, "maxdepth"), F.array_max(F.transform("samples", lambda s: s["depth"])), F.lit(0.0)),
         "avg_depth": number(c, "meandepth"),
         "temp_min": F.coalesce(known_temperature(number(d, "watertemp")), known_temperature(number(c, "watertemp"))),

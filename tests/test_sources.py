@@ -130,3 +130,38 @@ def test_git_tree(spark, tmp_path):
     (t,) = r["tanks"]
     assert (t["oxygen"], t["volume"], t["start"], t["end"]) == (32.0, 12.0, 200.0, 190.0)
     assert [(s["t"], s["depth"], s["temp"], s["pressure"]) for s in r["samples"]] == [(0, 0.0, 20.0, 200.0), (60, 12.5, None, 190.0)]
+
+
+TREE_SAMPLES = {
+    "plain": ("  0:00 0.0m 20.0°C 200.0bar\n  1:00 12.5m 190.0bar 180.5bar:1\n  2:00 ndl\n  3:00 3.0m 0.0bar\n", [(0, 0.0, 20.0, 200.0, None), (60, 12.5, None, 190.0, {0: 190.0, 1: 180.5}), (180, 3.0, None, None, None)], None),
+    "more": ("  0:00 0.0m 20.0°C 200.0bar\n  1:00 12.5m 190.0bar 180.5bar:1 ndl=5:00\n  2:00 1.0m\n", [(0, 0.0, 20.0, 200.0, None), (60, 12.5, None, 190.0, {0: 190.0, 1: 180.5}), (120, 1.0, None, None, None)], [None, 300, 300]),
+    "second": ("0:10 5.0m 100.5bar:2\n0:20 6.0m\n", [(10, 5.0, None, 100.5, {2: 100.5}), (20, 6.0, None, None, None)], None),
+    "none": ("", [], None),
+}
+
+
+def test_git_tree_samples_with_and_without_standing_values(spark):
+    """Dives whose samples write no more than plain ones go another way than the others; what they give is the same."""
+    rows = []
+    for i, (name, (lines, _, _)) in enumerate(TREE_SAMPLES.items()):
+        folder = f"/log/2024/05/{'05-Trip 1/' if i % 2 else ''}0{i + 1}-Sun-10=00=00"
+        rows += [(f"{folder}/Dive-{i}", f'notes "{name} \\\\ \\"q\\""\ncylinder vol="12.0l" o2=50.0% description="a b" use=bailout\n'), (f"{folder}/Divecomputer", f'model "One"\nkeyvalue "x" "a=b"\n{lines}'), (f"{folder}/notes.txt", "duration 9:00 min")]
+    rows += [("/log/2024/05/09-Sun-10=00=00/Divecomputer", "maxdepth 3.0m"), ("/log/2024/13/01-Sun-10=00=00/Dive-7", ""), ("/log/2024/05/01-Sun-10=00=00/Dive-1-2", ""), ("/log/x/Dive-1", "")]
+    out = git_tree.records(spark.createDataFrame(rows, "path string, text string"))
+    got = {r["number"]: r for r in rows_of(out)}
+    assert sorted(got) == [0, 1, 2, 3]
+    for i, (name, (_, samples, ndl)) in enumerate(TREE_SAMPLES.items()):
+        r = got[i]
+        assert r["notes"] == f'{name} \\ "q"' and r["local"] == datetime(2024, 5, i + 1, 10)
+        assert [(t["volume"], t["oxygen"], t["name"], t["role"]) for t in r["tanks"]] == [(12.0, 50.0, "a b", "bailout")]
+        assert [(s["t"], s["depth"], s["temp"], s["pressure"]) for s in r["samples"]] == [x[:4] for x in samples], name
+        if ndl:
+            assert [(s["channels"] or {}).get("ndl") for s in r["samples"]] == ndl
+        assert [((s["channels"] or {}).get("pressures") or None) for s in r["samples"]] == [x[4] if ndl is None else (s["channels"] or {}).get("pressures") or None for x, s in zip(samples, r["samples"], strict=True)], name
+
+
+def test_git_tree_plain_dives_need_no_window(spark):
+    """Folders are looked at once, not each file, and plain samples are made in place."""
+    row = ("/log/2024/05/05-Sun-10=00=00/Dive-8", "duration 2:00 min\n")
+    plan = git_tree.records(spark.createDataFrame([row], "path string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and plan.count("try_make_timestamp_ntz") == 0

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 
 from tallyweave.schema import KINDS
-from tallyweave.sources import git_tree, services, ssrf, uddf
+from tallyweave.sources import git_tree, services, ssrf, uddf, xmls
 
 GARMIN = {
     "summary": {"activityId": 77, "activityName": "Reef", "startTimeLocal": "2024-05-01T10:00:00.0", "startTimeGMT": "2024-05-01T08:00:00.0", "duration": 1800.7, "maxDepth": 20.5, "locationName": "Bay"},
@@ -165,3 +165,32 @@ def test_git_tree_plain_dives_need_no_window(spark):
     row = ("/log/2024/05/05-Sun-10=00=00/Dive-8", "duration 2:00 min\n")
     plan = git_tree.records(spark.createDataFrame([row], "path string, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan and plan.count("try_make_timestamp_ntz") == 0
+
+
+def test_uddf_files_are_scanned_once_for_dives_and_once_for_the_rest(spark, tmp_path):
+    df = uddf.read(spark, folder(tmp_path, a__uddf=UDDF))
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan xml") == 1
+
+
+def test_uddf_lookups(spark, tmp_path):
+    """The last site, the first computer and model count, buddies in the order of the links; an id's first element; elements wherever they stand, up to a file's damage."""
+    text = UDDF.replace('<link ref="s"/><link ref="b1"/>', '<link ref="s"/><link ref="b2"/><link ref="s2"/><link ref="b1"/><link ref="s"/><link ref="nobody"/>')
+    text = text.replace("</site></divesite>", '</site><site id="s2"><name>Reef</name></site><site id="s"><name>again</name></site><site><name>no id</name></site><!-- <site id="s"/> --></divesite>')
+    text = text.replace("</personal></buddy>", '</personal><equipment><divecomputer id="of-buddy"><model>X</model></divecomputer></equipment></buddy><buddy id="b2"><personal><nickname>B &amp; "q"</nickname></personal></buddy>')
+    text = text.replace("<informationafterdive>", '<informationafterdive><equipmentused><link ref="none"/><link ref="of-buddy"/><link ref="dc"/></equipmentused>', 1)
+    damaged = text.replace('<dive id="d2">', "<dive id=")
+    path = folder(tmp_path, **{"a b+c%20d__uddf": text, "e__uddf": damaged})
+    rows = rows_of(uddf.read(spark, path))
+    assert len(rows) == 2
+    for r in rows:
+        assert (r["location"], r["lat"], r["buddy"], r["computer_model"], r["external_ids"]["uddf"]) == ("Wall", 10.5, 'B & "q", Ann Lee', "X", "d1")
+        assert [(t["oxygen"], t["name"]) for t in r["tanks"]] == [(32.0, "T1")]
+
+
+def test_xml_elements_found():
+    whole = b'<?xml version="1.0"?><a><s id=" 1 "><n>x &lt; y</n><s id="in"/><m id="2" q="&quot;"/></s><d><t/><t/></d><t/><d><t/></d><m/></a>'
+    pieces = lambda text, n: iter([text[i : i + n] for i in range(0, len(text), n)])
+    for n in (1, 7, 1_000):
+        got = sorted(xmls.found(pieces(whole, n), {"s", "m"}, {("d", "t")}))
+        assert [x[1:] for x in got] == [("s", "1", '<s id=" 1 "><n>x &lt; y</n><s id="in"></s><m id="2" q=\'"\'></m></s>'), ("m", "2", "<m id=\"2\" q='\"'></m>"), ("t", None, ""), ("m", None, "<m></m>")]
+        assert [x[1] for x in sorted(xmls.found(pieces(whole[:-12] + b"</x>", n), {"s", "m"}, {("d", "t")}))] == ["s", "m", "t"]

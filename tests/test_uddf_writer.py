@@ -109,3 +109,15 @@ def test_a_fault_of_the_rows_is_no_outcome_of_a_file(tmp_path):
     with pytest.raises(EOFError):
         next(put)
     assert [p.name for p in tmp_path.iterdir()] == ["a.uddf"]
+
+
+def test_numbers_stay_as_they_were_written(spark):
+    rows = spark.createDataFrame([(x,) for x in (0.0, -0.0, 12.0, 12.5, 0.0005, 1e-9, -3.14159, 123456789.125, 1e20, float("nan"), float("inf"), None)], "x double")
+    got = [r[0] for r in rows.select(sink._plain(F.col("x"), 3)).collect()]
+    assert got == ["0", "0", "12", "12.5", "0.001", "0", "-3.142", "123456789.125", "100000000000000000000", None, None, None]
+
+
+def test_dives_are_not_dealt_out_to_be_numbered(spark):
+    """Only ids that several dives share need a window."""
+    plan = sink.rendered(made(spark).where("number = 12"), F.lit("log"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "sha1(to_json(struct(local" not in plan
